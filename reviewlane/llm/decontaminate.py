@@ -44,9 +44,13 @@ def benchmark_windows(benchmark: DataFrame, size: int = 13, item: str = "item_id
     )
 
 
-def _starts(words: Column, size: int) -> Column:
+def _probes(words: Column, size: int) -> Column:
+    """(probe, at, n) of each run of `size` words."""
     last = F.size(words) - size
-    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(
+        starts, lambda i: F.struct(_probe(words, i, size).alias("probe"), i.alias("at"), F.lit(size).alias("n"))
+    )
 
 
 def find_hits(
@@ -62,19 +66,8 @@ def find_hits(
     lengths = [(r["len"], r["n"]) for r in distinct.groupBy("len").agg(F.count("*").alias("n")).collect()]  # at most `size` rows
     small = sum(n for _, n in lengths) <= broadcast_windows
     base = documents.select(row_key(F.col(doc), F.col(text)).alias("key"), words_of(F.col(text)).alias("w"))
-    probes = F.flatten(
-        F.array(
-            *(
-                F.transform(
-                    _starts(F.col("w"), n),
-                    lambda i, n=n: F.struct(_probe(F.col("w"), i, n).alias("probe"), i.alias("at"), F.lit(n).alias("n")),
-                )
-                for n, _ in sorted(lengths)
-            )
-        )
-        if lengths
-        else F.array().cast("array<struct<probe:bigint,at:int,n:int>>")
-    )
+    arrays = [_probes(F.col("w"), n) for n, _ in sorted(lengths)]
+    probes = F.flatten(F.array(*arrays)) if arrays else F.array().cast("array<struct<probe:bigint,at:int,n:int>>")
     right = distinct.withColumnRenamed("probe", "p")
     if small:
         scanned = base.select("key", "w", F.explode(probes).alias("x"))
