@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlane.llm import chat, decontaminate, secrets, sharding
+from reviewlane.llm import chat, decontaminate, secrets, sharding, simhash
 from reviewlane.llm.common import table, text_or_empty
 
 
@@ -57,6 +57,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_or_empty(F.col("text"))
     rows = table(spark, sf_dir, "documents").select(
@@ -74,5 +79,6 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op5_chat": op5_chat,
     "op6_decontaminate": op6_decontaminate,
+    "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
 }
