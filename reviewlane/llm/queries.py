@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlane.llm import chat, decontaminate, secrets, sharding, simhash
+from reviewlane.llm import bpe, chat, decontaminate, secrets, sharding, simhash
 from reviewlane.llm.common import table, text_or_empty
 
 
@@ -57,6 +57,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_decode(documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -79,6 +86,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op5_chat": op5_chat,
     "op6_decontaminate": op6_decontaminate,
+    "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
 }
