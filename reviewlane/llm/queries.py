@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlane.llm import bpe, chat, decontaminate, secrets, sharding, simhash
-from reviewlane.llm.common import table, text_or_empty
+from reviewlane.llm.common import checkpoint, table, text_or_empty
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id",
         "formatted",
         chat.read_turns(F.col("formatted")).alias("turns"),
-        chat.loss_text(F.col("formatted"), chat.loss_spans(F.col("formatted"))).alias("loss"),
+        chat.loss_text(chat.loss_spans(F.col("formatted"))).alias("loss"),
     )
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
@@ -76,7 +76,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    dealt = sharding.shard_rows(rows, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], n_shards=40, seed=20)
+    # The digest columns are small; the checkpoint keeps the texts from being read for each step.
+    dealt = sharding.shard_rows(checkpoint(rows), [F.col("doc_id"), F.col("text_crc32"), F.col("size")], n_shards=40, seed=20)
     return dealt.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
