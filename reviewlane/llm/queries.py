@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlane.llm import bpe, chat, decontaminate, secrets, sharding, simhash
+from reviewlane.llm import bpe, chat, decontaminate, secrets, sharding, simhash, toxicity
 from reviewlane.llm.common import checkpoint, table, text_or_empty
 
 
@@ -31,7 +31,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id",
         "formatted",
         chat.read_turns(F.col("formatted")).alias("turns"),
-        chat.loss_text(chat.loss_spans(F.col("formatted"))).alias("loss"),
+        chat.loss_text(F.col("formatted"), chat.loss_spans(F.col("formatted"))).alias("loss"),
     )
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
@@ -83,6 +83,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op5_chat": op5_chat,
@@ -90,4 +101,5 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
