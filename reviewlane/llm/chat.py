@@ -89,29 +89,35 @@ def format_conversations(
 
 
 def loss_spans(formatted: Column, role: str = "assistant") -> Column:
-    """(start, length) in code points, from 1, of each text of the role's blocks."""
+    """(start, length, text) of each text of the role's blocks: code points, from 1, text unescaped.
+
+    One pass over the string's pieces, so long conversations cost in proportion to their length.
+    """
     pieces = F.split(formatted, r"\|>|<\|")  # "", name, text, name, text, ...
-    empty = F.array().cast("array<struct<start:int,length:int>>")
-    state = F.struct(F.lit(1).alias("at"), F.lit(False).alias("on"), empty.alias("spans"))
+    state = F.struct(
+        F.lit(1).alias("at"),
+        F.lit(False).alias("named"),
+        F.lit(False).alias("on"),
+        F.array().cast("array<struct<start:int,length:int,text:string>>").alias("spans"),
+    )
 
     def step(s, x):
-        name, size = x["name"], F.length(x["text"])
-        on = F.when(name.startswith("role:"), name == f"role:{role}").otherwise(s["on"] & (name != "end"))
-        start = s["at"] + F.length(name) + 4
-        span = F.struct(start.alias("start"), size.alias("length"))
-        spans = F.when(on, F.array_append(s["spans"], span)).otherwise(s["spans"])
-        return F.struct((start + size).alias("at"), on.alias("on"), spans.alias("spans"))
-
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2)),
-        lambda i: F.struct(F.get(pieces, i).alias("name"), F.get(pieces, i + 1).alias("text")),
-    )
-    return F.aggregate(pairs, state, step, lambda s: s["spans"])
+        named = s["named"]
+        opened = F.when(x.startswith("role:"), x == f"role:{role}").otherwise(s["on"] & (x != "end"))
+        span = F.struct(s["at"].alias("start"), F.length(x).alias("length"), unescape(x).alias("text"))
+        return F.struct(
+            (s["at"] + F.length(x) + 2).alias("at"),  # each piece is followed by a mark of two characters
+            (~named).alias("named"),
+            F.when(named, opened).otherwise(s["on"]).alias("on"),
+            F.when(~named & s["on"], F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"),
+        )
+
+    return F.aggregate(pieces, state, step, lambda s: s["spans"])
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"], s["length"]))), "")
+def loss_text(spans: Column) -> Column:
+    """All text under the loss mask, with nothing between."""
+    return F.array_join(F.transform(spans, lambda s: s["text"]), "")
 
 
 def read_turns(formatted: Column) -> Column:
