@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlane.llm import bpe, chat, decontaminate, secrets, sharding, simhash, substring_dedup, toxicity
+from reviewlane.llm import bpe, chat, decontaminate, fingerprints, licenses, secrets, sharding, simhash, substring_dedup, toxicity
 from reviewlane.llm.common import checkpoint, table, text_or_empty
 
 
@@ -21,11 +21,19 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeats(documents, window=13, keep_text=False)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_versions(table(spark, sf_dir, "documents"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.createDataFrame(
@@ -101,7 +109,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_licenses": op2_licenses,
     "op3_substrings": op3_substrings,
+    "op4_fingerprints": op4_fingerprints,
     "op5_chat": op5_chat,
     "op6_decontaminate": op6_decontaminate,
     "op7_bpe": op7_bpe,
