@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 import unicodedata
 
 import numpy as np
@@ -47,7 +49,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """A word-end BPE vocabulary with its merge trees as arrays by token id."""
 
-    def __init__(self, spec: dict, words_kept: int = 200_000):
+    def __init__(self, spec: dict, words_kept: int = 500_000):
         model = spec["model"]
         if model["type"] != "BPE" or model["unk_token"] or model["byte_fallback"] or model["ignore_merges"]:
             raise ValueError("only plain BPE vocabularies are read")
@@ -60,15 +62,15 @@ class WordBpe:
             self.strings[i] = text
         # rank, left and right part of each token; -1 for single letters.
         self.rank, self.left, self.right = (np.full(size, _NONE, np.int64) for _ in range(3))
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, tuple[int, int]] = {}  # pair as left * size + right -> rank, merged
+        self.size = size
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             x, y, z = self.vocab[a], self.vocab[b], self.vocab[a + b]
-            if (x, y) not in self.merges:
-                self.merges[x, y] = (rank, z)
+            if x * size + y not in self.merges:
+                self.merges[x * size + y] = (rank, z)
                 if self.rank[z] == _NONE:
                     self.rank[z], self.left[z], self.right[z] = rank, x, y
-        self.size = size
-        pairs = sorted((x * size + y, rank) for (x, y), (rank, _) in self.merges.items())
+        pairs = sorted((key, rank) for key, (rank, _) in self.merges.items())
         self.pair_keys, self.pair_ranks = (np.array(x, np.int64) for x in zip(*pairs))
         # Tokens that BPE itself makes of their own string; only these may be guessed.
         own = {t: i for t, i in self.vocab.items() if self.merged(self._letters(t)) == [i]}
@@ -79,8 +81,11 @@ class WordBpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern)
         self.marks = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.known: dict[str, str] = {}
+        self.latin_words = re.compile(_latin_pattern(pattern))
+        self.texts = {str(i): t for i, t in enumerate(self.strings)}
+        self.known = _Known()
         self.words_kept = words_kept
+        self.mark_start = os.path.commonprefix([*self.special])
         self.guessed = self.repaired = 0
 
     def _letters(self, token: str) -> list[int]:
@@ -92,23 +97,20 @@ class WordBpe:
         return [self.vocab[p] for p in parts] if all(p in self.vocab for p in parts) else []
 
     def merged(self, ids: list[int]) -> list[int]:
-        """Exact merging: the lowest rank first, leftmost first among equals."""
-        ids = list(ids)
-        while len(ids) > 1:
-            found = [(self.merges[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merges]
-            if not found:
+        """Exact merging, one pair at a time: the lowest rank first, leftmost first among equals."""
+        ids, size, never = list(ids), self.size, (1 << 62, 0)
+        ranks = [self.merges.get(x * size + y, never) for x, y in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least is never:
                 break
-            rank = min(found)[0]
-            out, i = [], 0
-            while i < len(ids):
-                m = self.merges.get((ids[i], ids[i + 1])) if i + 1 < len(ids) else None
-                if m and m[0] == rank:
-                    out.append(m[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(least)
+            ids[i : i + 2] = [least[1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = self.merges.get(ids[i - 1] * size + ids[i], never)
+            if i < len(ranks):
+                ranks[i] = self.merges.get(ids[i] * size + ids[i + 1], never)
         return ids
 
     def guess(self, word: str) -> list[int]:
@@ -163,44 +165,69 @@ class WordBpe:
         self.repaired += len(bad)
         return guesses
 
-    def normalized(self, text: str) -> str:
-        text = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()  # by character: no final sigma
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.words_kept:
-            self.known.clear()
-        fresh = list(words)
-        table = self.letters
-        coded = ["".join([table[b] for b in w.encode()]) for w in fresh]
-        for word, ids in zip(fresh, self.encode_words(coded)):
-            self.known[word] = " ".join(map(str, ids))
+    def split(self, text: str) -> list[str]:
+        """The pre-tokenizer's words. White space parts words whatever its form, so it needs no rewriting."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # by character: no final sigma
+            return self.words.findall(text)
+        return self.latin_words.findall(text.lower())  # Latin-1 text is in NFC
+
+    def _learn(self) -> None:
+        """Encode the words that lookups missed."""
+        known, table = self.known, self.letters
+        fresh, known.missed = known.missed, {}
+        if len(known) + len(fresh) > self.words_kept:
+            known.clear()
+        words = list(fresh)
+        coded = ["".join([table[b] for b in w.encode()]) for w in words]
+        for word, ids in zip(words, self.encode_words(coded)):
+            known[word] = text = " ".join(map(str, ids))
+            fresh[word].append(text)
 
     def encode_batch(self, texts: list[str]) -> list[str]:
         """Token ids of each text, as decimals joined by one space."""
-        split = []
+        found = []
         for text in texts:
             parts, at = [], 0
-            for m in self.marks.finditer(text) if self.marks and "<|" in text else ():
-                parts += [self.words.findall(self.normalized(text[at : m.start()])), self.special[m.group()]]
+            for m in self.marks.finditer(text) if self.marks and self.mark_start in text else ():
+                parts += map(self.known.__getitem__, self.split(text[at : m.start()]))
+                parts.append(str(self.special[m.group()]))
                 at = m.end()
-            parts.append(self.words.findall(self.normalized(text[at:])))
-            split.append(parts)
-        out = []
-        for parts in split:
-            for part in parts:
-                if not isinstance(part, int):
-                    missing = set(part).difference(self.known)
-                    if missing:
-                        self._learn(missing | set(part) if len(self.known) + len(missing) > self.words_kept else missing)
-            known = self.known
-            ids = " ".join(filter(None, (str(p) if isinstance(p, int) else " ".join([known[w] for w in p]) for p in parts)))
-            out.append(ids)
-        return out
+            parts += map(self.known.__getitem__, self.split(text[at:]))
+            found.append(parts)
+        if self.known.missed:
+            self._learn()
+            found = [[x if x.__class__ is str else x[0] for x in parts] for parts in found]
+        return [" ".join(parts) for parts in found]
 
     def decode(self, ids: str) -> str:
-        strings = self.strings
-        return " ".join([strings[int(i)] for i in ids.split()])
+        return " ".join(map(self.texts.__getitem__, ids.split())) if ids else ""
+
+
+class _Known(dict):
+    """Word -> ids; a word that is missing gives a list that its ids will be put into."""
+
+    def __init__(self):
+        super().__init__()
+        self.missed: dict[str, list[str]] = {}
+
+    def __missing__(self, word: str) -> list[str]:
+        return self.missed.setdefault(word, [])
+
+
+def _latin_pattern(pattern: str) -> str:
+    r"""The pattern with \p{L}, \p{N} and \s written out for Latin-1, for the faster standard module."""
+
+    def members(test) -> str:
+        return "".join(re.escape(chr(c)) for c in range(256) if test(chr(c)))
+
+    letters = members(lambda c: unicodedata.category(c)[0] == "L")
+    numbers = members(lambda c: unicodedata.category(c)[0] == "N")
+    spaces = members(lambda c: regex.match(r"\s", c))
+    out = pattern.replace("[\\p{L}]", f"[{letters}]").replace("[\\p{N}]", f"[{numbers}]")
+    return out.replace("\\p{L}", letters).replace("\\p{N}", numbers).replace("\\s", spaces)
 
 
 def load_vocabulary(spark, path: str) -> str:

@@ -18,39 +18,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlane.llm.common import ALNUM_WORD, lower_ascii, row_key, text_or_empty
+from reviewlane.llm.common import checkpoint, lower_ascii, row_key, text_or_empty
+
+
+#: The probe that each document has beside those of its windows.
+ALWAYS = 0x5EED
+#: The same words before lower-casing.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(text_or_empty(text)), F.lit(f"({ALNUM_WORD})"), F.lit(1))
+    """The words in their own case: lower-casing texts whole is slower than the words that need it."""
+    return F.regexp_extract_all(text_or_empty(text), F.lit(f"({WORD})"), F.lit(1))
 
 
-def _probe(words: Column, at: Column, size: Column | int) -> Column:
-    size = F.lit(size) if isinstance(size, int) else size
-    return F.xxhash64(
-        size, F.get(words, at), F.get(words, (at + F.floor(size / 2)).cast("int")), F.get(words, (at + size - 1).cast("int"))
-    )
+def _word_hashes(words: Column) -> Column:
+    """A hash of each word, alike for words that differ in case only."""
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+
+
+def _probe(hashes: Column, at: Column, size: Column) -> Column:
+    middle, last = (at + F.floor(size / 2)).cast("int"), (at + size - 1).cast("int")
+    return F.xxhash64(size, F.get(hashes, at), F.get(hashes, middle), F.get(hashes, last))
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = 13, item: str = "item_id", text: str = "text") -> DataFrame:
     """item_id, len, words, probe: each window of each item."""
     items = benchmark.select(F.col(item).alias("item_id"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(size))
-    return (
-        items.select("item_id", "w", length.alias("len"), F.explode(F.sequence(F.lit(0), F.size("w") - length)).alias("at"))
-        .select("item_id", "len", F.expr("slice(w, at + 1, len)").alias("words"))
-        .distinct()
-        .withColumn("probe", _probe(F.col("words"), F.lit(0), F.col("len")))
-    )
+    windows = items.select(
+        "item_id", "w", length.alias("len"), F.explode(F.sequence(F.lit(0), F.size("w") - length)).alias("at")
+    ).select("item_id", "len", F.transform(F.expr("slice(w, at + 1, len)"), lower_ascii).alias("words"))
+    hashed = windows.distinct().withColumn("_h", _word_hashes(F.col("words")))
+    return hashed.withColumn("probe", _probe(F.col("_h"), F.lit(0), F.col("len"))).drop("_h")
 
 
-def _probes(words: Column, size: int) -> Column:
-    """(probe, at, n) of each run of `size` words."""
-    last = F.size(words) - size
+def _probes(hashes: Column, size: int) -> Column:
+    """The probe of each run of `size` words, in order."""
+    last = F.size(hashes) - size
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts, lambda i: F.struct(_probe(words, i, size).alias("probe"), i.alias("at"), F.lit(size).alias("n"))
-    )
+    return F.transform(starts, lambda i: _probe(hashes, i, F.lit(size)))
 
 
 def find_hits(
@@ -61,22 +68,36 @@ def find_hits(
     text: str = "text",
     broadcast_windows: int = 1_000_000,
 ) -> DataFrame:
-    """Verified occurrences: key (row_key), at (first word, from 0), len, words."""
+    """Verified occurrences: key (row_key), n_words, at (first word, from 0), len, words (lower case).
+
+    Each document also has one row without an occurrence: at, len and words are null.
+    """
     distinct = windows.select("len", "words", "probe").distinct()
-    lengths = [(r["len"], r["n"]) for r in distinct.groupBy("len").agg(F.count("*").alias("n")).collect()]  # at most `size` rows
-    small = sum(n for _, n in lengths) <= broadcast_windows
+    counted = distinct.groupBy("len").agg(F.count("*").alias("n")).orderBy("len").collect()  # at most `size` rows
+    lengths, total = [r["len"] for r in counted], sum(r["n"] for r in counted)
     base = documents.select(row_key(F.col(doc), F.col(text)).alias("key"), words_of(F.col(text)).alias("w"))
-    arrays = [_probes(F.col("w"), n) for n, _ in sorted(lengths)]
-    probes = F.flatten(F.array(*arrays)) if arrays else F.array().cast("array<struct<probe:bigint,at:int,n:int>>")
-    right = distinct.withColumnRenamed("probe", "p")
-    if small:
-        scanned = base.select("key", "w", F.explode(probes).alias("x"))
-        met = scanned.join(F.broadcast(right), F.col("x.probe") == F.col("p"))
+    hashed = base.withColumn("h", _word_hashes(F.col("w")))
+    # The first probe of each document meets a row of its own in the set, which brings the number of words.
+    probes = F.array(F.lit(ALWAYS).cast("bigint"))
+    at, before, starts = F.col("pos"), F.lit(1), []
+    for n in lengths:  # the arrays of all lengths follow one another; `before` is where each begins
+        probes = F.concat(probes, _probes(F.col("h"), n))
+        starts.append(F.when(F.col("len") == n, at - before))
+        before = before + F.greatest(F.size("w") - (n - 1), F.lit(0))
+    own = F.coalesce(*starts) if starts else F.lit(None).cast("int")
+    always = documents.sparkSession.createDataFrame([(None, None, ALWAYS)], "len int, words array<string>, probe bigint")
+    right = distinct.unionByName(always).withColumnRenamed("probe", "p")
+    probed = F.posexplode(probes).alias("pos", "probe")
+    if total <= broadcast_windows:
+        scanned = hashed.select("key", "w", probed)
+        met = scanned.join(F.broadcast(right), F.col("probe") == F.col("p"))
     else:
-        scanned = base.select("key", F.explode(probes).alias("x"))
-        met = scanned.join(right, F.col("x.probe") == F.col("p")).join(base.dropDuplicates(["key"]), "key")
-    verified = met.where(F.expr("slice(w, x.at + 1, len) = words"))
-    return verified.select("key", F.col("x.at").alias("at"), "len", "words")
+        scanned = hashed.select("key", probed)
+        met = scanned.join(right, F.col("probe") == F.col("p")).join(base.dropDuplicates(["key"]), "key")
+    run = F.transform(F.expr("slice(w, greatest(at, 0) + 1, len)"), lower_ascii)
+    placed = met.select("key", "w", own.alias("at"), "len", "words")
+    verified = F.col("len").isNull() | ((F.col("at") >= 0) & (run == F.col("words")))
+    return placed.where(verified).select("key", F.size("w").cast("long").alias("n_words"), "at", "len", "words")
 
 
 def _covered(spans: Column) -> Column:
@@ -87,7 +108,7 @@ def _covered(spans: Column) -> Column:
         end = F.greatest(s["end"], x["at"] + x["len"])
         return F.struct(end.alias("end"), (s["n"] + end - F.greatest(s["end"], x["at"])).alias("n"))
 
-    return F.aggregate(F.sort_array(spans), zero, step, lambda s: s["n"])
+    return F.aggregate(spans, zero, step, lambda s: s["n"])
 
 
 def contamination(
@@ -106,25 +127,27 @@ def contamination(
     contaminated: n_hit > 0 and share * n_hit >= n_words.
     """
     windows = benchmark_windows(benchmark, size)
-    hits = find_hits(documents, windows, size, doc, text, broadcast_windows).distinct()
-    spans = hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("at", "len"))).alias("spans"))
-    named = hits.select("key", "words").distinct().join(windows.select("words", "item_id"), "words")
+    # Occurrences are few beside the texts; the checkpoint keeps the scan from running for each use.
+    hits = checkpoint(find_hits(documents, windows, size, doc, text, broadcast_windows).distinct())
+    spans = hits.groupBy("key").agg(
+        F.max("n_words").alias("n_words"), F.sort_array(F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", "len")))).alias("spans")
+    )
+    named = hits.where("words is not null").select("key", "words").distinct().join(windows.select("words", "item_id"), "words")
     items = named.groupBy("key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     found = spans.join(items, "key", "left").select(
-        F.col("key").alias("_key"), F.struct(_covered(F.col("spans")).alias("n_hit"), "item_ids", "spans").alias("_found")
-    )
-    judged = documents.withColumns(
-        {"_key": row_key(F.col(doc), F.col(text)), "_n": F.size(words_of(F.col(text))).cast("long")}
+        F.col("key").alias("_key"),
+        F.struct("n_words", _covered(F.col("spans")).alias("n_hit"), "item_ids", "spans").alias("_found"),
     )
+    judged = documents.withColumn("_key", row_key(F.col(doc), F.col(text)))
     n_hit = F.coalesce("_found.n_hit", F.lit(0).cast("long"))
     result = F.struct(
-        F.col("_n").alias("n_words"),
+        F.col("_found.n_words").alias("n_words"),
         n_hit.alias("n_hit"),
         F.coalesce("_found.item_ids", F.array().cast("array<string>")).alias("item_ids"),
         F.coalesce("_found.spans", F.array().cast("array<struct<at:int,len:int>>")).alias("spans"),
-        ((n_hit > 0) & (n_hit * share >= F.col("_n"))).alias("contaminated"),
+        ((n_hit > 0) & (n_hit * share >= F.col("_found.n_words"))).alias("contaminated"),
     )
-    return judged.join(found, "_key", "left").withColumn(out, result).drop("_key", "_n", "_found")
+    return judged.join(found, "_key").withColumn(out, result).drop("_key", "_found")
 
 
 def decontaminate(
@@ -142,8 +165,7 @@ def decontaminate(
 def cut_spans(text: Column, spans: Column) -> Column:
     """The text without the words that spans cover and what follows each up to the next word."""
     no_word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    pieces = F.regexp_extract_all(text, F.lit(f"({word}{no_word})"), F.lit(1))
+    pieces = F.regexp_extract_all(text, F.lit(f"({WORD}{no_word})"), F.lit(1))
     kept = F.filter(pieces, lambda _, i: ~F.exists(spans, lambda s: (s["at"] <= i) & (i < s["at"] + s["len"])))
     lead = F.regexp_extract(text, f"^({no_word})", 1)
     return F.when(F.size(spans) > 0, F.concat(lead, F.array_join(kept, ""))).otherwise(text)

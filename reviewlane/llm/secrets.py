@@ -24,7 +24,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlane.llm.common import lower_ascii, text_or_empty
+from reviewlane.llm.common import text_or_empty
 
 
 @dataclass(frozen=True)
@@ -146,7 +146,7 @@ def _clause_table(rules: list[Rule]) -> list[tuple[str, int, str, int, int]]:
 def build_index(documents: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
     """Postings (key, gram): which of the rules' trigrams each text holds."""
     grams = sorted({row[2] for row in _clause_table(rules)})
-    low = documents.select(F.xxhash64(text_or_empty(F.col(text))).alias("key"), lower_ascii(text_or_empty(F.col(text))).alias("low"))
+    low = documents.select(F.xxhash64(text_or_empty(F.col(text))).alias("key"), F.lower(text_or_empty(F.col(text))).alias("low"))
     present = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams)))
     return low.select("key", F.explode(present).alias("gram"))
 
