@@ -1,0 +1,94 @@
+"""The registered queries against SQL and brute force, over whole tables."""
+
+from collections import Counter
+
+import brute
+import pytest
+
+from reviewlane.llm.queries import QUERIES
+from reviewlane.llm.sql import ORACLES
+
+
+def rows_of(spark, sf):
+    return [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize("name", ORACLES)
+def test_sql(name, same_as_sql):
+    same_as_sql(QUERIES[name], ORACLES[name])
+
+
+def found(spark, sf, name, *columns):
+    return [tuple(r) for r in QUERIES[name](spark, sf).select(*columns).collect()]
+
+
+def test_op1(spark, sf):
+    got = found(spark, sf, "op1_secrets", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    assert Counter(got) == Counter(brute.secrets(rows_of(spark, sf)))
+    assert any(r[1] + r[2] + r[3] for r in got)
+
+
+def test_op2(spark, sf):
+    got = found(spark, sf, "op2_licenses", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert Counter(got) == Counter(brute.licenses(rows_of(spark, sf)))
+    assert any(r[2] for r in got)
+
+
+def test_op3(spark, sf):
+    got = found(spark, sf, "op3_substrings", "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert Counter(got) == Counter(brute.repeats(rows_of(spark, sf)))
+    assert any(r[2] for r in got)
+
+
+def test_op4(spark, sf):
+    rows = rows_of(spark, sf)
+    out = QUERIES["op4_fingerprints"](spark, sf).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in out) == Counter(brute.edits(rows))
+    texts, prints = dict(rows), {}
+    for r in out:
+        prints.setdefault(texts[r.doc_id] or "", set()).add(r.fingerprint)
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert r.near_edited < 1 or r.fingerprint == r.edited_fingerprint
+    assert all(len(p) == 1 for p in prints.values())
+    assert sum(r.near_edited for r in out) > sum(r.near_next for r in out)
+
+
+def test_op6(spark, sf):
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    got = found(spark, sf, "op6_decontaminate", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert Counter(got) == Counter(brute.contamination(rows_of(spark, sf), items))
+    assert any(r[5] for r in got)
+
+
+def test_op7(spark, sf):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    got = found(spark, sf, "op7_bpe", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert Counter(got) == Counter(brute.tokens(rows_of(spark, sf), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def test_op8(spark, sf):
+    got = found(spark, sf, "op8_simhash", "doc_id", "fingerprint", "component_id")
+    assert Counter(got) == Counter(brute.groups(rows_of(spark, sf)))
+    assert len({r[2] for r in got}) < len(got)
+
+
+def test_op9(spark, sf):
+    out = QUERIES["op9_sharding"](spark, sf).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter(brute.digests(rows_of(spark, sf)))
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert set(slots) <= set(range(40))
+    counts = [len(slots.get(s, [])) for s in range(40)]
+    assert max(counts) - min(counts) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert {r.law for r in out} == {"rows"} and {r.grown_shard for r in out} == {None}
+
+
+def test_op10(spark, sf):
+    out = {r.doc_id: r for r in QUERIES["op10_toxicity"](spark, sf).collect()}
+    assert len(out) == len(rows_of(spark, sf))
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out.values())
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in out]
+    right = [out[d].predicted == y for d, y in labels if out[d].held_out and y is not None]
+    assert sum(right) >= 0.8 * len(right)
