@@ -1,7 +1,7 @@
 """Document fingerprints: an invertible Bloom lookup sketch of hashed paragraphs.
 
 A text's paragraphs (its lines, cut every `piece` words) are hashed and put into a table of
-cells, one cell in each quarter of the table for each hash. A cell keeps how many hashes it
+cells, one cell in each third of the table. A cell keeps how many hashes it
 got, their XOR and the XOR of their check values. Subtracting the tables of two versions
 cancels what they share. Peeling the rest - a cell of one hash gives it back, which empties
 its other cells and frees others - recovers the digests in which the versions differ. A
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from reviewlane.llm.common import checkpoint, text_or_empty
 
 CELLS = 12  # of the printed fingerprint
-HASHES = 4
-ROUNDS = 14
+HASHES = 3
+ROUNDS = 9
 _LAST = (1 << 63) - 1
 
 
@@ -50,7 +50,7 @@ def _check(x: Column) -> Column:
 
 
 def places(hashes: Column) -> Column:
-    """Each hash with its check value and its cell in each quarter of the printed table."""
+    """Each hash with its check value and its cell in each third of the printed table."""
     return F.transform(
         hashes,
         lambda x: F.struct(x.alias("x"), _check(x).alias("c"), *(_cell(x, j, CELLS, 0).alias(f"p{j}") for j in range(HASHES))),
@@ -135,46 +135,46 @@ def edit(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(following, F.lit(1), half))
 
 
-def differences(pairs: DataFrame, key: list[str], seed: int = 0, scale: int = 1) -> DataFrame:
-    """key, recovered (digests that differ) and stuck (cells that did not empty) of pairs (key, left, right).
+def differences(pairs: DataFrame, seed: int = 0, scale: int = 1) -> DataFrame:
+    """part, rn, recovered0, stuck0, recovered1, stuck1 of pairs (part, rn, pair, left, right).
 
-    left and right are arrays of distinct hashes; all rows of a key are in one partition of
-    the first key column, so that no exchange is needed.
+    recovered: digests that differ; stuck: cells that did not empty, of pair 0 and 1. left and
+    right are arrays of distinct hashes; all rows of a pair are in one partition of `part`,
+    so that no exchange is needed. Rounds take one share of the table in turn: a digest has
+    one cell in each share, so a round takes no digest out twice.
     """
     size = F.size("left") + F.size("right")
-    cells = ((size * 2 + 48) * scale / HASHES).cast("int") * HASHES
+    cells = ((size * 2.5 + 48) * scale / HASHES).cast("int") * HASHES
     signed = F.concat(
         F.transform("left", lambda x: F.struct(F.lit(1).alias("n"), x.alias("x"))),
         F.transform("right", lambda x: F.struct(F.lit(-1).alias("n"), x.alias("x"))),
     )
-    one = pairs.select(*key, cells.alias("m"), F.explode(signed).alias("e")).select(*key, "m", "e.n", "e.x")
+    one = pairs.select("part", "rn", "pair", cells.alias("m"), F.explode(signed).alias("e")).select("part", "rn", "pair", "m", "e.n", "e.x")
     spread = one.select(
-        *key, "m", "n", "x", _check(F.col("x")).alias("c"), F.explode(F.array(*(_cell(F.col("x"), j, F.col("m"), seed) for j in range(HASHES)))).alias("cell")
+        "part", "rn", "pair", "m", "n", "x", _check(F.col("x")).alias("c"),
+        F.explode(F.array(*(_cell(F.col("x"), j, F.col("m"), seed) for j in range(HASHES)))).alias("cell"),
     )
-    by = [*key, "m", "cell"]
     totals = [F.sum("n").cast("int").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c")]
     live = (F.col("n") != 0) | (F.col("x") != 0) | (F.col("c") != 0)
-    # Cell -1 counts the digests that were recovered.
-    state = spread.groupBy(*by).agg(*totals).where(live)
-    for _ in range(ROUNDS):
-        alone = (F.col("cell") >= 0) & (F.abs("n") == 1) & (F.col("c") == _check(F.col("x")))
-        own = F.struct(F.lit(False).alias("taken"), F.col("cell"), F.col("n"), F.col("x"), F.col("c"))
-        taken = [
-            F.struct(F.lit(True).alias("taken"), _cell(F.col("x"), j, F.col("m"), seed).alias("cell"), (-F.col("n")).alias("n"), F.col("x"), F.col("c"))
-            for j in range(HASHES)
-        ]
-        count = F.struct(F.lit(True).alias("taken"), F.lit(-1).alias("cell"), F.lit(1).alias("n"), F.col("x"), F.col("c"))
-        moved = state.select(*key, "m", F.explode(F.when(alone, F.array(own, *taken, count)).otherwise(F.array(own))).alias("e"))
-        rows = moved.select(*key, "m", "e.taken", "e.cell", "e.n", "e.x", "e.c")
-        # A digest alone in several cells is taken out once.
-        once = rows.groupBy(*key, "m", "taken", "cell", "x").agg(F.max("n").alias("n"), F.max("c").alias("c"))
-        zeroed = once.select(
-            *by, "n", F.when(F.col("cell") >= 0, F.col("x")).otherwise(0).alias("x"), F.when(F.col("cell") >= 0, F.col("c")).otherwise(0).alias("c")
-        )
-        state = zeroed.groupBy(*by).agg(*totals).where(live)
-    return state.groupBy(*key).agg(
-        F.sum(F.when(F.col("cell") == -1, F.col("n")).otherwise(0)).alias("recovered"),
-        F.sum(F.when(F.col("cell") >= 0, 1).otherwise(0)).alias("stuck"),
+    # The key is a struct: for plain columns Spark would set a page of memory aside for each aggregate of the chain.
+    state = spread.select("part", F.struct("rn", "pair", "m", "cell").alias("at"), "n", "x", "c").groupBy("part", "at").agg(*totals).where(live)
+
+    def row(cell, n, x, c):
+        at = F.struct(F.col("at.rn").alias("rn"), F.col("at.pair").alias("pair"), F.col("at.m").alias("m"), cell.alias("cell"))
+        return F.struct(at.alias("at"), n.cast("int").alias("n"), x.alias("x"), c.alias("c"))
+
+    zero = F.lit(0).cast("long")
+    for i in range(ROUNDS):
+        share = F.floor(F.col("at.cell") / (F.col("at.m") / HASHES)).cast("int")  # -1 for the count
+        alone = (share == i % HASHES) & (F.abs("n") == 1) & (F.col("c") == _check(F.col("x")))
+        others = [row(_cell(F.col("x"), j, F.col("at.m"), seed), -F.col("n"), F.col("x"), F.col("c")) for j in range(HASHES) if j != i % HASHES]
+        count = row(F.lit(-1), F.lit(1), zero, zero)  # cell -1 counts the digests that were recovered
+        own = row(F.col("at.cell"), F.col("n"), F.col("x"), F.col("c"))
+        moved = state.select("part", F.explode(F.when(alone, F.array(*others, count)).otherwise(F.array(own))).alias("e"))
+        state = moved.select("part", "e.at", "e.n", "e.x", "e.c").groupBy("part", "at").agg(*totals).where(live)
+    of = lambda i, counted, value: F.coalesce(F.sum(F.when((F.col("at.pair") == i) & ((F.col("at.cell") < 0) == counted), value)), zero)
+    return state.groupBy("part", F.col("at.rn").alias("rn")).agg(
+        *(of(i, True, F.col("n")).alias(f"recovered{i}") for i in (0, 1)), *(of(i, False, F.lit(1)).alias(f"stuck{i}") for i in (0, 1))
     )
 
 
@@ -193,17 +193,12 @@ def _both_pairs(rows: DataFrame) -> DataFrame:
     return both.select("part", "rn", "p.pair", "p.left", "p.right")
 
 
-def _by_row(found: DataFrame) -> DataFrame:
-    own = lambda i, c: F.max(F.when(F.col("pair") == i, F.col(c))).alias(f"{c}{i}")
-    return found.groupBy("part", "rn").agg(*(own(i, c) for i in (0, 1) for c in ("recovered", "stuck")))
-
-
 def compare_versions(
     documents: DataFrame, doc: str = "doc_id", text: str = "text", tries: int = 4, broadcast_rows: int = 100_000
 ) -> DataFrame:
     """One row per document, with its fingerprint, its edited text's and the likeness to it and to the next document."""
     rows = _with_versions(_successors(documents, doc, text))
-    found = _by_row(differences(_both_pairs(rows), ["part", "rn", "pair"]))
+    found = differences(_both_pairs(rows))
     printed = rows.withColumns({"_own": places(F.col("own")), "_edited": places(F.col("edited"))}).select(
         "part",
         "rn",
@@ -237,7 +232,7 @@ def compare_versions(
         following = texts.select(F.col("d").alias("next_d"), F.col("th").alias("next_th"), F.col("text").alias("next_text"))
         again = stuck.join(texts, ["d", "th"]).join(following, ["next_d", "next_th"])
         pairs = _both_pairs(_with_versions(again)).repartition("part")
-        fixed = checkpoint(_by_row(differences(pairs, ["part", "rn", "pair"], seed=i, scale=4**i)).withColumn("try", F.lit(i)))
+        fixed = checkpoint(differences(pairs, seed=i, scale=4**i).withColumn("try", F.lit(i)))
         fixes = fixed if fixes is None else fixes.unionByName(fixed)
         left = fixed.where("stuck0 > 0 or stuck1 > 0").select("part", "rn")
         stuck = checkpoint(stuck.join(left, ["part", "rn"], "left_semi"))
