@@ -80,7 +80,7 @@ def _successors(documents: DataFrame, doc: str, text: str) -> DataFrame:
     """Each row with part, rn (its key), d, th, text and those of its successor in order of (d, th)."""
     spark = documents.sparkSession
     rows = documents.select(
-        F.col(doc).alias("doc"),
+        F.when(F.col(doc).isNull(), 1).otherwise(0).alias("mark"),  # 1: no id, 2: guest
         F.coalesce(F.col(doc), F.lit(_LAST)).alias("d"),
         F.xxhash64(text_or_empty(F.col(text))).alias("th"),
         text_or_empty(F.col(text)).alias("text"),
@@ -113,20 +113,21 @@ def _successors(documents: DataFrame, doc: str, text: str) -> DataFrame:
     guests = (
         placed.join(F.broadcast(first), ["d", "th"])  # one row a range
         .dropDuplicates(["to", "d", "th"])
-        .select("doc", "d", "th", "text", F.col("to").alias("part"), F.lit(True).alias("guest"))
+        .select("d", "th", "text", F.col("to").alias("part"), F.lit(2).alias("mark"))
     )
-    both = placed.withColumn("guest", F.lit(False)).unionByName(guests)
-    order = Window.partitionBy("part").orderBy("guest", "d", "th")
+    # A fixed number of partitions: a range's cells are many times its texts, so ranges are not put together.
+    both = placed.unionByName(guests).repartition(ranges, "part")
+    order = Window.partitionBy("part").orderBy(F.col("mark") == 2, "d", "th")
     return both.select(
         "part",
         F.row_number().over(order).alias("rn"),
-        "guest",
-        "doc",
+        "mark",
+        F.when(F.col("mark") == 0, F.col("d")).alias("doc"),
         "d",
         "th",
         "text",
         *(F.lead(c).over(order).alias(f"next_{c}") for c in ("d", "th", "text")),
-    ).where(~F.col("guest"))
+    ).where("mark < 2").drop("mark")
 
 
 def edit(text: Column, following: Column) -> Column:
