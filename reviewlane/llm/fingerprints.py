@@ -158,24 +158,21 @@ def differences(pairs: DataFrame, seed: int = 0, scale: int = 1) -> DataFrame:
     totals = [F.sum("n").cast("int").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c")]
     live = (F.col("n") != 0) | (F.col("x") != 0) | (F.col("c") != 0)
     # The key is a struct: for plain columns Spark would set a page of memory aside for each aggregate of the chain.
+    at = "struct(at.rn AS rn, at.pair AS pair, at.m AS m, CAST({} AS INT) AS cell) AS at"
     state = spread.select("part", F.struct("rn", "pair", "m", "cell").alias("at"), "n", "x", "c").groupBy("part", "at").agg(*totals).where(live)
-
-    def row(cell, n, x, c):
-        at = F.struct(F.col("at.rn").alias("rn"), F.col("at.pair").alias("pair"), F.col("at.m").alias("m"), cell.alias("cell"))
-        return F.struct(at.alias("at"), n.cast("int").alias("n"), x.alias("x"), c.alias("c"))
-
-    zero = F.lit(0).cast("long")
-    for i in range(ROUNDS):
-        share = F.floor(F.col("at.cell") / (F.col("at.m") / HASHES)).cast("int")  # -1 for the count
-        alone = (share == i % HASHES) & (F.abs("n") == 1) & (F.col("c") == _check(F.col("x")))
-        others = [row(_cell(F.col("x"), j, F.col("at.m"), seed), -F.col("n"), F.col("x"), F.col("c")) for j in range(HASHES) if j != i % HASHES]
-        count = row(F.lit(-1), F.lit(1), zero, zero)  # cell -1 counts the digests that were recovered
-        own = row(F.col("at.cell"), F.col("n"), F.col("x"), F.col("c"))
-        moved = state.select("part", F.explode(F.when(alone, F.array(*others, count)).otherwise(F.array(own))).alias("e"))
+    share = f"CAST(floor(at.m / {HASHES}) AS INT)"
+    for i in range(ROUNDS):  # the cells are those of _cell(); a count has cell -1 and so share -1
+        own = i % HASHES
+        alone = f"CAST(floor(at.cell / (at.m / {HASHES})) AS INT) = {own} AND abs(n) = 1 AND c = xxhash64('check', x)"
+        place = lambda j: at.format(f"{share} * {j} + pmod(xxhash64({seed}, {j}, x), {share})")
+        taken = [f"struct({place(j)}, -n AS n, x, c)" for j in range(HASHES) if j != own]
+        count = f"struct({at.format(-1)}, 1 AS n, 0L AS x, 0L AS c)"  # how many digests were recovered
+        moved = state.selectExpr("part", f"explode(CASE WHEN {alone} THEN array({', '.join(taken)}, {count}) ELSE array(struct(at, n, x, c)) END) AS e")
         state = moved.select("part", "e.at", "e.n", "e.x", "e.c").groupBy("part", "at").agg(*totals).where(live)
-    of = lambda i, counted, value: F.coalesce(F.sum(F.when((F.col("at.pair") == i) & ((F.col("at.cell") < 0) == counted), value)), zero)
+    of = "coalesce(sum(CASE WHEN at.pair = {} AND {} THEN {} END), 0L) AS {}{}"
     return state.groupBy("part", F.col("at.rn").alias("rn")).agg(
-        *(of(i, True, F.col("n")).alias(f"recovered{i}") for i in (0, 1)), *(of(i, False, F.lit(1)).alias(f"stuck{i}") for i in (0, 1))
+        *(F.expr(of.format(i, "at.cell < 0", "n", "recovered", i)) for i in (0, 1)),
+        *(F.expr(of.format(i, "at.cell >= 0", "1", "stuck", i)) for i in (0, 1)),
     )
 
 
