@@ -314,8 +314,8 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, obs_id) AS rank FRO
 _CHRONO = (
     _OBS
     + """,
-placed AS (SELECT *, row_number() OVER (ORDER BY start, obs_id) - 1 AS at, count(*) OVER () AS n FROM obs),
-cut AS (SELECT *, CASE WHEN at < floor(n * 0.70::DOUBLE) THEN 0 WHEN at < floor(n * 0.70::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 1 ELSE 2 END AS o FROM placed),
+placed AS (SELECT *, row_number() OVER (ORDER BY start, obs_id) - 1 AS spot, count(*) OVER () AS n FROM obs),
+cut AS (SELECT *, CASE WHEN spot < floor(n * 0.70::DOUBLE) THEN 0 WHEN spot < floor(n * 0.70::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 1 ELSE 2 END AS o FROM placed),
 chrono AS (SELECT *, ['train', 'calibration', 'test'][CAST(min(o) OVER (PARTITION BY episode) AS BIGINT) + 1] AS partition FROM cut)"""
 )
 
@@ -323,11 +323,11 @@ chrono AS (SELECT *, ['train', 'calibration', 'test'][CAST(min(o) OVER (PARTITIO
 def _cold_sql(entity: str, out: str) -> str:
     return f"""
 {out}_reps AS (
-    SELECT {entity}, row_number() OVER (ORDER BY substr(md5('0:' || {entity}), 1, 12), {entity}) - 1 AS at, count(*) OVER () AS n
+    SELECT {entity}, row_number() OVER (ORDER BY substr(md5('0:' || {entity}), 1, 12), {entity}) - 1 AS spot, count(*) OVER () AS n
     FROM (SELECT DISTINCT {entity} FROM obs WHERE {entity} IS NOT NULL)),
 {out} AS (
-    SELECT {entity}, CASE WHEN at < greatest(1, floor(n * 0.15::DOUBLE)) THEN 'test'
-        WHEN at < 2 * greatest(1, floor(n * 0.15::DOUBLE)) THEN 'calibration' ELSE 'train' END AS p FROM {out}_reps)"""
+    SELECT {entity}, CASE WHEN spot < greatest(1, floor(n * 0.15::DOUBLE)) THEN 'test'
+        WHEN spot < 2 * greatest(1, floor(n * 0.15::DOUBLE)) THEN 'calibration' ELSE 'train' END AS p FROM {out}_reps)"""
 
 
 _COLD = (
