@@ -169,7 +169,8 @@ def remove_repeats(
     own = [c for c in documents.columns if c not in added and c != text]
     order = F.coalesce(F.col(doc), F.lit(_LAST))
     whole = F.coalesce(F.col(text), F.lit(""))
-    texts = documents.select(*own, F.col(text).cast("binary").alias("t"), order.alias("d"), F.xxhash64(whole).alias("th"))
+    held = [f"_own{i}" for i in range(len(own))]  # names that clash with none used here
+    texts = documents.select(*(F.col(c).alias(x) for c, x in zip(own, held)), F.col(text).cast("binary").alias("t"), order.alias("d"), F.xxhash64(whole).alias("th"))
     # Copies: rows whose text a smaller id holds whole.
     hashes = texts.select("d", "th", F.crc32(F.coalesce("t", F.lit("").cast("binary"))).alias("tc"))
     least = hashes.groupBy("th", "tc").agg(F.min("d").alias("m"), F.max("d").alias("last")).where("m < last")
@@ -204,8 +205,8 @@ def remove_repeats(
                 removed.append(n - len(words))
                 out.append(joined.decode() if keep_text else hashlib.sha256(joined).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in own), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())],
+                [*(batch.column(c) for c in held), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())],
                 kept,
             )
 
-    return judged.select(*own, "t", "repeated", "copied").mapInArrow(run, schema)
+    return judged.select(*held, "t", "repeated", "copied").mapInArrow(run, schema)
