@@ -1,0 +1,191 @@
+"""Groups of near duplicates by Jaccard similarity: MinHash bands, every link verified.
+
+A text is the set of its word shingles (five words, XXH64, lower-cased in A-Z). Texts whose
+sets have a Jaccard similarity of `least` (0.8) or more are linked; groups are the connected
+components. Candidates are sets that agree in a band of ROWS minima out of BANDS bands: a
+pair at exactly 0.8 is met with probability 1 - (1 - 0.8^8)^48 = 0.9998. No link is taken
+without the exact similarity of both sets.
+
+Equal sets are one node from the start. A band bucket of up to RUN sets gives all its pairs;
+a longer one first gives each set one pair with its least and one with its successor, so a
+large group costs pairs in proportion to its sets. The likeliest pair of each set is verified
+first. All other pairs, of long buckets too, are verified only where they would connect two
+components, so none is left out.
+
+Defined results: null text has no words; texts without words are alike; fewer words than a
+shingle are one shingle; sets are told apart by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from reviewlane.llm.common import checkpoint
+from reviewlane.llm.simhash import components
+
+BANDS, ROWS = 48, 8
+RUN = 32  # longer buckets give a spanning set of pairs first
+_RNG = np.random.default_rng(20)
+#: Odd multipliers and offsets of the permutations, multipliers and salts of the bands.
+TIMES = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+PLUS = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+MIX = _RNG.integers(0, 1 << 64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+SALT = _RNG.integers(0, 1 << 64, BANDS, dtype=np.uint64)
+
+
+def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct digests (uint64) of the shingles of words between ASCII white space."""
+    split = (text or "").encode().lower().split()
+    if not split:
+        return np.zeros(0, np.uint64)
+    joined = memoryview(b" ".join(split))
+    ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = min(words, len(split))
+    spans = zip(starts[: len(split) - n + 1].tolist(), ends[n - 1 :].tolist())
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in spans], dtype=np.uint64))
+
+
+def band_keys(digests: np.ndarray) -> np.ndarray:
+    """One key (int64) for each band; none for an empty set."""
+    if not len(digests):
+        return np.zeros(0, np.int64)
+    short = (digests >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for part in np.array_split(short, max(1, len(short) // 512)):
+        np.minimum(least, (TIMES * part + PLUS).min(axis=1), out=least)
+    mixed = (least.reshape(BANDS, ROWS).astype(np.uint64) * MIX).sum(axis=1, dtype=np.uint64) ^ SALT
+    return mixed.view(np.int64)
+
+
+def _node(digests: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(digests.tobytes())
+
+
+def bands(rows: DataFrame, text: str = "text", words: int = 5) -> DataFrame:
+    """rows without the text, with node (the set's hash) and bands."""
+    kept = [c for c in rows.columns if c != text]
+    schema = rows.select(*kept, F.lit(0).cast("long").alias("node"), F.array(F.lit(0).cast("long")).alias("bands")).schema
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(x.as_py(), words) for x in batch.column(text)]
+            nodes = pa.array(np.array([_node(s) for s in sets], dtype=np.uint64).view(np.int64))
+            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), nodes, keys], [*kept, "node", "bands"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def bucket_pairs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), a < b, of sorted runs of equal keys; of a long run each node with its least and its successor."""
+    bounds = np.flatnonzero(np.diff(keys)) + 1
+    starts, ends = np.concatenate(([0], bounds)), np.concatenate((bounds, [len(keys)]))
+    sizes = ends - starts
+    short = ~np.repeat(sizes > RUN, sizes)
+    first = np.repeat(starts, sizes)
+    at = np.flatnonzero(~short & (first != np.arange(len(keys))))
+    found = [(first[at], at), (at - 1, at)]
+    for d in range(1, RUN):
+        at = np.flatnonzero((keys[:-d] == keys[d:]) & short[:-d])
+        if not len(at):
+            break
+        found.append((at, at + d))
+    a, b = (nodes[np.concatenate(x)] for x in zip(*found))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def candidates(buckets: DataFrame) -> DataFrame:
+    """(a, b, n): pairs of nodes and in how many buckets (columns key, node) they were met."""
+
+    def met(batches):
+        keys, nodes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            keys = np.concatenate([keys, batch.column(0).to_numpy()])
+            nodes = np.concatenate([nodes, batch.column(1).to_numpy()])
+            last = np.searchsorted(keys, keys[-1]) if len(keys) else 0  # the last run may go on
+            if last > 65536:
+                yield pairs(keys[:last], nodes[:last])
+                keys, nodes = keys[last:], nodes[last:]
+        if len(keys):
+            yield pairs(keys, nodes)
+
+    def pairs(keys, nodes):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in bucket_pairs(keys, nodes)], ["a", "b"])
+
+    dealt = buckets.repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(met, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, digests) have a Jaccard similarity of `least` or more."""
+    left = sets.select(F.col("node").alias("a"), F.col("digests").alias("_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("digests").alias("_b"))
+    both = F.size(F.array_intersect("_a", "_b"))
+    return (
+        pairs.select("a", "b")
+        .join(left, "a")
+        .join(right, "b")
+        .where(both >= F.lit(least) * (F.size("_a") + F.size("_b") - both))
+        .select("a", "b")
+    )
+
+
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that no component (node, root) holds both of."""
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"_{x}")) for x in "ab")
+    rooted = pairs.join(a, "a", "left").join(b, "b", "left")
+    return rooted.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
+def long_pairs(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): all pairs inside long buckets that are in different components (node, root)."""
+    long = buckets.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > RUN).select("key")
+    rooted = (
+        buckets.join(long, "key", "left_semi").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    )
+    shares = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots"))
+    open_ = checkpoint(rooted.join(largest.where("roots > 1").select("key", "most"), "key"))
+    rest = open_.where("root <> most").select("key", F.col("node").alias("x"), F.col("root").alias("_x"))
+    met = rest.join(open_.select("key", F.col("node").alias("y"), F.col("root").alias("_y")), "key").where("_x <> _y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def row_id(doc: Column, text: Column) -> Column:
+    """A row by id and text; orders by id, null ids last."""
+    return F.struct(doc.isNull().alias("none"), doc.alias("id"), F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"))
+
+
+def groups(documents: DataFrame, least: float = 0.8, words: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: row (as row_id) and root, a name of its group."""
+    rows = documents.select(row_id(F.col(doc), F.col(text)).alias("row"), F.col(text).alias("text"))
+    printed = checkpoint(bands(rows, words=words))
+    nodes = printed.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
+    every = nodes.select(F.explode("bands").alias("key"), "node")
+    shared = every.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
+    buckets = checkpoint(every.join(shared, "key", "left_semi"))
+    pairs = checkpoint(candidates(buckets))
+    # Digests are made only for sets that were met.
+    met = nodes.select("node", "row").join(buckets.select("node").distinct(), "node")
+
+    def digested(batches):
+        for batch in batches:
+            values = [shingles(x.as_py(), words).view(np.int64) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(values, pa.list_(pa.int64()))], ["node", "digests"])
+
+    same = lambda x: rows["row"][x].eqNullSafe(met["row"][x])
+    texts = rows.join(met, same("none") & same("id") & same("h") & same("c")).select("node", "text")
+    sets = texts.mapInArrow(digested, "node long, digests array<long>").groupBy("node").agg(F.first("digests").alias("digests"))
+    sets = checkpoint(sets)
+    likeliest = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    links = checkpoint(alike(likeliest, sets, least))
+    roots = components(links)
+    left = between(pairs, roots).union(long_pairs(buckets, roots)).distinct()
+    more = checkpoint(alike(left, sets, least))
+    roots = components(links.union(more))
+    return printed.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
