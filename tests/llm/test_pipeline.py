@@ -71,3 +71,17 @@ def test_near_duplicates(spark, documents):
     want = [min(m) for m in survivors(rows)]
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
     assert corpus_pipeline.drop_near_duplicates(spark, documents(rows).limit(0), "").count() == 0
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark, documents):
+    rng = random.Random(6)
+    texts = [" ".join(f"u{i}w{j}" for j in range(60)) for i in range(12)]
+    near = lambda t: " ".join(edited(t.split(), 1, rng))
+    rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:8]] + list(enumerate(texts[8:], 20))
+    rows += [(None, near(texts[8])), (7, near(texts[9])), (7, texts[4]), (None, texts[0]), (None, near(texts[1])), (30, near(texts[2]))]
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, documents(rows), "").collect()]
+    groups = list(survivors(rows))
+    assert len(kept) == len(set(kept)) == len(groups) == 12
+    for members in groups:
+        (stays,) = set(kept) & set(members)
+        assert (stays[0] is None, stays[0] or 0) == min((i is None, i or 0) for i, _ in members)
