@@ -2,7 +2,8 @@
 
 Two raw-content dictionaries are made from a bounded, documented sample of labelled rows:
 one of what toxic texts hold far more often than ordinary ones (stretches of words whose
-byte n-grams stand out), one of ordinary text of the same size. A text's words are cut
+byte n-grams stand out), one of ordinary text. The toxic one's size follows the vocabulary that is
+found. Neither is trained by zstandard. A text's words are cut
 into windows of `window` bytes; each is compressed without a dictionary, with the toxic
 and with the ordinary one. What the toxic dictionary saves, against none and against the
 ordinary one, is the distance; the largest, mean and top savings are calibrated to a
@@ -89,16 +90,17 @@ def _stretches(text: str, grams: set[bytes]) -> list[bytes]:
     return out
 
 
-def toxic_content(toxic: list[str], ordinary: list[str], size: int) -> bytes:
+def toxic_content(toxic: list[str], ordinary: list[str]) -> bytes:
     """The stems of the standing-out stretches, the best last, where matches are cheapest.
 
     The stem that occurs most, weighed by what a match of it can save, is taken first; the
-    stretches that hold it are then covered, and so on down to stems in 0.5 % of the texts.
+    stretches that hold it are then covered, and so on down to stems in 0.5 % of the texts. The
+    size follows the stems; the words that hold one may fill as many bytes again.
     """
     grams = standing_out(toxic, ordinary)
     left = Counter(s for t in toxic for s in set(_stretches(t, grams)))
     chosen = []
-    while left and sum(map(len, chosen)) < size:
+    while left:
         stems = Counter()
         for s, n in left.items():
             for part in {s[i:j] for i in range(len(s)) for j in range(i + 5, len(s) + 1)}:
@@ -111,6 +113,7 @@ def toxic_content(toxic: list[str], ordinary: list[str], size: int) -> bytes:
         chosen.append(best)
         left = Counter({s: n for s, n in left.items() if best not in s and s not in best})
     content = b"".join(reversed(chosen))
+    size = max(600, 2 * len(content))
     # Room that is left goes to the commonest words that hold a stem.
     words = Counter(w for t in toxic for w in set(_padded(t)) if any(s in w for s in chosen))
     for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
@@ -177,17 +180,17 @@ class Model:
         return score
 
 
-def fit_rows(rows: list[tuple[str, int]], prior: float, size: int = 600, window: int = 128) -> Model:
+def fit_rows(rows: list[tuple[str, int]], prior: float, window: int = 128) -> Model:
     """A model from sample rows (text, toxic); two of three rows make the dictionaries, the third calibrates."""
     model = Model(b"", b"", [], [], [], prior, window)
     toxic, ordinary = ([t for t, label in rows if label == k] for k in (1, 0))
     if min(len(toxic), len(ordinary)) < 6:
         return model
     cut_t, cut_o = len(toxic) * 2 // 3, len(ordinary) * 2 // 3
-    model.toxic = toxic_content(toxic[:cut_t], ordinary[:cut_o], size)
+    model.toxic = toxic_content(toxic[:cut_t], ordinary[:cut_o])
     if len(model.toxic) < 8:
         return model
-    model.ordinary = b" ".join(w for t in ordinary[:50] for w in plain_words(t) if w)[:512]
+    model.ordinary = b" ".join(w for t in ordinary[:50] for w in plain_words(t) if w)[: max(512, len(model.toxic))]
     model.mean, model.scale, model.weights = [0.0] * FEATURES, [1.0] * FEATURES, [0.0] * (FEATURES + 1)
     features = model.scorer().features
     x = np.array([features(t) for t in toxic[cut_t:] + ordinary[cut_o:]], dtype=float)
