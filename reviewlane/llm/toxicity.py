@@ -235,8 +235,11 @@ def fit(
         part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
     ids = F.broadcast(chosen.select("doc_id", "toxic", F.xxhash64("doc_id").alias("at"), "h"))  # at most toxic_rows + ordinary_rows
-    rows = documents.join(ids, (documents["doc_id"] == ids["doc_id"]) & (F.xxhash64("text") == ids["h"]))
-    found = sorted({(r["at"], r["text"], r["toxic"]) for r in rows.select("at", "text", "toxic").collect()})
+    texts = documents.select(F.col("doc_id").alias("_id"), "text")
+    rows = texts.join(ids, (texts["_id"] == ids["doc_id"]) & (F.xxhash64("text") == ids["h"]))
+    # Repeated rows become one before they leave the executors.
+    single = rows.groupBy("at", "h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    found = sorted((r["at"], r["text"], r["toxic"]) for r in single.collect())
     total = sum(counts.values())
     return fit_rows([(t, label) for _, t, label in found], counts.get(1, 0) / total if total else 0.0)
 
