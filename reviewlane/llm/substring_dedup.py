@@ -3,32 +3,41 @@
 A passage is `window` (13) or more consecutive words that an earlier document (smaller
 doc_id) also holds. Of every `window` words the word k-gram with the least hash is an
 anchor (winnowing), and which one it is depends on those words alone, so two documents
-that share a window share its anchor. Anchors that only one document holds are dropped by
-an aggregate and a semi-join. The others are seeds: from each, the match is extended both
-ways to the windows that it is the anchor of, and a window is repeated if its least
-document is smaller than the one at hand. Neighbouring repeated windows join up to the
-maximal repeats, whose words are removed. No pair of documents is ever built: documents
-meet their least holder only, so passages in a third of all documents cost one row each.
-
-A text that an earlier document holds whole is known as a copy by its hash; it is all
-repeated (from `window` words on) and gives no windows of its own.
-
-Windows and anchors are compared by hashes (64 and 48 bits); an anchor collision costs
-time only, a window collision among n windows has probability n^2 / 2^65.
+that share a window share its anchor.
+
+1. Seeds. Anchors are exchanged once, by their hash. All holders of an anchor are paired
+   with its first holder, the least in order of doc_id and place; no pair of two others is
+   built, so an anchor of a third of all documents costs one row for each of them. Anchors
+   that are frequent within one batch are paired in that batch, and only their first holder
+   there is exchanged, so that no task gets all holders of an anchor.
+2. Extension. A document's seeds name blocks of words of first holders; each such block is
+   fetched once and handed to those who ask. Seeds in line with each other are one match.
+   Its words are compared with the first holder's outwards from the anchors as far as the
+   windows that these are the anchors of, and equal stretches of `window` or more words are
+   the maximal repeats kept. No hash decides what is removed.
+3. Rest. A window that no first holder of its anchor has may still be held by another
+   document. Such windows are paired by 128 bits of their words' digest with their own
+   first holder, and these seeds are extended and compared in the same way.
+
+Texts are exchanged once, by id and 16 bits of their hash; every step joins that exchange.
 
 Defined results: null text has no words; null doc_id counts as larger than any id, so such
 rows lose to all others and not to each other; rows of one doc_id never remove each other,
-each keeps its own text's result; fewer than `window` words are kept; an empty table gives
-no rows; other columns pass through `remove_repeats`.
+each keeps its own text's result; fewer than `window` words are kept; a very long text is
+handled whole, by one task; an empty table gives no rows; other columns pass through
+`remove_repeats`, whatever their names.
+
+Limit: rows of equal doc_id and equal text meet in one partition of the texts' exchange.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +45,27 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP, _WORD_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_CHUNK = 1 << 20  # bytes of text handled at once
+_CHUNK = 1 << 22  # bytes of text handled at once
 _LAST = (1 << 63) - 1
+_FREQUENT = 4  # holders of an anchor in one chunk from which they are paired there
+_BLOCK = 32  # words fetched together
+
+#: A seed's place as one long: 30 bits of the anchor's place, 6 of how far before it its first
+#: window starts, 6 of how many more windows it has, 16 of the text's hash, two flags.
+_BEFORE, _MORE, _HASH = 30, 36, 42
+_MANY, _NEED = 1 << 58, 1 << 59
+
+
+def _place(at):
+    return at & ((1 << _BEFORE) - 1)
+
+
+def _before(at):
+    return at >> _BEFORE & 63
+
+
+def _more(at):
+    return at >> _MORE & 63
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -78,18 +106,20 @@ def _rolled(words: np.ndarray, n: int) -> np.ndarray:
     return _mixed(total)
 
 
-def anchored_windows(words: np.ndarray, rows: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """(row, window hash, anchor place, anchor hash) of each window of `window` words of one row."""
-    if len(words) < window:
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    starts = np.flatnonzero(rows[: len(rows) - window + 1] == rows[window - 1 :])
+def anchors(words: np.ndarray, rows: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """(row, hash, place, first window's start, number of windows) of each anchor; places count over all rows."""
+    empty = np.zeros(0, np.int64)
+    starts = np.flatnonzero(rows[: len(rows) - window + 1] == rows[window - 1 :]) if len(words) >= window else empty
+    if not len(starts):
+        return empty, empty.view(np.uint64), empty, empty, empty
     grams = _rolled(words, k)
     least, place = grams[starts], starts.copy()
     for j in range(1, window - k + 1):
         other = grams[starts + j]
         better = other <= least  # of equal grams the last, so that places never go back
         least, place = np.where(better, other, least), np.where(better, starts + j, place)
-    return rows[starts], _rolled(words, window)[starts], place, (least >> np.uint64(16)).astype(np.int64)
+    fresh = np.flatnonzero(np.diff(place, prepend=-1))
+    return rows[starts[fresh]], least[fresh], place[fresh], starts[fresh], np.diff(fresh, append=len(starts))
 
 
 def _chunks(batch: pa.RecordBatch, text: str):
@@ -106,55 +136,220 @@ def _chunks(batch: pa.RecordBatch, text: str):
         row = stop
 
 
-def _anchors(texts: DataFrame, window: int, k: int) -> DataFrame:
-    """(h, d): the distinct anchors of each text."""
+def _anchor_rows(texts: DataFrame, window: int, k: int) -> DataFrame:
+    """(key, d, at, first_d, first_at): each anchor of each text.
+
+    key is the anchor's hash; for a holder that is paired within its chunk it is another
+    one, and first_d and first_at name the holder there that it is paired with.
+    """
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("d").to_numpy()
+            ids, marks = batch.column("d").to_numpy(), batch.column("s").to_numpy().astype(np.int64)
             for lo, hi, data, offsets in _chunks(batch, "t"):
-                row, _, place, anchor = anchored_windows(*hashed_words(data, offsets), window, k)
-                fresh = np.flatnonzero(np.diff(place, prepend=-1))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[fresh]), pa.array(ids[lo:hi][row[fresh]])], ["h", "d"])
+                words, rows = hashed_words(data, offsets)
+                row, key, place, start, n = anchors(words, rows, window, k)
+                begin = np.searchsorted(rows, np.arange(hi - lo))
+                d = ids[lo:hi][row]
+                at = (place - begin[row]) | (place - start) << _BEFORE | (n - 1) << _MORE | marks[lo:hi][row] << _HASH
+                order = np.lexsort((at, d, key))
+                key, d, at = key[order], d[order], at[order]
+                head = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+                size = np.diff(head, append=len(key))
+                first = np.repeat(head, size)
+                paired = (np.repeat(size, size) > _FREQUENT) & (np.arange(len(key)) != first)
+                with_first = [pa.array(x[first], pa.int64(), mask=~paired) for x in (d, at)]
+                at[head[size > _FREQUENT]] |= _MANY
+                key = np.where(paired, _mixed(key + d.view(np.uint64) * _STEP + at.view(np.uint64)), key).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(d), pa.array(at), *with_first], ["key", "d", "at", "first_d", "first_at"])
+
+    return texts.select("d", "s", "t").mapInArrow(run, "key long, d long, at long, first_d long, first_at long")
+
 
-    return texts.select("d", "t").mapInArrow(run, "h long, d long")
+def _mark(at: str) -> Column:
+    return F.shiftright(at, _HASH).bitwiseAND(0xFFFF).cast("int")
 
 
-def _seeded_windows(seeded: DataFrame, window: int, k: int) -> DataFrame:
-    """(w, d): the distinct windows whose anchors are among the row's seeds."""
+def _seeds(rows: DataFrame) -> DataFrame:
+    """(d, s, at, m, mat): anchors with their first holder m, mat; without one where only their windows are needed.
+
+    The flag _NEED says that windows which the first holder lacks may be held by others.
+    """
+    group = Window.partitionBy("key").orderBy("d", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    many = F.max(F.col("at").bitwiseAND(_MANY)).over(group) > 0
+    joined = rows.select(
+        "d", "at", "first_d", "first_at",
+        F.first("d").over(group).alias("gd"), F.first("at").over(group).alias("ga"), F.last("d").over(group).alias("ld"),
+        F.count(F.lit(1)).over(group).alias("n"), many.alias("many"),
+    )
+    m = F.coalesce("first_d", "gd")
+    follows = F.col("d") > m
+    leads = (F.col("d") == F.col("gd")) & (F.col("at") == F.col("ga")) & F.col("first_d").isNull()
+    # The first holder's own windows are met by all of its group, but not by those paired in another chunk.
+    windows = F.when(leads, F.col("many")).otherwise((F.col("ld") > F.col("gd")) | F.col("many") | F.col("first_d").isNotNull())
+    need = F.when(follows, (F.col("n") > 2) | F.col("many") | F.col("first_d").isNotNull()).otherwise(True)
+    return joined.where(follows | windows).select(
+        "d", _mark("at").alias("s"), F.when(need, F.col("at").bitwiseOR(_NEED)).otherwise(F.col("at")).alias("at"),
+        F.when(follows, m).alias("m"), F.when(follows, F.coalesce("first_at", "ga")).alias("mat"),
+    )
+
+
+def _grouped(seeds: DataFrame) -> DataFrame:
+    return seeds.groupBy("d", "s").agg(F.collect_list(F.struct("at", "m", "mat")).alias("seeds"))
+
+
+def _fields(column: pa.ListArray, *names: str) -> tuple[list[int], list[np.ndarray]]:
+    """Ends of the rows of a column of arrays of structs, and the structs' fields as one array each."""
+    inner, lengths = column.flatten(), column.value_lengths().fill_null(0).to_numpy()
+    parts = dict(zip((f.name for f in inner.type), inner.flatten()))
+    return [0, *np.cumsum(lengths).tolist()], [parts[n] for n in names]
+
+
+def _asks(grouped: DataFrame, window: int) -> DataFrame:
+    """(d, s, m, ms, b): the blocks of the first holders' words that a document's seeds need."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("d").to_numpy()
-            seeds = batch.column("seeds")
-            for lo, hi, data, offsets in _chunks(batch, "t"):
-                row, whole, _, anchor = anchored_windows(*hashed_words(data, offsets), window, k)
-                bounds = np.searchsorted(row, np.arange(hi - lo + 1)).tolist()
-                found = [
-                    np.unique(whole[a:b][np.isin(anchor[a:b], seeds[lo + i].values.to_numpy())])
-                    for i, (a, b) in enumerate(zip(bounds, bounds[1:]))
-                ]
-                owner = np.repeat(ids[lo:hi], [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(owner)], ["w", "d"])
-
-    return seeded.select("d", "t", "seeds").mapInArrow(run, "w long, d long")
-
-
-def _kept_words(text: bytes, repeated: np.ndarray | None, copied: bool, window: int) -> tuple[list[bytes], int]:
-    """The words that stay and the number of all words."""
-    words = text.split()
-    if copied and len(words) >= window:
-        return [], len(words)
-    if repeated is None or not len(repeated) or len(words) < window:
-        return words, len(words)
-    hashes, _ = hashed_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    hit = np.isin(_rolled(hashes, window), repeated)
-    steps = np.zeros(len(words) + 1, np.int64)
-    at = np.flatnonzero(hit)
-    np.add.at(steps, at, 1)
-    np.add.at(steps, at + window, -1)
-    gone = np.cumsum(steps[:-1]) > 0
-    return [w for w, x in zip(words, gone.tolist()) if not x], len(words)
+            ends, (at, m, mat) = _fields(batch.column("seeds"), "at", "m", "mat")
+            known = m.is_valid().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[known]
+            at, m, mat = at.to_numpy()[known], m.fill_null(0).to_numpy()[known], mat.fill_null(0).to_numpy()[known]
+            a = _place(mat) - _before(at)
+            first, last = np.maximum(a, 0) // _BLOCK, (a + _more(at) + window - 1) // _BLOCK
+            n = last - first + 1
+            take = np.repeat(np.arange(len(n)), n)
+            block = first[take] + np.arange(len(take)) - np.repeat(np.cumsum(n) - n, n)
+            rows = np.unique(np.stack([owner[take], m[take], (mat >> _HASH & 0xFFFF)[take], block], 1), axis=0) if len(take) else np.zeros((0, 4), np.int64)
+            columns = [batch.column("d").take(pa.array(rows[:, 0])), batch.column("s").take(pa.array(rows[:, 0])), rows[:, 1], rows[:, 2].astype(np.int32), rows[:, 3]]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["d", "s", "m", "ms", "b"])
+
+    return grouped.select("d", "s", "seeds").mapInArrow(run, "d long, s int, m long, ms int, b long")
+
+
+def _provided(asked: DataFrame) -> DataFrame:
+    """(m, ms, b, words): each asked block; asked has the texts' columns and blocks, rows of one key beside each other."""
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            out = ([], [], [], [])
+            for d, s, t, blocks in zip(batch.column("d").to_pylist(), batch.column("s").to_pylist(), batch.column("t"), batch.column("blocks").to_pylist()):
+                text = t.as_py() or b""
+                if (d, s, text) == last:  # a repeated row
+                    continue
+                last = (d, s, text)
+                words = text.split()
+                for b in blocks:
+                    found = words[b * _BLOCK : (b + 1) * _BLOCK]
+                    if found:
+                        for column, x in zip(out, (d, s, b, b" ".join(found))):
+                            column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["m", "ms", "b", "words"])
+
+    return asked.mapInArrow(run, "m long, ms int, b long, words binary")
+
+
+def matches(at: list[int], m: list[int | None], mat: list[int], window: int) -> list[tuple]:
+    """(start, end, holder, shift) of the stretches to compare: seeds in line with each other are one."""
+    out: list[list] = []
+    for i in sorted(range(len(at)), key=lambda i: _place(at[i])):
+        if m[i] is None:
+            continue
+        start = _place(at[i]) - _before(at[i])
+        end, holder, shift = start + _more(at[i]) + window, (m[i], mat[i] >> _HASH & 0xFFFF), _place(mat[i]) - _place(at[i])
+        if out and out[-1][2:] == [holder, shift] and start <= out[-1][1]:
+            out[-1][1] = end
+        else:
+            out.append([start, end, holder, shift])
+    return [tuple(x) for x in out]
+
+
+def extended(words: list[bytes], match: tuple, blocks: dict, window: int) -> list[tuple[int, int]]:
+    """The maximal stretches of `window` or more words in which both documents agree within a match."""
+    start, end, holder, shift = match
+    start, end = max(start, -shift, 0), min(end, len(words))
+    found = []
+    options = [blocks.get((*holder, b), []) for b in range((start + shift) // _BLOCK, (end + shift - 1) // _BLOCK + 1)]
+    for i in range(max(map(len, options), default=0)):  # more than one only if texts of one id agree in their hash
+        theirs: list = []
+        for held in options:
+            one = held[min(i, len(held) - 1)] if held else []
+            theirs += [*one, *[None] * (_BLOCK - len(one))]
+        theirs = theirs[(start + shift) % _BLOCK :]
+        mine = words[start:end]
+        if mine == theirs[: len(mine)]:
+            if len(mine) >= window:
+                found.append((start, end))
+            continue
+        begin = 0
+        for j in range(len(mine) + 1):
+            if j == len(mine) or mine[j] != theirs[j]:
+                if j - begin >= window:
+                    found.append((start + begin, start + j))
+                begin = j + 1
+    return found
+
+
+def _digest(words: list[bytes]) -> tuple[int, int]:
+    raw = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
+def _compared(asked: DataFrame, window: int) -> DataFrame:
+    """(key, key2, d, at, th, lo, hi): the repeats found in each text, and its windows that others may hold.
+
+    A repeat has th, lo and hi; a window has none of them, and its digest is the key.
+    """
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2
+    names = ["key", "key2", "d", "at", "th", "lo", "hi"]
+
+    def run(batches):
+        for batch in batches:
+            ends, (at, m, mat) = _fields(batch.column("seeds"), "at", "m", "mat")
+            at, m, mat = at.to_pylist(), m.to_pylist(), mat.to_pylist()
+            stops, fields = _fields(batch.column("answers"), "m", "ms", "b", "words")
+            fields = [x.to_pylist() for x in fields]
+            out = []
+            for i, (d, s, th, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("d", "s", "th", "t")))):
+                words = (t or b"").split()
+                blocks = defaultdict(list)
+                for j in range(stops[i], stops[i + 1]):
+                    blocks[fields[0][j], fields[1][j], fields[2][j]].append(fields[3][j].split())
+                here = slice(ends[i], ends[i + 1])
+                repeats = [r for x in matches(at[here], m[here], mat[here], window) for r in extended(words, x, blocks, window)]
+                out += [((lo * 0x9E3779B1 ^ th), 0, d, s << _HASH, th, lo, hi) for lo, hi in repeats]
+                need = [x for x in at[here] if x & _NEED]
+                if need:
+                    known = np.zeros(len(words) + 1, np.int64)
+                    for lo, hi in repeats:
+                        known[lo] += 1
+                        known[hi - window + 1] -= 1
+                    known = np.cumsum(known).tolist()
+                    starts = {w for x in need for w in range(_place(x) - _before(x), _place(x) - _before(x) + _more(x) + 1)}
+                    for w in sorted(starts):
+                        if 0 <= w <= len(words) - window and not known[w]:
+                            out.append((*_digest(words[w : w + window]), d, w | s << _HASH, None, None, None))
+            columns = zip(*out) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], names)
+
+    return asked.mapInArrow(run, "key long, key2 long, d long, at long, th long, lo int, hi int")
+
+
+def _extended_seeds(texts: DataFrame, seeds: DataFrame, window: int) -> DataFrame:
+    """_compared() of all texts that have seeds, with the first holders' words fetched."""
+    grouped = _grouped(seeds)
+    asks = _asks(grouped, window)
+    wanted = asks.groupBy(F.col("m").alias("d"), F.col("ms").alias("s")).agg(F.collect_set("b").alias("blocks"))
+    provided = _provided(texts.join(wanted, ["d", "s"]))
+    answers = asks.join(provided, ["m", "ms", "b"]).groupBy("d", "s").agg(F.collect_list(F.struct("m", "ms", "b", "words")).alias("answers"))
+    return _compared(texts.join(grouped, ["d", "s"]).join(answers, ["d", "s"], "left"), window)
+
+
+def _window_seeds(rows: DataFrame) -> DataFrame:
+    """Seeds of the windows that a smaller document also has, with the first holder of each."""
+    group = Window.partitionBy("key", "key2").orderBy("d", "at")
+    first = [F.first(c).over(group).alias(a) for c, a in (("d", "m"), ("at", "mat"))]
+    return rows.where("th IS NULL").select("d", _mark("at").alias("s"), "at", *first).where("d > m")
 
 
 def remove_repeats(
@@ -163,28 +358,29 @@ def remove_repeats(
     """documents with n_words, n_removed and, as `text`, the kept words joined by one space.
 
     Without keep_text the text's SHA-256 stands in kept_sha256 and the text is dropped.
-    Columns of these names are replaced.
+    Columns of these names are replaced. window - k may be 63 at most.
     """
+    if not 1 <= k <= window or window - k > 63:
+        raise ValueError("k must lie between 1 and window, and window - k under 64")
     added = ["n_words", "n_removed", "kept_sha256"]
     own = [c for c in documents.columns if c not in added and c != text]
-    order = F.coalesce(F.col(doc), F.lit(_LAST))
-    whole = F.coalesce(F.col(text), F.lit(""))
     held = [f"_own{i}" for i in range(len(own))]  # names that clash with none used here
-    texts = documents.select(*(F.col(c).alias(x) for c, x in zip(own, held)), F.col(text).cast("binary").alias("t"), order.alias("d"), F.xxhash64(whole).alias("th"))
-    # Copies: rows whose text a smaller id holds whole.
-    hashes = texts.select("d", "th", F.crc32(F.coalesce("t", F.lit("").cast("binary"))).alias("tc"))
-    least = hashes.groupBy("th", "tc").agg(F.min("d").alias("m"), F.max("d").alias("last")).where("m < last")
-    copies = hashes.join(least, ["th", "tc"]).where("d > m").select("d", "th").distinct().withColumn("copied", F.lit(True))
-
-    anchors = _anchors(texts, window, k)
-    shared = anchors.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("h")
-    seeds = anchors.join(shared, "h", "left_semi").groupBy("d").agg(F.collect_set("h").alias("seeds"))
-    located = texts.select("d", "t", "th")
-    seeded = located.join(seeds, "d").join(copies, ["d", "th"], "left_anti")
-    windows = _seeded_windows(seeded, window, k)
-    first = windows.groupBy("w").agg(F.min("d").alias("m"), F.max("d").alias("last")).where("m < last").select("w", "m")
-    repeated = windows.join(first, "w").where("d > m").groupBy("d").agg(F.collect_set("w").alias("repeated"))
-    judged = texts.join(repeated, "d", "left").join(copies, ["d", "th"], "left")
+    th = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    # All steps take all of these columns, so that Spark can reuse one exchange for them.
+    texts = documents.select(
+        F.coalesce(F.col(doc), F.lit(_LAST)).alias("d"),
+        th.bitwiseAND(0xFFFF).cast("int").alias("s"),
+        th.alias("th"),
+        F.col(text).cast("binary").alias("t"),
+        *(F.col(c).alias(x) for c, x in zip(own, held)),
+    )
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seeds = _seeds(_anchor_rows(texts, window, k).repartition(parts, "key"))
+    compared = _extended_seeds(texts, seeds, window).repartition(parts, "key")
+    again = _extended_seeds(texts, _window_seeds(compared), window)
+    found = compared.where("th IS NOT NULL").unionByName(again.where("th IS NOT NULL"))
+    repeats = found.groupBy("d", _mark("at").alias("s")).agg(F.collect_list(F.struct("th", "lo", "hi")).alias("repeats"))
+    judged = texts.join(repeats, ["d", "s"], "left")
 
     kept = [*own, *added[:2], text if keep_text else added[2]]
     schema = T.StructType(
@@ -195,18 +391,26 @@ def remove_repeats(
 
     def run(batches):
         for batch in batches:
-            columns = zip(batch.column("t"), batch.column("repeated"), batch.column("copied").to_pylist())
+            ends, fields = _fields(batch.column("repeats"), "th", "lo", "hi")
+            whose, lo, hi = (x.to_pylist() for x in fields)
             counts, removed, out = [], [], []
-            for t, w, copied in columns:
-                hit = w.values.to_numpy().view(np.uint64) if w.is_valid else None
-                words, n = _kept_words(t.as_py() or b"", hit, bool(copied), window)
-                joined = b" ".join(words)
-                counts.append(n)
-                removed.append(n - len(words))
+            for i, (t, th) in enumerate(zip(batch.column("t"), batch.column("th").to_pylist())):
+                words = (t.as_py() or b"").split()
+                steps = np.zeros(len(words) + 1, np.int64)
+                for j in range(ends[i], ends[i + 1]):
+                    if whose[j] == th:
+                        steps[lo[j]] += 1
+                        steps[hi[j]] -= 1
+                left = words
+                if ends[i] < ends[i + 1]:
+                    left = [w for w, gone in zip(words, np.cumsum(steps[:-1]).tolist()) if not gone]
+                joined = b" ".join(left)
+                counts.append(len(words))
+                removed.append(len(words) - len(left))
                 out.append(joined.decode() if keep_text else hashlib.sha256(joined).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in held), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())],
                 kept,
             )
 
-    return judged.select(*held, "t", "repeated", "copied").mapInArrow(run, schema)
+    return judged.mapInArrow(run, schema)
