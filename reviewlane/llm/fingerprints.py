@@ -1,23 +1,29 @@
 """Document fingerprints: an invertible Bloom lookup sketch of hashed paragraphs.
 
 A text's paragraphs (its lines, cut every `piece` words) are hashed and put into a table of
-cells, one cell in each third of the table. A cell keeps how many hashes it
-got, their XOR and the XOR of their check values. Subtracting the tables of two versions
-cancels what they share. Peeling the rest - a cell of one hash gives it back, which empties
-its other cells and frees others - recovers the digests in which the versions differ. A
-pair whose peeling gets stuck is tried again with a table four times larger.
-
-Everything is joins, aggregates and expressions of Spark. Documents are cut into ranges of
-doc_id whose bounds are approximate quantiles; the first row of each range is also sent to
-the range before, so each range finds every row's successor by itself. Tables of a pair are
-built and peeled where the pair is, without another exchange.
+`cells` cells, one cell in each third of the table. A cell keeps how many hashes it got,
+their XOR and the XOR of their check values. The table is the fingerprint. Subtracting the
+tables of two versions cancels what they share. Peeling the rest - a cell of one hash gives
+it back, which empties its other cells and frees others - recovers the digests in which the
+versions differ. A pair whose peeling gets stuck is tried again with a table `growth` times
+larger; what is still stuck after `tries` tables is taken from the digests themselves.
+
+Everything is expressions of Spark. A table is an array of its cells in use, built by
+sorting (cell, hash) entries and merging neighbours, so a row costs as much as it has
+paragraphs, and a pair is subtracted, peeled and tried again within its row. Documents are
+cut into ranges of (doc_id, hash of the text); the first row of each range is also sent to
+the range before, so each range finds every row's successor by itself, and each text is
+exchanged once.
 
 Defined results: null text is empty; null doc_id comes after all ids; rows of one doc_id
-follow each other by the hash of their text; the last row's successor is the first; a text
-without words has no paragraphs, and two such texts have likeness 1; a paragraph repeated
-in a text counts once; equal texts have equal fingerprints; likeness is 1 minus the share
-of paragraphs, counted in both texts, that differ; if all tries get stuck, the paragraphs
-not recovered count as alike; an empty table gives no rows.
+follow each other by the hash of their text, so an id on many rows is cut into several
+ranges; the last row's successor is the first; a text without words has no paragraphs, and
+two such texts have likeness 1; a paragraph repeated in a text counts once; equal texts have
+equal fingerprints; likeness is 1 minus the share of paragraphs, counted in both texts, that
+differ; a very long text is handled whole, within its row; other columns are dropped,
+whatever their names; an empty table gives no rows.
+
+Limit: rows of equal doc_id and equal text stay in one range.
 """
 
 from __future__ import annotations
@@ -25,59 +31,125 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlane.llm.common import checkpoint, text_or_empty
+from reviewlane.llm.common import text_or_empty
 
-CELLS = 12  # of the printed fingerprint
+CELLS = 96
 HASHES = 3
-ROUNDS = 9
+ROUNDS = 12
 _LAST = (1 << 63) - 1
+_CELL = "array<struct<cell:int,n:int,x:bigint,c:bigint>>"
 
 
-def paragraphs(text: Column, piece: int = 8) -> Column:
+def paragraphs(text: Column, piece: int = 32) -> Column:
     """Distinct hashes of the text's lines, each line cut every `piece` words."""
     parts = F.regexp_extract_all(text, F.lit(rf"(\S+(?:[ \t]+\S+){{0,{piece - 1}}})"), F.lit(1))
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
-def _cell(x: Column, j: int, cells: Column | int, seed: Column | int) -> Column:
-    part = F.floor((F.lit(cells) if isinstance(cells, int) else cells) / HASHES).cast("int")
-    seed = F.lit(seed) if isinstance(seed, int) else seed
-    return (part * j + F.pmod(F.xxhash64(seed, F.lit(j), x), part)).cast("int")
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _check(x: Column) -> Column:
-    return F.xxhash64(F.lit("check"), x)
+    return F.shiftrightunsigned(F.xxhash64(F.lit("check"), x), 32)
+
+
+def _entries(hashes: Column, n: int, cells: int) -> Column:
+    """Each hash once for its cell in each third of the table."""
+    third = cells // HASHES
+
+    def of(x):
+        cell = lambda j: (F.pmod(F.xxhash64(F.lit(cells), F.lit(j), x), F.lit(third)) + third * j).cast("int")
+        one = lambda j: F.struct(cell(j).alias("cell"), F.lit(n).alias("n"), x.alias("x"), _check(x).alias("c"))
+        return F.array(*map(one, range(HASHES)))
+
+    return F.flatten(F.transform(hashes, of))
+
+
+def _merged(entries: Column) -> Column:
+    """The cells that are in use, in order, of entries and cells in any order."""
+    none = F.struct(F.lit(-1).alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
+    start = F.struct(none.alias("open"), F.array().cast(_CELL).alias("done"))
+
+    def closed(a):
+        live = (a["open"]["n"] != 0) | (a["open"]["x"] != 0) | (a["open"]["c"] != 0)
+        return F.when(live, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
+
+    def add(a, e):
+        o = a["open"]
+        sums = (o["n"] + e["n"]).alias("n"), o["x"].bitwiseXOR(e["x"]).alias("x"), o["c"].bitwiseXOR(e["c"]).alias("c")
+        more = F.struct(F.struct(o["cell"].alias("cell"), *sums).alias("open"), a["done"].alias("done"))
+        return F.when(o["cell"] == e["cell"], more).otherwise(F.struct(e.alias("open"), closed(a).alias("done")))
+
+    return F.aggregate(F.sort_array(entries), start, add, closed)
+
 
+def sketch(hashes: Column, cells: int = CELLS) -> Column:
+    """The table of distinct hashes: (cell, n, x, c) of each cell in use."""
+    return _merged(_entries(hashes, 1, cells))
 
-def places(hashes: Column) -> Column:
-    """Each hash with its check value and its cell in each third of the printed table."""
-    return F.transform(
-        hashes,
-        lambda x: F.struct(x.alias("x"), _check(x).alias("c"), *(_cell(x, j, CELLS, 0).alias(f"p{j}") for j in range(HASHES))),
+
+def subtract(left: Column, right: Column) -> Column:
+    """The cells in which two tables of one size differ; n tells which side has more."""
+    negated = F.transform(right, lambda e: F.struct(e["cell"].alias("cell"), (-e["n"]).alias("n"), e["x"].alias("x"), e["c"].alias("c")))
+    return _merged(F.concat(left, negated))
+
+
+def peel(table: Column, cells: int = CELLS, rounds: int = ROUNDS) -> Column:
+    """struct(found, stuck): how many digests of both sides were recovered, and how many cells did not empty."""
+    alone = lambda t, n: F.array_distinct(
+        F.transform(F.filter(t, lambda e: (e["n"] == n) & (e["c"] == _check(e["x"]))), lambda e: e["x"])
+    )
+
+    def taken(s, one):
+        gone = F.concat(s["table"], _entries(one["left"], -1, cells), _entries(one["right"], 1, cells))
+        return F.struct(_merged(gone).alias("table"), (s["found"] + F.size(one["left"]) + F.size(one["right"])).alias("found"))
+
+    def step(s, _):
+        found = F.struct(alone(s["table"], 1).alias("left"), alone(s["table"], -1).alias("right"))
+        return F.when(F.size(s["table"]) == 0, s).otherwise(_let(found, lambda one: taken(s, one)))
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(rounds)),
+        F.struct(table.alias("table"), F.lit(0).alias("found")),
+        step,
+        lambda s: F.struct(s["found"].alias("found"), F.size(s["table"]).alias("stuck")),
     )
 
 
-def fingerprint(placed: Column) -> Column:
-    """The table of CELLS cells as hexadecimal text: count, XOR and (half of) check XOR of each cell."""
-    per = CELLS // HASHES
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
+def differences(left: Column, right: Column, left_table: Column, right_table: Column, cells: int = CELLS, growth: int = 4, tries: int = 3) -> Column:
+    """How many of the distinct hashes left and right are in one of them only, by their tables and, where these fail, larger ones."""
+    exact = F.size(F.array_except(left, right)) + F.size(F.array_except(right, left))
+
+    def attempt(i: int) -> Column:
+        if i == tries:
+            return exact
+        size = cells * growth**i
+        tables = (left_table, right_table) if i == 0 else (sketch(left, size), sketch(right, size))
+        return _let(peel(subtract(*tables), size), lambda r: F.when(r["stuck"] == 0, r["found"]).otherwise(attempt(i + 1)))
 
-    def cell(c: int) -> Column:
-        def add(a, e):
-            more = F.struct((a["n"] + 1).alias("n"), a["x"].bitwiseXOR(e["x"]).alias("x"), a["c"].bitwiseXOR(e["c"]).alias("c"))
-            return F.when(e[f"p{c // per}"] == c, more).otherwise(a)
+    return attempt(0)
 
-        def shown(a):
-            half = F.shiftrightunsigned(a["c"], 32)
-            return F.concat(F.lpad(F.hex(a["n"]), 4, "0"), F.lpad(F.hex(a["x"]), 16, "0"), F.lpad(F.hex(half), 8, "0"))
 
-        return F.aggregate(placed, zero, add, shown)
+def fingerprint(table: Column) -> Column:
+    """The table as text: its cells in use as cell, count, XOR and check XOR in hexadecimal digits, after the number of entries."""
+    shown = F.transform(table, lambda e: F.concat(F.lpad(F.hex(e["cell"]), 4, "0"), F.lpad(F.hex(e["n"]), 8, "0"), F.lpad(F.hex(e["x"]), 16, "0"), F.lpad(F.hex(e["c"]), 8, "0")))
+    entries = F.aggregate(table, F.lit(0), lambda a, e: a + e["n"])
+    return F.lower(F.concat(F.lpad(F.hex(entries), 8, "0"), F.array_join(shown, "")))
 
-    return F.lower(F.concat(*map(cell, range(CELLS))))
+
+def _bounds(documents: DataFrame, doc: str, ranges: int) -> list[tuple[int, int]]:
+    """Upper bounds (d, th) of ranges - 1 ranges; an id that fills several ranges is cut by the texts' hashes."""
+    ids = documents.select(F.coalesce(F.col(doc), F.lit(_LAST)).alias("d"))
+    shares = [i / ranges for i in range(1, ranges)]
+    found = ids.agg(F.percentile_approx("d", shares, 10 * ranges).alias("q")).first()["q"] or []  # as many as ranges
+    times = {d: found.count(d) for d in set(found)}
+    return [(d, -(1 << 63) + (1 << 64) * i // n - 1) for d, n in sorted(times.items()) for i in range(1, n + 1)]
 
 
 def _successors(documents: DataFrame, doc: str, text: str) -> DataFrame:
-    """Each row with part, rn (its key), d, th, text and those of its successor in order of (d, th)."""
+    """doc, text and next_text of each row, in order of (d, th) the text of the row that follows."""
     spark = documents.sparkSession
     rows = documents.select(
         F.when(F.col(doc).isNull(), 1).otherwise(0).alias("mark"),  # 1: no id, 2: guest
@@ -86,22 +158,20 @@ def _successors(documents: DataFrame, doc: str, text: str) -> DataFrame:
         text_or_empty(F.col(text)).alias("text"),
     )
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / ranges for i in range(1, ranges)]
-    ids = documents.select(F.coalesce(F.col(doc), F.lit(_LAST)).alias("d"))
-    found = ids.agg(F.percentile_approx("d", shares, 10 * ranges).alias("q")).first()["q"]  # as many as ranges
-    bounds = sorted(set(found or []))
-    array = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<bigint>")
-    steps = max(1, len(bounds).bit_length() + 1)
+    bounds = _bounds(documents, doc, ranges)
+    longs = lambda values: F.from_json(F.lit(str(values)), "array<bigint>")
+    ids, hashes = longs([d for d, _ in bounds]), longs([h for _, h in bounds])
 
     def halve(s, _):
         middle = ((s["lo"] + s["hi"]) / 2).cast("int")
-        below = (s["lo"] < s["hi"]) & (F.get(array, middle) < F.col("d"))
+        at = F.get(ids, middle)
+        below = (s["lo"] < s["hi"]) & ((at < F.col("d")) | ((at == F.col("d")) & (F.get(hashes, middle) < F.col("th"))))
         return F.struct(
             F.when(below, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(F.least(middle, s["hi"])).alias("hi")
         )
 
     part = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
+        F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)),
         F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")),
         halve,
         lambda s: s["lo"],
@@ -115,19 +185,10 @@ def _successors(documents: DataFrame, doc: str, text: str) -> DataFrame:
         .dropDuplicates(["to", "d", "th"])
         .select("d", "th", "text", F.col("to").alias("part"), F.lit(2).alias("mark"))
     )
-    # A fixed number of partitions: a range's cells are many times its texts, so ranges are not put together.
     both = placed.unionByName(guests).repartition(ranges, "part")
     order = Window.partitionBy("part").orderBy(F.col("mark") == 2, "d", "th")
-    return both.select(
-        "part",
-        F.row_number().over(order).alias("rn"),
-        "mark",
-        F.when(F.col("mark") == 0, F.col("d")).alias("doc"),
-        "d",
-        "th",
-        "text",
-        *(F.lead(c).over(order).alias(f"next_{c}") for c in ("d", "th", "text")),
-    ).where("mark < 2").drop("mark")
+    followed = both.select("mark", F.when(F.col("mark") == 0, F.col("d")).alias("doc"), "text", F.lead("text").over(order).alias("next_text"))
+    return followed.where("mark < 2").drop("mark")
 
 
 def edit(text: Column, following: Column) -> Column:
@@ -136,111 +197,32 @@ def edit(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(following, F.lit(1), half))
 
 
-def differences(pairs: DataFrame, seed: int = 0, scale: int = 1) -> DataFrame:
-    """part, rn, recovered0, stuck0, recovered1, stuck1 of pairs (part, rn, pair, left, right).
-
-    recovered: digests that differ; stuck: cells that did not empty, of pair 0 and 1. left and
-    right are arrays of distinct hashes; all rows of a pair are in one partition of `part`,
-    so that no exchange is needed. Rounds take one share of the table in turn: a digest has
-    one cell in each share, so a round takes no digest out twice.
-    """
-    size = F.size("left") + F.size("right")
-    cells = ((size * 2.5 + 48) * scale / HASHES).cast("int") * HASHES
-    signed = F.concat(
-        F.transform("left", lambda x: F.struct(F.lit(1).alias("n"), x.alias("x"))),
-        F.transform("right", lambda x: F.struct(F.lit(-1).alias("n"), x.alias("x"))),
-    )
-    one = pairs.select("part", "rn", "pair", cells.alias("m"), F.explode(signed).alias("e")).select("part", "rn", "pair", "m", "e.n", "e.x")
-    spread = one.select(
-        "part", "rn", "pair", "m", "n", "x", _check(F.col("x")).alias("c"),
-        F.explode(F.array(*(_cell(F.col("x"), j, F.col("m"), seed) for j in range(HASHES)))).alias("cell"),
-    )
-    totals = [F.sum("n").cast("int").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c")]
-    live = (F.col("n") != 0) | (F.col("x") != 0) | (F.col("c") != 0)
-    # The key is a struct: for plain columns Spark would set a page of memory aside for each aggregate of the chain.
-    at = "struct(at.rn AS rn, at.pair AS pair, at.m AS m, CAST({} AS INT) AS cell) AS at"
-    state = spread.select("part", F.struct("rn", "pair", "m", "cell").alias("at"), "n", "x", "c").groupBy("part", "at").agg(*totals).where(live)
-    share = f"CAST(floor(at.m / {HASHES}) AS INT)"
-    for i in range(ROUNDS):  # the cells are those of _cell(); a count has cell -1 and so share -1
-        own = i % HASHES
-        alone = f"CAST(floor(at.cell / (at.m / {HASHES})) AS INT) = {own} AND abs(n) = 1 AND c = xxhash64('check', x)"
-        place = lambda j: at.format(f"{share} * {j} + pmod(xxhash64({seed}, {j}, x), {share})")
-        taken = [f"struct({place(j)}, -n AS n, x, c)" for j in range(HASHES) if j != own]
-        count = f"struct({at.format(-1)}, 1 AS n, 0L AS x, 0L AS c)"  # how many digests were recovered
-        moved = state.selectExpr("part", f"explode(CASE WHEN {alone} THEN array({', '.join(taken)}, {count}) ELSE array(struct(at, n, x, c)) END) AS e")
-        state = moved.select("part", "e.at", "e.n", "e.x", "e.c").groupBy("part", "at").agg(*totals).where(live)
-    of = "coalesce(sum(CASE WHEN at.pair = {} AND {} THEN {} END), 0L) AS {}{}"
-    return state.groupBy("part", F.col("at.rn").alias("rn")).agg(
-        *(F.expr(of.format(i, "at.cell < 0", "n", "recovered", i)) for i in (0, 1)),
-        *(F.expr(of.format(i, "at.cell >= 0", "1", "stuck", i)) for i in (0, 1)),
-    )
-
-
-def _with_versions(rows: DataFrame) -> DataFrame:
-    """rows (text, next_text) with own, edited and following: the paragraphs of the three texts."""
-    edited = rows.withColumn("edited_text", edit(F.col("text"), F.col("next_text")))
-    return edited.withColumns(
-        {"own": paragraphs(F.col("text")), "edited": paragraphs(F.col("edited_text")), "following": paragraphs(F.col("next_text"))}
-    )
-
-
-def _both_pairs(rows: DataFrame) -> DataFrame:
-    """Two pairs a row: 0, the text and its edited text; 1, the text and the next document's."""
-    pair = lambda i, other: F.struct(F.lit(i).alias("pair"), F.col("own").alias("left"), F.col(other).alias("right"))
-    both = rows.select("part", "rn", F.explode(F.array(pair(0, "edited"), pair(1, "following"))).alias("p"))
-    return both.select("part", "rn", "p.pair", "p.left", "p.right")
-
-
 def compare_versions(
-    documents: DataFrame, doc: str = "doc_id", text: str = "text", tries: int = 4, broadcast_rows: int = 100_000
+    documents: DataFrame, doc: str = "doc_id", text: str = "text", cells: int = CELLS, growth: int = 4, tries: int = 3, piece: int = 32
 ) -> DataFrame:
-    """One row per document, with its fingerprint, its edited text's and the likeness to it and to the next document."""
-    rows = _with_versions(_successors(documents, doc, text))
-    found = differences(_both_pairs(rows))
-    printed = rows.withColumns({"_own": places(F.col("own")), "_edited": places(F.col("edited"))}).select(
-        "part",
-        "rn",
+    """One row per document: its fingerprint, its edited text's and the likeness to it and to the next document."""
+    if cells % HASHES:
+        raise ValueError(f"cells must be a multiple of {HASHES}")
+    rows = _successors(documents, doc, text).withColumn("edited", edit(F.col("text"), F.col("next_text")))
+    hashed = rows.select(
         "doc",
-        "d",
-        "th",
-        "next_d",
-        "next_th",
         F.length("text").cast("long").alias("n_chars"),
-        F.sha2("edited_text", 256).alias("edited_sha256"),
-        fingerprint(F.col("_own")).alias("fingerprint"),
-        fingerprint(F.col("_edited")).alias("edited_fingerprint"),
-        *((F.size("own") + F.size(c)).alias(f"size{i}") for i, c in enumerate(("edited", "following"))),
-    )
-    result = checkpoint(printed.join(found, ["part", "rn"], "left"))
-
-    keyed = documents.select(
-        F.coalesce(F.col(doc), F.lit(_LAST)).alias("d"),
-        F.xxhash64(text_or_empty(F.col(text))).alias("th"),
-        text_or_empty(F.col(text)).alias("text"),
-    )
-    stuck = result.where("stuck0 > 0 or stuck1 > 0").select("part", "rn", "d", "th", "next_d", "next_th")
-    fixes = None
-    for i in range(1, tries):
-        n = stuck.count()
-        if not n:
-            break
-        hint = F.broadcast if n <= broadcast_rows else lambda x: x
-        asked = stuck.select("d", "th").union(stuck.select("next_d", "next_th")).distinct()
-        texts = checkpoint(keyed.join(hint(asked), ["d", "th"], "left_semi").dropDuplicates(["d", "th"]))
-        following = texts.select(F.col("d").alias("next_d"), F.col("th").alias("next_th"), F.col("text").alias("next_text"))
-        again = stuck.join(texts, ["d", "th"]).join(following, ["next_d", "next_th"])
-        pairs = _both_pairs(_with_versions(again)).repartition("part")
-        fixed = checkpoint(differences(pairs, seed=i, scale=4**i).withColumn("try", F.lit(i)))
-        fixes = fixed if fixes is None else fixes.unionByName(fixed)
-        left = fixed.where("stuck0 > 0 or stuck1 > 0").select("part", "rn")
-        stuck = checkpoint(stuck.join(left, ["part", "rn"], "left_semi"))
-    if fixes is not None:
-        names = ["recovered0", "recovered1"]
-        last = fixes.groupBy("part", "rn").agg(*(F.max_by(c, "try").alias(f"new_{c}") for c in names))
-        result = result.join(last, ["part", "rn"], "left").withColumns({c: F.coalesce(f"new_{c}", c) for c in names})
-    near = lambda i: F.when(F.col(f"size{i}") == 0, 1.0).otherwise(
-        1 - F.coalesce(F.col(f"recovered{i}"), F.lit(0)) / F.col(f"size{i}")
+        F.sha2("edited", 256).alias("edited_sha256"),
+        *(paragraphs(F.col(c), piece).alias(f"h{i}") for i, c in enumerate(("text", "edited", "next_text"))),
     )
-    return result.select(
-        F.col("doc").alias(doc), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near(0).alias("near_edited"), near(1).alias("near_next")
+    tables = hashed.select("*", *(sketch(F.col(f"h{i}"), cells).alias(f"t{i}") for i in range(3)))
+
+    def near(i: int) -> Column:
+        total = F.size("h0") + F.size(f"h{i}")
+        apart = differences(F.col("h0"), F.col(f"h{i}"), F.col("t0"), F.col(f"t{i}"), cells, growth, tries)
+        return F.when(total == 0, 1.0).otherwise(1 - apart / total)
+
+    return tables.select(
+        F.col("doc").alias(doc),
+        "n_chars",
+        "edited_sha256",
+        fingerprint(F.col("t0")).alias("fingerprint"),
+        fingerprint(F.col("t1")).alias("edited_fingerprint"),
+        near(1).alias("near_edited"),
+        near(2).alias("near_next"),
     )

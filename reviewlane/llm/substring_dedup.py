@@ -7,9 +7,9 @@ that share a window share its anchor.
 
 1. Seeds. Anchors are exchanged once, by their hash. All holders of an anchor are paired
    with its first holder, the least in order of doc_id and place; no pair of two others is
-   built, so an anchor of a third of all documents costs one row for each of them. Anchors
-   that are frequent within one batch are paired in that batch, and only their first holder
-   there is exchanged, so that no task gets all holders of an anchor.
+   built, so an anchor of a third of all documents costs one row for each of them. Holders
+   of an anchor that is frequent within one chunk of texts are a group of their own, and only
+   the first of them is grouped with other chunks, so that no task gets all holders of one.
 2. Extension. A document's seeds name blocks of words of first holders; each such block is
    fetched once and handed to those who ask. Seeds in line with each other are one match.
    Its words are compared with the first holder's outwards from the anchors as far as the
@@ -48,12 +48,12 @@ _STEP, _WORD_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 1 << 22  # bytes of text handled at once
 _LAST = (1 << 63) - 1
 _FREQUENT = 4  # holders of an anchor in one chunk from which they are paired there
-_BLOCK = 32  # words fetched together
+_BLOCK = 16  # words fetched together
 
 #: A seed's place as one long: 30 bits of the anchor's place, 6 of how far before it its first
 #: window starts, 6 of how many more windows it has, 16 of the text's hash, two flags.
 _BEFORE, _MORE, _HASH = 30, 36, 42
-_MANY, _NEED = 1 << 58, 1 << 59
+_MANY, _NEED, _LOCAL = 1 << 58, 1 << 59, 1 << 60
 
 
 def _place(at):
@@ -137,10 +137,11 @@ def _chunks(batch: pa.RecordBatch, text: str):
 
 
 def _anchor_rows(texts: DataFrame, window: int, k: int) -> DataFrame:
-    """(key, d, at, first_d, first_at): each anchor of each text.
+    """(key, d, at): each anchor of each text.
 
-    key is the anchor's hash; for a holder that is paired within its chunk it is another
-    one, and first_d and first_at name the holder there that it is paired with.
+    key is the anchor's hash. Holders of an anchor that is frequent in a chunk have a key of
+    that chunk's own and the flag _LOCAL; their first holder there also stands for them, with
+    the flag _MANY, under the anchor's hash.
     """
 
     def run(batches):
@@ -152,18 +153,21 @@ def _anchor_rows(texts: DataFrame, window: int, k: int) -> DataFrame:
                 begin = np.searchsorted(rows, np.arange(hi - lo))
                 d = ids[lo:hi][row]
                 at = (place - begin[row]) | (place - start) << _BEFORE | (n - 1) << _MORE | marks[lo:hi][row] << _HASH
-                order = np.lexsort((at, d, key))
-                key, d, at = key[order], d[order], at[order]
-                head = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-                size = np.diff(head, append=len(key))
-                first = np.repeat(head, size)
-                paired = (np.repeat(size, size) > _FREQUENT) & (np.arange(len(key)) != first)
-                with_first = [pa.array(x[first], pa.int64(), mask=~paired) for x in (d, at)]
-                at[head[size > _FREQUENT]] |= _MANY
-                key = np.where(paired, _mixed(key + d.view(np.uint64) * _STEP + at.view(np.uint64)), key).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(d), pa.array(at), *with_first], ["key", "d", "at", "first_d", "first_at"])
-
-    return texts.select("d", "s", "t").mapInArrow(run, "key long, d long, at long, first_d long, first_at long")
+                order = np.argsort(key)
+                heads = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+                size = np.diff(heads, append=len(key))
+                frequent = order[np.repeat(size > _FREQUENT, size)]
+                frequent = frequent[np.lexsort((at[frequent], d[frequent], key[frequent]))]
+                size = size[size > _FREQUENT]
+                first = frequent[np.cumsum(size) - size]
+                fronts = key[first], d[first], at[first] | _MANY
+                named = _mixed(key[first] + d[first].view(np.uint64) * _STEP + at[first].view(np.uint64))
+                key[frequent] = np.repeat(named, size)
+                at[frequent] |= _LOCAL
+                out = (np.concatenate(x) for x in zip((key, d, at), fronts))  # in order of the texts, which compresses best
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in out], ["key", "d", "at"])
+
+    return texts.mapInArrow(run, "key long, d long, at long")
 
 
 def _mark(at: str) -> Column:
@@ -176,26 +180,26 @@ def _seeds(rows: DataFrame) -> DataFrame:
     The flag _NEED says that windows which the first holder lacks may be held by others.
     """
     group = Window.partitionBy("key").orderBy("d", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    many = F.max(F.col("at").bitwiseAND(_MANY)).over(group) > 0
     joined = rows.select(
-        "d", "at", "first_d", "first_at",
-        F.first("d").over(group).alias("gd"), F.first("at").over(group).alias("ga"), F.last("d").over(group).alias("ld"),
-        F.count(F.lit(1)).over(group).alias("n"), many.alias("many"),
+        "d", "at", F.first("d").over(group).alias("m"), F.first("at").over(group).alias("mat"), F.last("d").over(group).alias("last"),
+        F.count(F.lit(1)).over(group).alias("n"), F.max(F.col("at").bitwiseAND(_MANY | _LOCAL)).over(group).alias("flags"),
     )
-    m = F.coalesce("first_d", "gd")
-    follows = F.col("d") > m
-    leads = (F.col("d") == F.col("gd")) & (F.col("at") == F.col("ga")) & F.col("first_d").isNull()
-    # The first holder's own windows are met by all of its group, but not by those paired in another chunk.
-    windows = F.when(leads, F.col("many")).otherwise((F.col("ld") > F.col("gd")) | F.col("many") | F.col("first_d").isNotNull())
-    need = F.when(follows, (F.col("n") > 2) | F.col("many") | F.col("first_d").isNotNull()).otherwise(True)
+    follows = F.col("d") > F.col("m")
+    leads = (F.col("d") == F.col("m")) & (F.col("at") == F.col("mat"))
+    some = F.col("flags") > 0
+    # All of a group are compared with its first holder, so its windows need no more; but those of other chunks are not.
+    windows = F.when(leads, F.col("flags") == _MANY).otherwise((F.col("last") > F.col("m")) | some)
+    need = ~follows | (F.col("n") > 2) | some
     return joined.where(follows | windows).select(
         "d", _mark("at").alias("s"), F.when(need, F.col("at").bitwiseOR(_NEED)).otherwise(F.col("at")).alias("at"),
-        F.when(follows, m).alias("m"), F.when(follows, F.coalesce("first_at", "ga")).alias("mat"),
+        F.when(follows, F.col("m")).alias("m"), F.when(follows, F.col("mat")).alias("mat"),
     )
 
 
 def _grouped(seeds: DataFrame) -> DataFrame:
-    return seeds.groupBy("d", "s").agg(F.collect_list(F.struct("at", "m", "mat")).alias("seeds"))
+    # Joins ask for keys that are not null; asked here, all of them see one plan, whose exchange Spark reuses.
+    known = seeds.where(F.col("d").isNotNull() & F.col("s").isNotNull())
+    return known.groupBy("d", "s").agg(F.collect_list(F.struct("at", "m", "mat")).alias("seeds"))
 
 
 def _fields(column: pa.ListArray, *names: str) -> tuple[list[int], list[np.ndarray]]:
@@ -346,10 +350,25 @@ def _extended_seeds(texts: DataFrame, seeds: DataFrame, window: int) -> DataFram
 
 
 def _window_seeds(rows: DataFrame) -> DataFrame:
-    """Seeds of the windows that a smaller document also has, with the first holder of each."""
+    """Seeds of the windows that a smaller document also has, with the first holder of each.
+
+    Repeats are left out only after the grouping, and _repeats() reads all columns: so both
+    ask for the same exchange, and Spark compares the texts once.
+    """
     group = Window.partitionBy("key", "key2").orderBy("d", "at")
     first = [F.first(c).over(group).alias(a) for c, a in (("d", "m"), ("at", "mat"))]
-    return rows.where("th IS NULL").select("d", _mark("at").alias("s"), "at", *first).where("d > m")
+    held = rows.select("d", _mark("at").alias("s"), "at", *first, "th", "lo", "hi").where("d > m")
+    return held.where("th IS NULL AND lo IS NULL AND hi IS NULL").select("d", "s", "at", "m", "mat")
+
+
+def _repeats(rows: DataFrame) -> DataFrame:
+    """(d, at, th, lo, hi): the repeats among the rows."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(batch.column("th").is_valid()).select(["d", "at", "th", "lo", "hi"])
+
+    return rows.mapInArrow(run, "d long, at long, th long, lo int, hi int")
 
 
 def remove_repeats(
@@ -378,7 +397,7 @@ def remove_repeats(
     seeds = _seeds(_anchor_rows(texts, window, k).repartition(parts, "key"))
     compared = _extended_seeds(texts, seeds, window).repartition(parts, "key")
     again = _extended_seeds(texts, _window_seeds(compared), window)
-    found = compared.where("th IS NOT NULL").unionByName(again.where("th IS NOT NULL"))
+    found = _repeats(compared).unionByName(_repeats(again))  # seeds of windows ask for no more windows
     repeats = found.groupBy("d", _mark("at").alias("s")).agg(F.collect_list(F.struct("th", "lo", "hi")).alias("repeats"))
     judged = texts.join(repeats, ["d", "s"], "left")
 
