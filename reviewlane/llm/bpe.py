@@ -22,6 +22,7 @@ matter; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import re
@@ -97,21 +98,33 @@ class WordBpe:
         return [self.vocab[p] for p in parts] if all(p in self.vocab for p in parts) else []
 
     def merged(self, ids: list[int]) -> list[int]:
-        """Exact merging, one pair at a time: the lowest rank first, leftmost first among equals."""
-        ids, size, never = list(ids), self.size, (1 << 62, 0)
-        ranks = [self.merges.get(x * size + y, never) for x, y in zip(ids, ids[1:])]
-        while ranks:
-            least = min(ranks)
-            if least is never:
-                break
-            i = ranks.index(least)
-            ids[i : i + 2] = [least[1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = self.merges.get(ids[i - 1] * size + ids[i], never)
-            if i < len(ranks):
-                ranks[i] = self.merges.get(ids[i] * size + ids[i + 1], never)
-        return ids
+        """Exact merging, one pair at a time: the lowest rank first, leftmost first among equals.
+
+        Pairs wait in a heap and tokens are a linked list, so long words cost n log n.
+        """
+        ids, size, n = list(ids), self.size, len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        waiting = []
+
+        def offer(i: int, j: int) -> None:
+            found = self.merges.get(ids[i] * size + ids[j])
+            if found:
+                heapq.heappush(waiting, (found[0], i, ids[i], ids[j], found[1]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while waiting:
+            _, i, left, right, whole = heapq.heappop(waiting)
+            j = after[i]
+            if ids[i] != left or j >= n or ids[j] != right:
+                continue  # one of the two was merged meanwhile
+            ids[i], ids[j], after[i] = whole, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return [x for x in ids if x >= 0]
 
     def guess(self, word: str) -> list[int]:
         """Greedy longest match of a byte-level word."""

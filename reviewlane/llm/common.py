@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 
@@ -41,12 +42,33 @@ def row_key(doc_id: Column, text: Column) -> Column:
     )
 
 
+def aside(df: DataFrame) -> DataFrame:
+    """df with its columns named _own0, _own1 and so on, which no operator uses for its own."""
+    return df.toDF(*(f"_own{i}" for i in range(len(df.columns))))
+
+
+def own(df: DataFrame, name: str) -> str:
+    """The name that a column of df has in aside(df)."""
+    return f"_own{df.columns.index(name)}"
+
+
+def restored(df: DataFrame, like: DataFrame, replaced: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of `like` under their own names again, without those that are replaced."""
+    return [df[f"_own{i}"].alias(c) for i, c in enumerate(like.columns) if c not in replaced]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; any executor can read it again."""
+    """Cut the lineage through the shared folder; any executor can read it again.
+
+    The folder is the session's spark.checkpoint.dir. Where that is unset a temporary one serves,
+    but on one machine only: on a cluster the other executors could not read it.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="reviewlane-checkpoint-"))
     return df.checkpoint()
 

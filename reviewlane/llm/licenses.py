@@ -5,13 +5,17 @@ it finds every place where a phrase's words stand consecutively, and identifier
 a text with a tag is read again: the expression after each tag is turned to postfix order
 by the shunting-yard rule (WITH binds before AND before OR, parentheses group) and
 evaluated to the labels it names and to whether its terms can be met by permissive
-licenses alone.
+licenses alone. Operators are in upper case, or in lower case inside parentheses; the
+expression ends before a word that can be neither an operator nor an identifier, and an
+operator before such a word is prose too.
 
 Defined results: null text has no words; a broken expression gives the labels of the
 identifiers that it names; n_base counts all places of base phrases, overlapping ones too;
 score is the strength of the best evidence (1: a tag, 0.9: a full notice, 0.6: a short
 name, 0: none), halved if every expression found needs a license that is not permissive;
-rows are independent, so repeated rows, null ids and other columns do not matter.
+rows are independent, so repeated rows, null ids and other columns do not matter (columns
+named as the FIELDS are replaced); a very long text is read whole, in time that grows with
+its length.
 """
 
 from __future__ import annotations
@@ -56,35 +60,34 @@ _WORD_BYTES = bytes(
 _EXPRESSION = re.compile(r"(?i)spdx-license-identifier:?[ \t]*([A-Za-z0-9.+\-() \t:]*)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+\-:]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
+# License identifiers of lower-case letters alone; other such words are prose.
+_PLAIN = {"blessing", "checkmk", "curl", "diffmark", "dvipdfm", "gnuplot", "libtiff", "psutils", "snprintf", "xpp"}
 
 
 def postfix(expression: str) -> list[str]:
     """Shunting-yard: the tokens of an expression in postfix order; raises ValueError if it is broken."""
     out, held, operand = [], [], False
-    for token in _TOKEN.findall(expression):
+    for token in _expression_tokens(expression):
         low = token.lower()
-        if low in _RANK:
+        if token in ("(", ")"):
+            if (token == "(") == operand:
+                raise ValueError(f"{token} out of place")
+            if token == "(":
+                held.append(token)
+                continue
+            while held and held[-1] != "(":
+                out.append(held.pop())
+            if not held:
+                raise ValueError(") without (")
+            held.pop()
+        elif low in _RANK:
             if not operand:
                 raise ValueError(f"{token} without a left side")
             while held and held[-1] != "(" and _RANK[held[-1]] >= _RANK[low]:
                 out.append(held.pop())
             held.append(low)
             operand = False
-        elif token == "(":
-            if operand:
-                raise ValueError("( after a license")
-            held.append(token)
-        elif token == ")":
-            if not operand:
-                raise ValueError(") without a license")
-            while held and held[-1] != "(":
-                out.append(held.pop())
-            if not held:
-                raise ValueError(") without (")
-            held.pop()
         else:
-            if operand:
-                break  # words after the expression
             out.append(low)
             operand = True
     if not operand or "(" in held:
@@ -92,6 +95,23 @@ def postfix(expression: str) -> list[str]:
     return out + held[::-1]
 
 
+def _expression_tokens(text: str) -> list[str]:
+    """The tokens up to the first that cannot belong to the expression."""
+    found, depth, operand = [], 0, False
+    for token in _TOKEN.findall(text):
+        depth += (token == "(") - (token == ")")
+        operator = token.lower() in _RANK and (token.isupper() or depth > 0 and token.islower())
+        if token not in ("(", ")") and not operator:
+            named = not token.isalpha() or not token.islower() or token in _PLAIN
+            if operand or not named or token.lower() in _RANK:
+                while len(found) > 1 and found[-1].lower() in _RANK:
+                    found.pop()
+                break
+        found.append(token)
+        operand = token == ")" or token != "(" and not operator
+    return found
+
+
 def evaluate(expression: str) -> tuple[set[str], bool]:
     """(labels, whether permissive licenses alone can meet it)."""
     stack: list[tuple[set[str], bool]] = []
@@ -122,10 +142,10 @@ def scan_text(text: str | None, machine: ahocorasick.Automaton) -> tuple:
     raw = (text or "").encode()
     words = [w for w in raw.translate(_WORD_BYTES).split(b" ") if w]
     plain = " " + b" ".join(words).decode("latin-1") + " "  # one character a byte; the phrases are ASCII
-    places, base, labels, score, tagged = [], set(), set(), 0.0, False
+    starts, base, labels, score, tagged = [], set(), set(), 0.0, False
     for end, phrase in machine.iter(plain):
         if phrase in BASE:
-            places.append(plain.count(" ", 0, end - len(phrase) - 1))
+            starts.append(end - len(phrase) - 1)
             base.add(BASE[phrase])
             score = max(score, 0.9)
         if phrase in NOTICES:
@@ -133,13 +153,17 @@ def scan_text(text: str | None, machine: ahocorasick.Automaton) -> tuple:
             labels.add(label)
             score = max(score, weight)
         tagged |= phrase == TAG
+    places, at = [], 0
+    for start in sorted(starts):  # spaces before a phrase, counted on from the one before it
+        places.append((places[-1] if places else 0) + plain.count(" ", at, start))
+        at = start
     if tagged:
         met = []
         for m in _EXPRESSION.finditer(text):
             try:
                 named, permissive = evaluate(m[1])
             except ValueError:
-                named, permissive = {t.lower() for t in _TOKEN.findall(m[1]) if t.lower() not in {*_RANK, "(", ")"}}, True
+                named, permissive = {t.lower() for t in _expression_tokens(m[1]) if t.lower() not in {*_RANK, "(", ")"}}, True
             if named:
                 labels |= {x.replace(",", " ") for x in named}
                 met.append(permissive)
