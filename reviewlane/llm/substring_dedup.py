@@ -16,8 +16,9 @@ that share a window share its anchor.
    windows that these are the anchors of, and equal stretches of `window` or more words are
    the maximal repeats kept. No hash decides what is removed.
 3. Rest. A window that no first holder of its anchor has may still be held by another
-   document. Such windows are paired by 128 bits of their words' digest with their own
-   first holder, and these seeds are extended and compared in the same way.
+   document. Such windows are paired by 76 bits of their words' digest with their own first
+   holder, and these seeds are extended and compared in the same way. A collision of these
+   bits removes nothing, but may hide a repeat behind a window with other words.
 
 Texts are exchanged once, by id and 16 bits of their hash; every step joins that exchange.
 
@@ -51,8 +52,9 @@ _FREQUENT = 4  # holders of an anchor in one chunk from which they are paired th
 _BLOCK = 16  # words fetched together
 
 #: A seed's place as one long: 30 bits of the anchor's place, 6 of how far before it its first
-#: window starts, 6 of how many more windows it has, 16 of the text's hash, two flags.
+#: window starts, 6 of how many more windows it has, 16 of the text's hash, three flags.
 _BEFORE, _MORE, _HASH = 30, 36, 42
+_REST = (1 << _HASH - _BEFORE) - 1  # of a window, which is its own anchor: more bits of its digest
 _MANY, _NEED, _LOCAL = 1 << 58, 1 << 59, 1 << 60
 
 
@@ -136,12 +138,34 @@ def _chunks(batch: pa.RecordBatch, text: str):
         row = stop
 
 
+def _in_local_groups(key: np.ndarray, d: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """key, d and at, where documents that share a frequent key form a group of their own.
+
+    Their rows get a key that no other place has and the flag _LOCAL. The least document's
+    rows keep the old key, the first of them with the flag _MANY, and it also leads the group.
+    """
+    order = np.argsort(key)
+    heads = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+    size = np.diff(heads, append=len(key))
+    frequent = order[np.repeat(size > _FREQUENT, size)]
+    frequent = frequent[np.lexsort((at[frequent], d[frequent], key[frequent]))]
+    size = size[size > _FREQUENT]
+    first = frequent[np.cumsum(size) - size]
+    named = _mixed(key[first].view(np.uint64) + d[first].view(np.uint64) * _STEP + at[first].view(np.uint64) * _WORD_STEP)
+    named = (named >> np.uint64(16)).view(np.int64)
+    leaders = named, d[first], at[first] | _LOCAL
+    others = d[frequent] != np.repeat(d[first], size)
+    key, at = key.copy(), at.copy()
+    key[frequent[others]] = np.repeat(named, size)[others]
+    at[frequent[others]] |= _LOCAL
+    at[first] |= _MANY
+    return tuple(np.concatenate(x) for x in zip((key, d, at), leaders))  # in order of the texts, which compresses best
+
+
 def _anchor_rows(texts: DataFrame, window: int, k: int) -> DataFrame:
     """(key, d, at): each anchor of each text.
 
-    key is the anchor's hash. Holders of an anchor that is frequent in a chunk have a key of
-    that chunk's own and the flag _LOCAL; their first holder there also stands for them, with
-    the flag _MANY, under the anchor's hash.
+    key is 48 bits of the anchor's hash, or of another where the anchor is frequent in its chunk.
     """
 
     def run(batches):
@@ -153,19 +177,8 @@ def _anchor_rows(texts: DataFrame, window: int, k: int) -> DataFrame:
                 begin = np.searchsorted(rows, np.arange(hi - lo))
                 d = ids[lo:hi][row]
                 at = (place - begin[row]) | (place - start) << _BEFORE | (n - 1) << _MORE | marks[lo:hi][row] << _HASH
-                order = np.argsort(key)
-                heads = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
-                size = np.diff(heads, append=len(key))
-                frequent = order[np.repeat(size > _FREQUENT, size)]
-                frequent = frequent[np.lexsort((at[frequent], d[frequent], key[frequent]))]
-                size = size[size > _FREQUENT]
-                first = frequent[np.cumsum(size) - size]
-                fronts = key[first], d[first], at[first] | _MANY
-                named = _mixed(key[first] + d[first].view(np.uint64) * _STEP + at[first].view(np.uint64))
-                key[frequent] = np.repeat(named, size)
-                at[frequent] |= _LOCAL
-                out = (np.concatenate(x) for x in zip((key, d, at), fronts))  # in order of the texts, which compresses best
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in out], ["key", "d", "at"])
+                out = _in_local_groups((key >> np.uint64(16)).view(np.int64), d, at)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "d", "at"])
 
     return texts.mapInArrow(run, "key long, d long, at long")
 
@@ -182,13 +195,13 @@ def _seeds(rows: DataFrame) -> DataFrame:
     group = Window.partitionBy("key").orderBy("d", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     joined = rows.select(
         "d", "at", F.first("d").over(group).alias("m"), F.first("at").over(group).alias("mat"), F.last("d").over(group).alias("last"),
-        F.count(F.lit(1)).over(group).alias("n"), F.max(F.col("at").bitwiseAND(_MANY | _LOCAL)).over(group).alias("flags"),
+        F.count(F.lit(1)).over(group).alias("n"), F.bit_or(F.col("at").bitwiseAND(_MANY | _LOCAL)).over(group).alias("flags"),
     )
     follows = F.col("d") > F.col("m")
     leads = (F.col("d") == F.col("m")) & (F.col("at") == F.col("mat"))
     some = F.col("flags") > 0
     # All of a group are compared with its first holder, so its windows need no more; but those of other chunks are not.
-    windows = F.when(leads, F.col("flags") == _MANY).otherwise((F.col("last") > F.col("m")) | some)
+    windows = F.when(leads, F.col("flags").bitwiseAND(_MANY) > 0).otherwise((F.col("last") > F.col("m")) | some)
     need = ~follows | (F.col("n") > 2) | some
     return joined.where(follows | windows).select(
         "d", _mark("at").alias("s"), F.when(need, F.col("at").bitwiseOR(_NEED)).otherwise(F.col("at")).alias("at"),
@@ -295,17 +308,18 @@ def extended(words: list[bytes], match: tuple, blocks: dict, window: int) -> lis
 
 
 def _digest(words: list[bytes]) -> tuple[int, int]:
-    raw = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+    """64 and 12 bits of the words' digest."""
+    raw = hashlib.blake2b(b" ".join(words), digest_size=10).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little") & _REST
 
 
 def _compared(asked: DataFrame, window: int) -> DataFrame:
-    """(key, key2, d, at, th, lo, hi): the repeats found in each text, and its windows that others may hold.
+    """(key, d, at, th, lo, hi): the repeats found in each text, and its windows that others may hold.
 
-    A repeat has th, lo and hi; a window has none of them, and its digest is the key.
+    A repeat has th, lo and hi; a window has none of them, and its digest is the key with 12 more bits in `at`.
     """
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 2
-    names = ["key", "key2", "d", "at", "th", "lo", "hi"]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+    names = ["key", "d", "at", "th", "lo", "hi"]
 
     def run(batches):
         for batch in batches:
@@ -313,7 +327,7 @@ def _compared(asked: DataFrame, window: int) -> DataFrame:
             at, m, mat = at.to_pylist(), m.to_pylist(), mat.to_pylist()
             stops, fields = _fields(batch.column("answers"), "m", "ms", "b", "words")
             fields = [x.to_pylist() for x in fields]
-            out = []
+            out, keys, ids, places = [], [], [], []
             for i, (d, s, th, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("d", "s", "th", "t")))):
                 words = (t or b"").split()
                 blocks = defaultdict(list)
@@ -321,7 +335,7 @@ def _compared(asked: DataFrame, window: int) -> DataFrame:
                     blocks[fields[0][j], fields[1][j], fields[2][j]].append(fields[3][j].split())
                 here = slice(ends[i], ends[i + 1])
                 repeats = [r for x in matches(at[here], m[here], mat[here], window) for r in extended(words, x, blocks, window)]
-                out += [((lo * 0x9E3779B1 ^ th), 0, d, s << _HASH, th, lo, hi) for lo, hi in repeats]
+                out += [((lo * 0x9E3779B1 ^ th), d, s << _HASH, th, lo, hi) for lo, hi in repeats]
                 need = [x for x in at[here] if x & _NEED]
                 if need:
                     known = np.zeros(len(words) + 1, np.int64)
@@ -332,11 +346,17 @@ def _compared(asked: DataFrame, window: int) -> DataFrame:
                     starts = {w for x in need for w in range(_place(x) - _before(x), _place(x) - _before(x) + _more(x) + 1)}
                     for w in sorted(starts):
                         if 0 <= w <= len(words) - window and not known[w]:
-                            out.append((*_digest(words[w : w + window]), d, w | s << _HASH, None, None, None))
+                            key, rest = _digest(words[w : w + window])
+                            keys.append(key)
+                            ids.append(d)
+                            places.append(w | rest << _BEFORE | s << _HASH)
             columns = zip(*out) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], names)
+            windows = _in_local_groups(*(np.array(x, np.int64) for x in (keys, ids, places)))
+            none = [pa.nulls(len(windows[0]), kind) for kind in kinds[3:]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, windows), *none], names)
 
-    return asked.mapInArrow(run, "key long, key2 long, d long, at long, th long, lo int, hi int")
+    return asked.mapInArrow(run, "key long, d long, at long, th long, lo int, hi int")
 
 
 def _extended_seeds(texts: DataFrame, seeds: DataFrame, window: int) -> DataFrame:
@@ -355,10 +375,12 @@ def _window_seeds(rows: DataFrame) -> DataFrame:
     Repeats are left out only after the grouping, and _repeats() reads all columns: so both
     ask for the same exchange, and Spark compares the texts once.
     """
-    group = Window.partitionBy("key", "key2").orderBy("d", "at")
+    rest = F.shiftright("at", _BEFORE).bitwiseAND(_REST)
+    group = Window.partitionBy("key", rest).orderBy("d", "at")
     first = [F.first(c).over(group).alias(a) for c, a in (("d", "m"), ("at", "mat"))]
     held = rows.select("d", _mark("at").alias("s"), "at", *first, "th", "lo", "hi").where("d > m")
-    return held.where("th IS NULL AND lo IS NULL AND hi IS NULL").select("d", "s", "at", "m", "mat")
+    plain = lambda c: F.col(c).bitwiseAND((1 << _BEFORE) - 1 | 0xFFFF << _HASH).alias(c)
+    return held.where("th IS NULL AND lo IS NULL AND hi IS NULL").select("d", "s", plain("at"), "m", plain("mat"))
 
 
 def _repeats(rows: DataFrame) -> DataFrame:
