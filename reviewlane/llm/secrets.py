@@ -12,7 +12,10 @@ collision only adds a candidate, and ids may repeat or be null.
 
 Defined results: null text is empty and has no secrets; positions are code points, end
 exclusive; matches are leftmost and do not overlap within a kind; a match whose measured
-group is too short is dropped; an empty table gives no rows.
+group is too short is dropped; a very long text is searched whole, by one task; an empty
+table gives no rows; other columns pass, whatever their names (one named as `out` is replaced).
+
+Limit: rows that repeat a text and agree in all whole-number columns share one salt.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlane.llm.common import text_or_empty
+from reviewlane.llm.common import aside, own, restored, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -37,9 +40,14 @@ class Rule:
     least: int = 0
 
 
+def _any_case(pattern: str) -> str:
+    """The pattern with each letter as a class of its two cases: no other sign folds to one of them."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in pattern)
+
+
 # The base rules, then public credential formats.
 RULES = [
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    Rule("assign", rf"""({_any_case("password|passwd|secret|token|api_?key")})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
@@ -51,6 +59,7 @@ RULES = [
     Rule("url_login", r"[a-z][a-z0-9+]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@"),
 ]
 BASE = ["assign", "access", "hex"]
+SALTS = 16
 
 _MANY = 64  # strings that a node may spell out before only its trigrams are kept
 
@@ -191,16 +200,22 @@ def _found(text: Column, rule: Rule) -> Column:
 
 def scan(documents: DataFrame, rules: list[Rule] = RULES, text: str = "text", out: str = "secrets") -> DataFrame:
     """documents with `out`: array of (start, order, end, kind), sorted by start and then by the rules' order (a column of that name is replaced)."""
-    keyed = documents.withColumn("_key", F.xxhash64(text_or_empty(F.col(text))))
-    kinds = candidates(build_index(documents, rules, text), rules).select(F.col("key").alias("_key"), "kinds").withColumnRenamed("kinds", "_kinds")
-    joined = keyed.join(kinds, "_key", "left")
-    whole = text_or_empty(F.col(text))
+    held = aside(documents)
+    body = own(documents, text)
+    # A text that many rows repeat has one key, so candidates are given to SALTS shares of its rows.
+    numbers = [F.col(c) for c, kind in held.dtypes if kind in ("bigint", "int", "smallint", "tinyint")]
+    salt = F.pmod(F.xxhash64(F.lit(0), *numbers), F.lit(SALTS))
+    keyed = held.withColumns({"key": F.xxhash64(text_or_empty(F.col(body))), "salt": salt})
+    kinds = candidates(build_index(held, rules, body), rules)
+    dealt = kinds.select("key", "kinds", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    joined = keyed.join(dealt, ["key", "salt"], "left")
+    whole = text_or_empty(F.col(body))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     parts = []
     for rule in rules:
-        may = F.array_contains("_kinds", rule.kind) if trigram_query(rule.pattern) else F.lit(True)
+        may = F.array_contains("kinds", rule.kind) if trigram_query(rule.pattern) else F.lit(True)
         parts.append(F.when(may & F.rlike(whole, F.lit(rule.pattern)), _found(whole, rule)).otherwise(none))
-    return joined.withColumn(out, F.sort_array(F.flatten(F.array(*parts)))).drop("_key", "_kinds")
+    return joined.select(*restored(joined, documents, (out,)), F.sort_array(F.flatten(F.array(*parts))).alias(out))
 
 
 def digest(spans: Column) -> Column:

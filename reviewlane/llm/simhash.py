@@ -16,8 +16,10 @@ after each. No fingerprint or edge goes to the driver.
 
 Defined results: null text has no words; no words gives fingerprint zero, linked like any
 other; fewer words than a shingle are one shingle; rows of one id each have their own
-text's group; null ids never name a group unless all its ids are null; an empty table
-gives no rows; other columns pass.
+text's group; null ids never name a group unless all its ids are null; a very long text is
+hashed whole, by one task; an empty table gives no rows; other columns are dropped by
+`near_duplicates` and pass `fingerprints`, whatever their names. A radius above 4 is an error,
+as the keys then lose links.
 """
 
 from __future__ import annotations
@@ -174,7 +176,11 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         found = bucket_links(keys, values.view(np.uint64), radius)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    distinct = fps.select("fp").where(F.col("fp").isNotNull()).distinct()
+    if not 0 <= radius <= 4:
+        raise ValueError("the Golay keys find all links of 4 bits at most")
+    # A fingerprint has some 80 keys: dealt out anew, as few bytes may be put together in few tasks.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = fps.select("fp").where(F.col("fp").isNotNull()).distinct().repartition(parts, "fp")
     keys = distinct.mapInArrow(keyed, "key int, fp long")
     sorted_keys = keys.repartition("key").sortWithinPartitions("key")
     return sorted_keys.mapInArrow(met, "a long, b long").distinct()
@@ -203,10 +209,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, radius: int = 4, shingle: int = 4, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc, fp (signed long) and component_id, the least id reachable by links."""
-    printed = checkpoint(fingerprints(documents.select(F.col(doc), F.col(text)), text, shingle))
-    classes = printed.groupBy("fp").agg(F.min(doc).alias("least"))
+    printed = checkpoint(fingerprints(documents.select(F.col(doc).alias("id"), F.col(text).alias("text")), "text", shingle))
+    classes = checkpoint(printed.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(classes, radius))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "least", "root")
+    # Both sides of the joins below are exchanged as they stand, so that Spark can split a large
+    # group's or a frequent fingerprint's rows.
+    named = checkpoint(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     members = rooted.join(named, "root").select("fp", "component_id")
-    return printed.join(members, "fp").select(doc, "fp", "component_id")
+    single = classes.join(members, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    every = checkpoint(members.unionByName(single))
+    return printed.join(every, "fp").select(F.col("id").alias(doc), "fp", "component_id")

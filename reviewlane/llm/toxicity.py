@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlane.llm.common import aside, own, restored
+
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
 )
@@ -264,5 +266,6 @@ def score(documents: DataFrame, model: Model, text: str = "text", out: str = "sc
 
 def reject_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """documents that score below the threshold."""
-    scored = score(documents, model, out="_toxicity", keep_text=True)
-    return scored.where(F.col("_toxicity") < threshold).select(documents.columns)
+    held = aside(documents)
+    scored = score(held, model, own(documents, "text"), "score", keep_text=True)
+    return scored.where(F.col("score") < threshold).select(*restored(scored, documents))
