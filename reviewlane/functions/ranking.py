@@ -1,56 +1,93 @@
-"""Ranks and positions over whole tables without a window over all rows.
+"""Ranks, positions and percentiles over whole tables without a window over all rows.
 
-Values are counted first, with map-side combination, so a value that a third of all rows
-hold is one row. Running totals are taken in buckets of values whose bounds are
-approximate quantiles; each bucket's start comes from the buckets' totals.
+Rows are dealt into partitions that follow one another in the order asked for, and written
+down so. What a partition starts from comes from one row for each partition. Values are
+counted first, with map-side combination, so a value that a third of all rows hold is one
+row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from reviewlane.functions.materialize import attach, checkpoint
 
+PART, START = "part of the order", "start of the part"
 
-def _bucket(df: DataFrame, value: str):
-    """Which of BUCKETS ranges a numeric value lies in; the bounds are at most BUCKETS numbers."""
-    shares = [i / BUCKETS for i in range(1, BUCKETS)]
-    found = df.agg(F.percentile_approx(value, shares, 1000).alias("q")).first()["q"]
-    bounds = F.array(*(F.lit(x) for x in sorted(set(found or [])))) if found else F.array().cast("array<double>")
-    return F.size(F.filter(bounds, lambda b: b < F.col(value)))
+
+def in_order(df: DataFrame, order: list[str], written: bool = False) -> DataFrame:
+    """df with PART: numbers of partitions that follow one another in the order of the columns.
+
+    written: df is materialised already. Spark reads it twice, once for the partitions' bounds.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (df if written else checkpoint(df)).repartitionByRange(parts, *order)
+    return checkpoint(dealt.withColumn(PART, F.spark_partition_id()))
+
+
+def _starts(dealt: DataFrame, total: Column) -> DataFrame:
+    """PART and START: the total of all partitions before; one row for each partition."""
+    sums = dealt.groupBy(PART).agg(total.alias("sum"))
+    return F.broadcast(sums.select(PART, (F.sum("sum").over(Window.orderBy(PART)) - F.col("sum")).alias(START)))
 
 
 def running_total(counts: DataFrame, by: list[str], order: list[str], n: str, out: str) -> DataFrame:
-    """counts with `out`: the sum of n over rows of the same `by` before the row; order[0] is a number."""
-    cut = counts.withColumn("_bucket", _bucket(counts, order[0]))
-    sums = cut.groupBy(*by, "_bucket").agg(F.sum(n).alias("_sum"))
-    before = Window.partitionBy(*by).orderBy("_bucket") if by else Window.orderBy("_bucket")  # at most BUCKETS rows a group
-    starts = sums.select(*by, "_bucket", (F.sum("_sum").over(before) - F.col("_sum")).alias("_start"))
-    within = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    total = F.col("_start") + F.sum(n).over(within) - F.col(n)
-    return cut.join(starts, [*by, "_bucket"]).withColumn(out, total).drop("_bucket", "_start")
+    """counts with `out`: the sum of n over the rows of the same `by` that come before by `order` (unique in `by`)."""
+    dealt = in_order(counts, [*by, *order])
+    within = Window.partitionBy(PART).orderBy(*by, *order)
+    before = F.col(START) + F.sum(n).over(within) - F.col(n)
+    placed = dealt.join(_starts(dealt, F.sum(n)), PART).withColumn(out, before).drop(PART, START)
+    if not by:
+        return placed
+    placed = checkpoint(placed)
+    first = placed.groupBy(*by).agg(F.min(out).alias(START))
+    return attach(placed, first, by).withColumn(out, F.col(out) - F.col(START)).drop(START)
 
 
 def average_rank(df: DataFrame, value: str, out: str, by: list[str] = ()) -> DataFrame:
     """df with `out`: the rank of value in its group from 1, ties averaged (O7.1); value is not null."""
     by = list(by)
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    placed = running_total(counts, by, [value], "_n", "_before")
-    ranks = placed.select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(out))
-    return df.join(ranks, [*by, value])
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("n of value"))
+    placed = running_total(counts, by, [value], "n of value", out)
+    ranks = placed.select(*by, value, (F.col(out) + (F.col("n of value") + 1) / 2.0).alias(out))
+    return attach(df, ranks, [*by, value])
 
 
-def positions(df: DataFrame, value: str, key: str, out: str, by: list[str] = ()) -> DataFrame:
-    """df with `out`: the row's place from 0 by (value, key) ascending; key is a unique number (O8.1)."""
-    by = list(by)
-    cut = df.withColumn("_cell", _bucket(df, key))
-    cells = cut.groupBy(*by, value, "_cell").agg(F.count("*").alias("_n"))
-    placed = running_total(cells, by, [value, "_cell"], "_n", "_before").drop("_n")
-    local = Window.partitionBy(*by, value, "_cell").orderBy(key)
-    return (
-        cut.withColumn("_local", F.row_number().over(local) - 1)
-        .join(placed, [*by, value, "_cell"])
-        .withColumn(out, (F.col("_before") + F.col("_local")).cast("long"))
-        .drop("_cell", "_local", "_before")
-    )
+def positions(df: DataFrame, value: str, key: str, out: str) -> DataFrame:
+    """df with `out`: the row's place from 0 by (value, key) ascending; key is unique (O8.1). The result is written down."""
+    dealt = in_order(df, [value, key])
+    local = F.row_number().over(Window.partitionBy(PART).orderBy(value, key)) - 1
+    placed = dealt.join(_starts(dealt, F.count("*")), PART).withColumn(out, (F.col(START) + local).cast("long"))
+    return checkpoint(placed.drop(PART, START))
+
+
+def running_max(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """df with `out`: the largest value up to the row in the order of a unique column."""
+    dealt = in_order(df, [order])
+    most = dealt.groupBy(PART).agg(F.max(value).alias("most"))
+    before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    carried = F.broadcast(most.select(PART, F.max("most").over(before).alias(START)))
+    here = F.max(value).over(Window.partitionBy(PART).orderBy(order))
+    return dealt.join(carried, PART).withColumn(out, F.greatest(here, START)).drop(PART, START)
+
+
+def percentiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
+    """by and, for each name, the interpolated percentile of value in the group (O6.24); nulls are left out.
+
+    Values are counted and their counts summed up in order, so no group's values are held together.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n of value"))
+    placed = checkpoint(running_total(counts, by, [value], "n of value", "before"))
+    sized = attach(placed, placed.groupBy(*by).agg(F.sum("n of value").alias("n of group")), by)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n of value")), F.col(value)))
+
+    def percentile(share: float) -> Column:
+        place = (F.col("n of group") - 1) * F.lit(share)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        return low + (high - low) * part
+
+    return sized.groupBy(*by).agg(*(percentile(q).alias(name) for name, q in shares.items()))

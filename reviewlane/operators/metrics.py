@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlane.functions.ranking import average_rank
+from reviewlane.functions.ranking import running_total
 from reviewlane.functions.records import confidence
 
 
@@ -41,8 +41,13 @@ def calibration_error(rows: DataFrame, n: int = 10) -> DataFrame:
 
 def auc(rows: DataFrame) -> DataFrame:
     """One row: the area under the ROC curve by average ranks; null with one class (O6.11)."""
-    ranks = average_rank(rows, "p", "r")
-    s = ranks.agg(F.sum(F.when(F.col("y") == 1, F.col("r"))).alias("s"), F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
+    # Rows are counted by prediction once; positives of one prediction share its average rank.
+    counts = rows.groupBy("p").agg(F.count("*").alias("k"), F.sum(F.col("y").cast("long")).alias("k1"))
+    placed = running_total(counts, [], ["p"], "k", "before")
+    rank = F.col("before") + (F.col("k") + 1) / 2.0
+    s = placed.agg(
+        F.sum(F.col("k1") * rank).alias("s"), F.coalesce(F.sum("k1"), F.lit(0)).alias("n1"), F.coalesce(F.sum(F.col("k") - F.col("k1")), F.lit(0)).alias("n0")
+    )
     n1, n0 = F.col("n1"), F.col("n0")
     return s.select("n1", "n0", F.when((n1 > 0) & (n0 > 0), F.round((F.col("s") - n1 * (n1 + 1) / 2.0) / (n1 * n0), 9)).alias("auc"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlane.functions.ranking import average_rank, positions
+from reviewlane.functions.materialize import attach, checkpoint
+from reviewlane.functions.ranking import positions, running_total
 from reviewlane.functions.records import ceil_share, confidence
 
 # Thresholds of the criteria and weights of the score.
@@ -38,35 +39,48 @@ def disagreement(label: Column, prob: Column) -> Column:
     return F.coalesce(known, F.lit(0.0))
 
 
-def rank_normalised(df: DataFrame, value: str, out: str, total: int, by: list[str] = ()) -> DataFrame:
-    """Average rank over n; NaN and null take the least finite value, or 0 if there is none (O7.1)."""
-    clean = F.when(~F.isnan(value), F.col(value))
-    least = df.agg(F.min(clean).alias("m")).first()["m"]
-    filled = df.withColumn("_value", F.coalesce(clean, F.lit(0.0 if least is None else float(least))))
-    return average_rank(filled, "_value", "_rank", by).withColumn(out, F.col("_rank") / float(total)).drop("_value", "_rank")
+def normalised_ranks(rows: DataFrame, values: list[str]) -> DataFrame:
+    """signal, value, share: for each column its values' average ranks over the number of rows (O7.1).
+
+    All columns are counted in one pass and ranked together; rows has been written down.
+    """
+    stacked = F.explode(F.array(*(F.struct(F.lit(c).alias("signal"), F.col(c).alias("value")) for c in values))).alias("s")
+    counts = rows.select(stacked).groupBy("s.signal", "s.value").agg(F.count("*").alias("k"))
+    placed = checkpoint(running_total(counts, ["signal"], ["value"], "k", "before"))
+    total = placed.where(F.col("signal") == values[0]).agg(F.sum("k").alias("n")).first()["n"] or 1
+    return placed.select("signal", "value", ((F.col("before") + (F.col("k") + 1) / 2.0) / float(total)).alias("share"))
+
+
+def finite_signals(rows: DataFrame, values: list[str]) -> DataFrame:
+    """NaN and null take the column's least finite value, or 0 if there is none."""
+    clean = {c: F.when(~F.isnan(c), F.col(c)) for c in values}
+    least = rows.agg(*(F.min(x).alias(c) for c, x in clean.items())).first()
+    return rows.withColumns({c: F.coalesce(x, F.lit(0.0 if least[c] is None else float(least[c]))) for c, x in clean.items()})
 
 
 def scored(candidates: DataFrame) -> DataFrame:
     """candidates with reasons, conflict and the composite score (O8.7)."""
-    signals = candidates.withColumns(
-        {
-            "_disagreement": disagreement(F.col("label"), F.col("prob")),
-            "_offset": F.when(F.col("at_bound"), 0.0).otherwise(F.coalesce(F.abs("offset_ppm"), F.lit(0.0))),
-            "_flat": F.coalesce("flat", F.lit(0.0)),
-            "_spread": F.coalesce("spread", F.lit(0.0)),
-        }
-    )
-    total = signals.count()
-    raw = dict(zip(WEIGHTS, ("_disagreement", "_offset", "_flat", "_spread")))
-    for name, column in raw.items():
-        signals = rank_normalised(signals, column, name, total)
-    score = sum((F.col(name) * weight for name, weight in list(WEIGHTS.items())[1:]), F.col("disagreement") * WEIGHTS["disagreement"])
+    signals = {
+        "disagreement": disagreement(F.col("label"), F.col("prob")),
+        "safe_offset": F.when(F.col("at_bound"), 0.0).otherwise(F.coalesce(F.abs("offset_ppm"), F.lit(0.0))),
+        "flat_rank": F.coalesce("flat", F.lit(0.0)),
+        "uncertainty": F.coalesce("spread", F.lit(0.0)),
+    }
+    # Written down once: four signals are ranked and joined back, and callers order the result several ways.
+    rows = checkpoint(candidates.withColumns(signals))
+    rows = finite_signals(rows, list(signals))
+    ranks = checkpoint(normalised_ranks(rows, list(signals)))
+    for name in signals:
+        one = ranks.where(F.col("signal") == name).select(F.col("value").alias(name), F.col("share").alias(f"share of {name}"))
+        rows = attach(rows, one, [name])
+    score = sum((F.col(f"share of {name}") * weight for name, weight in list(WEIGHTS.items())[1:]), F.col("share of disagreement") * WEIGHTS["disagreement"])
     codes = reasons(*(F.col(c) for c in ("label", "prob", "offset_ppm", "at_bound", "flat")))
     return (
-        signals.withColumn("score", F.round(score, 9))
+        rows.withColumn("score", F.round(score, 9))
         .withColumn("reasons", codes)
         .withColumn("conflict", is_conflict(F.col("reasons")))
-        .drop(*raw.values())
+        .drop(*signals)
+        .withColumnsRenamed({f"share of {name}": name for name in signals})
     )
 
 
@@ -80,8 +94,8 @@ def best_of_episode(scored_rows: DataFrame, keep: list[str]) -> DataFrame:
 
 def ranked(queue: DataFrame, out: str = "rank") -> DataFrame:
     """queue with its place from 1 by score descending, then id (O8.1)."""
-    placed = positions(queue.withColumn("_negated", -F.col("score")), "_negated", "obs_id", "_at")
-    return placed.withColumn(out, F.col("_at") + 1).drop("_negated", "_at")
+    placed = positions(queue.withColumn("negated score", -F.col("score")), "negated score", "obs_id", out)
+    return placed.withColumn(out, F.col(out) + 1).drop("negated score")
 
 
 def top(queue: DataFrame, budget: int = 50) -> DataFrame:
@@ -101,6 +115,7 @@ BASELINES = {
 
 def found_at_budget(rows: DataFrame, budget: int) -> DataFrame:
     """One row per ordering: conflicts among its first `budget` rows and the point lift over chance (O11.1, O11.5)."""
+    rows = checkpoint(rows)
     whole = rows.agg(F.count("*").alias("n"), F.sum(F.col("conflict").cast("int")).alias("conflicts")).first()
     n, conflicts = whole["n"], whole["conflicts"] or 0
     orders = {"queue": -F.col("score")} | {name: value() if value else F.lit(0.0) for name, value in BASELINES.items()}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlane.functions import records
-from reviewlane.functions.ranking import average_rank
+from reviewlane.functions.materialize import checkpoint
+from reviewlane.functions.ranking import average_rank, percentiles
 from reviewlane.operators import metrics, precedent, queue, splits
 from reviewlane.sources.tables import candidates, observations, table
 from reviewlane.streaming import sessions
@@ -151,13 +152,15 @@ def station_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, least and largest offset of each station and mode with three or more satellites (O6.17)."""
     c = candidates(spark, sf_dir).where("offset_ppm is not null and not at_bound")
     mode = F.when(F.col("spread") >= 0.5, "UNCORRECTED").otherwise("CORRECTED")
-    return c.groupBy("station", mode.alias("mode")).agg(
+    rows = checkpoint(c.select("station", mode.alias("mode"), "offset_ppm", "label"))
+    each = rows.groupBy("station", "mode").agg(
         F.count("*").alias("n"),
-        F.round(F.percentile("offset_ppm", 0.5), 6).alias("median_ppm"),
         F.round(F.min("offset_ppm"), 6).alias("least_ppm"),
         F.round(F.max("offset_ppm"), 6).alias("largest_ppm"),
         (F.count_distinct("label") >= 3).alias("calibrated"),
     )
+    middle = percentiles(rows, "offset_ppm", {"median_ppm": 0.5}, ["station", "mode"])
+    return each.join(middle, ["station", "mode"]).withColumn("median_ppm", F.round("median_ppm", 6))
 
 
 def capture_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,8 +175,8 @@ def capture_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least, 10th, 50th and 90th percentile and largest value of each event type (O6.24)."""
     e = table(spark, sf_dir, "events").select("event_type", "value")
-    at = [("p0", 0.0), ("p10", 0.1), ("p50", 0.5), ("p90", 0.9), ("p100", 1.0)]
-    return e.groupBy("event_type").agg(*(F.round(F.percentile("value", q), 6).alias(name) for name, q in at))
+    at = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    return percentiles(e, "value", at, ["event_type"]).withColumns({name: F.round(name, 6) for name in at})
 
 
 def value_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
