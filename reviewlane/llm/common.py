@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 import string
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlane.functions.materialize import checkpoint as checkpoint
+
 #: Words of letters and digits; all characters above 0x7F count as letters.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words between ASCII white space.
@@ -57,22 +57,6 @@ def restored(df: DataFrame, like: DataFrame, replaced: tuple[str, ...] = ()) ->
     return [df[f"_own{i}"].alias(c) for i, c in enumerate(like.columns) if c not in replaced]
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; any executor can read it again.
-
-    The folder is the session's spark.checkpoint.dir. Where that is unset a temporary one serves,
-    but on one machine only: on a cluster the other executors could not read it.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="reviewlane-checkpoint-"))
-    return df.checkpoint()
-
-
 def worker_cache(key: str, build):
     """build()'s value, once for each Python worker process."""
     import sys

@@ -185,21 +185,3 @@ def test_inversion_has_the_law_of_numpy(monkeypatch):
     assert abs(got.mean() - want.mean()) < 0.6 and abs(got.std() / want.std() - 1) < 0.06
     assert sharding.hypergeometric(5, 0, 3, rng) == 3 and sharding.hypergeometric(0, 5, 3, rng) == 0
     assert sharding.hypergeometric(5, 7, 12, rng) == 5 and sharding.hypergeometric(5, 7, 0, rng) == 0
-
-
-def test_no_machine_local_checkpoints_on_a_cluster(monkeypatch, spark):
-    from reviewlane.llm import common
-
-    class Context:
-        master = "spark://host:7077"
-        getCheckpointDir = staticmethod(lambda: None)
-
-    class Frame:
-        class sparkSession:
-            sparkContext = Context
-
-            class conf:
-                get = staticmethod(lambda *a: None)
-
-    with pytest.raises(RuntimeError):
-        common.checkpoint(Frame)
