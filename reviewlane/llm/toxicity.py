@@ -1,20 +1,20 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
-Two raw-content dictionaries are made from a bounded, documented sample of labelled rows:
-one of what toxic texts hold far more often than ordinary ones (stretches of words whose
-byte n-grams stand out), one of ordinary text. The toxic one's size follows the vocabulary that is
-found. Neither is trained by zstandard. A text's words are cut
-into windows of `window` bytes; each is compressed without a dictionary, with the toxic
-and with the ordinary one. What the toxic dictionary saves, against none and against the
-ordinary one, is the distance; the largest, mean and top savings are calibrated to a
-probability by logistic regression on sample rows that no dictionary saw, and 0.5 is the
-threshold. zstandard's own trainer fills its dictionaries with frequent syllables that both
-classes share, which hides the difference, so the content is chosen here.
+zstandard trains two dictionaries from a bounded, documented sample of labelled rows: one of
+toxic text and one of ordinary text. The toxic one is trained on the parts of toxic texts
+that stand out - stretches of words whose byte n-grams are far more frequent there than in
+ordinary texts - because whole toxic texts are mostly ordinary words, and a dictionary
+trained on them tells the classes hardly apart. A text's words are cut into windows of
+`window` bytes; each is compressed without a dictionary, with the toxic and with the
+ordinary one. What the toxic dictionary saves, against none and against the ordinary one, is
+the distance; the largest, mean and top savings are calibrated to a probability by logistic
+regression on sample rows that no dictionary saw, and 0.5 is the threshold.
 
 Defined results: null and empty texts have one empty window and are scored like any text;
 a document with several labels is toxic if one says so; null labels are ignored; without
 rows of both classes every score is the toxic share (0 without rows); rows are scored
-independently, so repeated rows, null ids and other columns do not matter.
+independently, so repeated rows, null ids and other columns do not matter (one named as `out`
+is replaced); a very long text is scored over all of its windows, but not learned from.
 """
 
 from __future__ import annotations
@@ -92,44 +92,32 @@ def _stretches(text: str, grams: set[bytes]) -> list[bytes]:
     return out
 
 
-def toxic_content(toxic: list[str], ordinary: list[str]) -> bytes:
-    """The stems of the standing-out stretches, the best last, where matches are cheapest.
-
-    The stem that occurs most, weighed by what a match of it can save, is taken first; the
-    stretches that hold it are then covered, and so on down to stems in 0.5 % of the texts. The
-    size follows the stems; the words that hold one may fill as many bytes again.
-    """
+def toxic_dictionary(toxic: list[str], ordinary: list[str], size: int = 4096) -> bytes:
+    """A dictionary of up to `size` bytes trained on the standing-out stretches of the toxic texts; empty if none stands out."""
     grams = standing_out(toxic, ordinary)
-    left = Counter(s for t in toxic for s in set(_stretches(t, grams)))
-    chosen = []
-    while left:
-        stems = Counter()
-        for s, n in left.items():
-            for part in {s[i:j] for i in range(len(s)) for j in range(i + 5, len(s) + 1)}:
-                stems[part] += n
-        if not stems:
-            break
-        best = max(stems, key=lambda x: (stems[x] * (len(x) - 3), x))
-        if stems[best] < max(3, 0.005 * len(toxic)):
-            break
-        chosen.append(best)
-        left = Counter({s: n for s, n in left.items() if best not in s and s not in best})
-    content = b"".join(reversed(chosen))
-    size = max(600, 2 * len(content))
-    # Room that is left goes to the commonest words that hold a stem.
-    words = Counter(w for t in toxic for w in set(_padded(t)) if any(s in w for s in chosen))
-    for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
-        if len(content) >= size:
-            break
-        if w not in content:
-            content = w + content
-    return content
+    return _trained([s for t in toxic for s in _stretches(t, grams)], size)
+
+
+def ordinary_dictionary(texts: list[str], size: int, window: int) -> bytes:
+    """A dictionary trained on the windows of all texts."""
+    bodies = (b" ".join(filter(None, plain_words(t))) for t in texts)
+    return _trained([b[at : at + window] for b in bodies for at in range(0, len(b), window)], size)
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """zstandard's dictionary of the samples; where they are too few for its trainer, they themselves, the commonest last."""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        counts = Counter(samples)
+        return b"".join(sorted(counts, key=lambda s: (counts[s], s)))[-size:]
 
 
 @dataclass
 class Model:
     toxic: bytes
     ordinary: bytes
+    filler: bytes  # ordinary text, for texts too short to compress
     mean: list[float]
     scale: list[float]
     weights: list[float]
@@ -147,7 +135,7 @@ class Model:
         none = zstandard.ZstdCompressor(compression_params=params).compress
         tox = zstandard.ZstdCompressor(compression_params=params, dict_data=dictionary(self.toxic)).compress
         own = zstandard.ZstdCompressor(compression_params=params, dict_data=dictionary(self.ordinary[-len(self.toxic) :])).compress
-        window, filler = self.window, self.ordinary
+        window, filler = self.window, self.filler
 
         def features(text: str | None) -> list[float]:
             body = b" " + b" ".join(filter(None, plain_words(text))) + b" "
@@ -184,15 +172,16 @@ class Model:
 
 def fit_rows(rows: list[tuple[str, int]], prior: float, window: int = 128) -> Model:
     """A model from sample rows (text, toxic); two of three rows make the dictionaries, the third calibrates."""
-    model = Model(b"", b"", [], [], [], prior, window)
+    model = Model(b"", b"", b"", [], [], [], prior, window)
     toxic, ordinary = ([t for t, label in rows if label == k] for k in (1, 0))
     if min(len(toxic), len(ordinary)) < 6:
         return model
     cut_t, cut_o = len(toxic) * 2 // 3, len(ordinary) * 2 // 3
-    model.toxic = toxic_content(toxic[:cut_t], ordinary[:cut_o])
+    model.toxic = toxic_dictionary(toxic[:cut_t], ordinary[:cut_o])
     if len(model.toxic) < 8:
         return model
-    model.ordinary = b" ".join(w for t in ordinary[:50] for w in plain_words(t) if w)[: max(512, len(model.toxic))]
+    model.filler = b" ".join(w for t in ordinary[:window] for w in plain_words(t) if w)[:window]
+    model.ordinary = ordinary_dictionary(ordinary[:cut_o], max(1024, len(model.toxic)), window)
     model.mean, model.scale, model.weights = [0.0] * FEATURES, [1.0] * FEATURES, [0.0] * (FEATURES + 1)
     features = model.scorer().features
     x = np.array([features(t) for t in toxic[cut_t:] + ordinary[cut_o:]], dtype=float)

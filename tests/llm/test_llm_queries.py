@@ -4,7 +4,9 @@ from collections import Counter
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
+from reviewlane.llm import toxicity
 from reviewlane.llm.queries import QUERIES
 from reviewlane.llm.sql import ORACLES
 
@@ -91,3 +93,17 @@ def test_op10(spark, sf):
     labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in out]
     right = [out[d].predicted == y for d, y in labels if out[d].held_out and y is not None]
     assert sum(right) >= 0.8 * len(right)
+
+
+def test_op10_finds_toxic_rows_it_has_not_seen(spark):
+    """On a table with enough toxic rows: recall and false alarms among held-out rows, which a constant cannot meet."""
+    at = "/root/testdata/sf0.1"
+    documents, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    known = documents.select("doc_id", "text").join(labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    model = toxicity.fit(documents.select("doc_id", "text"), labels)
+    rows = toxicity.score(known, model).where(toxicity.held_out(F.col("doc_id"))).collect()
+    found = [r for r in rows if r.score >= 0.5]
+    toxic = sum(r.toxic for r in rows)
+    assert sum(r.toxic for r in found) >= 0.45 * toxic
+    assert sum(1 - r.toxic for r in found) <= 0.02 * (len(rows) - toxic)
+    assert model.scorer()("") < 0.5 and model.scorer()(None) < 0.5
