@@ -12,7 +12,10 @@ therefore only comes from escaping, and unescape() gives back each text exactly.
 
 Defined results: null text or role is empty; turns are ordered by (turn, role, text)
 with null turns first; repeated rows are turns of their own; null conversation ids form
-one conversation; an empty table gives no rows; other columns are ignored.
+one conversation; a very long text or conversation is formatted whole; an empty table gives
+no rows; other columns are ignored, whatever their names.
+
+Limit: a conversation is one array, and so one row of one task.
 """
 
 from __future__ import annotations
@@ -40,27 +43,29 @@ def unescape(text: Column) -> Column:
     return F.replace(out, F.lit("\\\\"), F.lit("\\"))
 
 
+def _escaped_role(role: Column) -> Column:
+    """A role that ends in the first character of the mark's end gets a backslash, so that the header is read alike."""
+    safe = escape(role)
+    return F.when(F.endswith(safe, F.lit("<")), F.concat(safe, F.lit("\\"))).otherwise(safe)
+
+
+def _read_role(role: Column) -> Column:
+    return unescape(F.when(F.endswith(role, F.lit("<\\")), F.left(role, F.length(role) - 1)).otherwise(role))
+
+
 def _merged(turns: Column) -> Column:
-    """Blocks (role, texts) of adjacent turns with one role."""
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
-    return F.aggregate(
-        turns,
-        empty,
-        lambda blocks, t: F.when(
-            (F.size(blocks) > 0) & (F.element_at(blocks, -1)["role"] == t["role"]),
-            F.concat(
-                F.slice(blocks, 1, F.size(blocks) - 1),
-                F.array(
-                    F.struct(
-                        t["role"].alias("role"),
-                        F.array_append(F.element_at(blocks, -1)["texts"], t["text"]).alias("texts"),
-                    )
-                ),
-            ),
-        ).otherwise(
-            F.array_append(blocks, F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts")))
-        ),
-    )
+    """Blocks (role, texts) of adjacent turns with one role: cut where the role changes, so each turn is copied once."""
+    role = lambda i: F.get(turns, i)["role"]
+    every = F.filter(F.transform(turns, lambda _, i: i), lambda i: (i == 0) | (role(i) != role(i - 1)))
+
+    def block(begins):
+        end = lambda j: F.coalesce(F.get(begins, j + 1), F.size(turns))
+        return F.transform(
+            begins,
+            lambda i, j: F.struct(role(i).alias("role"), F.transform(F.slice(turns, i + 1, end(j) - i), lambda t: t["text"]).alias("texts")),
+        )
+
+    return F.transform(F.array(every), block)[0]
 
 
 def format_conversations(
@@ -78,14 +83,13 @@ def format_conversations(
             )
         ).alias("turns")
     )
-    safe = F.transform(
-        "turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"))
-    )
+    safe = F.transform("turns", lambda t: F.struct(_escaped_role(t["role"]).alias("role"), escape(t["text"]).alias("text")))
     blocks = F.transform(
-        _merged(safe),
+        _merged(F.col("safe")),
         lambda b: F.concat(F.lit("<|role:"), b["role"], F.lit("|>"), F.array_join(b["texts"], NEXT), F.lit(END)),
     )
-    return ordered.select(conv, F.array_join(blocks, "").alias("formatted"))
+    escaped = ordered.select(F.col(conv), safe.alias("safe"))
+    return escaped.select(F.col(conv), F.array_join(blocks, "").alias("formatted"))
 
 
 def loss_spans(formatted: Column, role: str = "assistant") -> Column:
@@ -103,7 +107,7 @@ def loss_spans(formatted: Column, role: str = "assistant") -> Column:
 
     def step(s, x):
         named = s["named"]
-        opened = F.when(x.startswith("role:"), x == f"role:{role}").otherwise(s["on"] & (x != "end"))
+        opened = F.when(x.startswith("role:"), _read_role(F.substring(x, 6, 1 << 30)) == role).otherwise(s["on"] & (x != "end"))
         span = F.struct(s["at"].alias("start"), F.length(x).alias("length"), unescape(x).alias("text"))
         return F.struct(
             (s["at"] + F.length(x) + 2).alias("at"),  # each piece is followed by a mark of two characters
@@ -130,7 +134,7 @@ def read_turns(formatted: Column) -> Column:
             lambda b: F.transform(
                 F.split(F.regexp_replace(b, header, ""), r"<\|next\|>"),
                 lambda t: F.struct(
-                    unescape(F.regexp_extract(b, header, 1)).alias("role"), unescape(t).alias("text")
+                    _read_role(F.regexp_extract(b, header, 1)).alias("role"), unescape(t).alias("text")
                 ),
             ),
         )

@@ -169,3 +169,22 @@ def test_chat(spark):
     assert read[1].loss == hostile
     assert len(read) == 3
     assert chat.format_conversations(turns.limit(0)).count() == 0
+
+
+def test_chat_roles_that_look_like_marks(spark):
+    from pyspark.sql import functions as F
+
+    roles = ["x<", "<", "a\\", "<\\", "|>", "<|", "role:x", "end", "assistant", "assistant<", ""]
+    turns = spark.createDataFrame([(1, i, r, f"text {i}<") for i, r in enumerate(roles)], "conv_id long, turn int, role string, text string")
+    formatted = chat.format_conversations(turns)
+    row = formatted.select(chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(chat.loss_spans(F.col("formatted"))).alias("loss")).first()
+    assert [(t.role, t.text) for t in row.turns] == [(r, f"text {i}<") for i, r in enumerate(roles)]
+    assert row.loss == "text 8<"
+
+
+def test_chat_of_many_turns(spark):
+    from pyspark.sql import functions as F
+
+    turns = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") % 5 < 2, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    row = chat.format_conversations(turns).select(chat.read_turns(F.col("formatted")).alias("turns")).first()
+    assert [t.text for t in row.turns] == [f"t{i}" for i in range(20_000)]
