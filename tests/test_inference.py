@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlane.functions.ranking import average_rank, percentiles, positions, running_max, running_total
-from reviewlane.operators import inference, novelty, provenance, samples
+from reviewlane.operators import inference, novelty, precedent, provenance, samples
 
 
 def test_weights_are_poisson(spark):
@@ -164,3 +164,52 @@ def test_samples(spark):
     assert sum(r["n"] for r in whole) >= 25 > sum(r["n"] for r in whole) - max(r["n"] for r in whole)
     turns = samples.diverse(df, "label", "id", "alt", 7).orderBy("turn").collect()
     assert sorted((r.turn, r.label) for r in turns) == [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (2, "c"), (3, "a")]
+
+
+def test_histories_over_many_partitions(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "a" if i < 300 else f"s{i % 7}", int(rng.integers(0, 50))) for i in range(400)] + [(900, None, 1)]
+    df = spark.createDataFrame(rows, "obs_id long, station string, start int")
+    got = {(r.query_id, r.rank): r.id for r in precedent.same_station(df, 4).collect()}
+    want = {}
+    for station in {s for _, s, _ in rows if s}:
+        order = sorted((t, i) for i, s, t in rows if s == station)
+        for j, (_, i) in enumerate(order):
+            want |= {(i, rank): order[j - rank][1] for rank in range(1, 5) if j >= rank}
+    assert got == want
+
+
+@pytest.mark.parametrize("metric, cold", [("cosine", False), ("euclidean", True)])
+def test_neighbours_in_blocks(spark, metric, cold):
+    rng = np.random.default_rng(6)
+    vec = rng.integers(-2, 3, (300, 4)).astype(float)
+    vec[0] = 0
+    df = spark.createDataFrame([(i, [None, "a", "b"][i % 3], [float(x) for x in v]) for i, v in enumerate(vec)], "id long, entity string, vec array<double>").repartition(5)
+    got = {}
+    for r in precedent.nearest(df, df.where("id % 10 = 0"), 5, metric, cold, block=8).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id))
+    for q in range(0, 300, 10):
+        if metric == "cosine":
+            n = np.linalg.norm(vec, axis=1) * np.linalg.norm(vec[q])
+            near = np.where(n > 0, vec @ vec[q] / np.where(n > 0, n, 1), 0)
+        else:
+            near = -np.sqrt(((vec - vec[q]) ** 2).sum(1))
+        allowed = [i for i in range(300) if i != q and not (cold and q % 3 and i % 3 == q % 3)]
+        want = sorted(-np.round(near[i], 9) for i in allowed)[:5]
+        mine = [i for _, i in sorted(got[q])]
+        assert all(i in allowed for i in mine) and [-np.round(near[i], 9) for i in mine] == pytest.approx(want)
+
+
+def test_late_events_end_sessions_of_a_stream(spark, tmp_path):
+    """A stream gives a session once the watermark has passed it, as the table's rule has it."""
+    from reviewlane.streaming.sessions import sessions
+
+    rows = [(1, "2026-01-01 00:00:00"), (1, "2026-01-01 01:00:00"), (2, "2026-01-01 00:30:00"), (1, "2026-01-02 00:00:00"), (3, "2026-01-05 00:00:00")]
+    df = spark.createDataFrame(rows, "user_id int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "in"))
+    whole = {(r.user_id, r.n, r.first) for r in sessions(df).collect()}
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    done = sessions(stream, late="1 hour").writeStream.format("memory").queryName("ended").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    done.awaitTermination()
+    ended = {(r.user_id, r.n, r.first) for r in spark.sql("SELECT * FROM ended").collect()}
+    assert ended == {x for x in whole if x[0] != 3}
