@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlane.llm import bpe, chat, decontaminate, fingerprints, licenses, secrets, sharding, simhash, substring_dedup, toxicity
-from reviewlane.llm.common import checkpoint, table, text_or_empty
+from reviewlane.llm.common import table, text_or_empty
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,16 +83,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = text_or_empty(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select(
+    raw = text.cast("binary")
+    dealt = sharding.shard_rows(documents, [F.col("doc_id"), F.xxhash64(text), F.crc32(raw)], n_shards=40, seed=20)
+    return dealt.select(
         "doc_id",
         (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
-    # The digest columns are small; the checkpoint keeps the texts from being read for each step.
-    dealt = sharding.shard_rows(checkpoint(rows), [F.col("doc_id"), F.col("text_crc32"), F.col("size")], n_shards=40, seed=20)
-    return dealt.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        F.crc32(raw).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
