@@ -69,4 +69,4 @@ def test_no_machine_local_checkpoints_on_a_cluster():
                 get = staticmethod(lambda *a: None)
 
     with pytest.raises(RuntimeError):
-        materialize.checkpoint(Frame)
+        materialize.shared_folder(Frame.sparkSession)
