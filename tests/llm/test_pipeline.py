@@ -1,12 +1,15 @@
 """Stages of the pipeline against brute force."""
 
 import random
+import re
 from collections import Counter
 
 import brute
 import corpus_pipeline
 import pytest
 
+from reviewlane.llm import secrets, toxicity
+
 
 def shingle_set(text, words=5):
     split = brute.SPACED.findall((text or "").translate(brute.LOW))
@@ -85,3 +88,57 @@ def test_near_duplicates_of_null_and_repeated_ids(spark, documents):
     for members in groups:
         (stays,) = set(kept) & set(members)
         assert (stays[0] is None, stays[0] or 0) == min((i is None, i or 0) for i, _ in members)
+
+
+MASK = "[REDACTED]"
+
+
+def redacted(text):
+    """All rules' matches, or unions of those that overlap, replaced by the mask."""
+    spans = sorted((m.start(), m.end()) for r in secrets.RULES for m in re.finditer(r.pattern, text) if len(m[r.group]) >= r.least)
+    out, at = "", 0
+    for start, end in spans:
+        if start >= at:
+            out += text[at:start] + MASK
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_whole_pipeline(spark, sf):
+    """Every stage in turn, row by row, over a whole table."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    documents, labels, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    score = toxicity.fit(documents, labels).scorer()
+    rows = [r for r in rows if score(r[1]) < 0.5]
+    rows = [min(m) for m in survivors(rows)]
+    judged = brute.contamination(rows, [tuple(r) for r in items.select("item_id", "text").collect()])
+    rows = [r for r, j in zip(rows, judged) if not j[5]]
+    rows = [(d, redacted(t or "")) for d, t in rows]
+    want = Counter(brute.tokens(rows, public_tokenizers.path("word_bpe_49k.json")))
+    got = corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert Counter(tuple(r) for r in got) == want
+
+
+HOSTILE = ["_row", "_doc", "_secrets", "_own0", "row", "root", "found", "secrets", "score", "key", "node", "least", "h"]
+
+
+def test_stages_on_hostile_rows(spark, sf):
+    long = " ".join(f"w{i % 97}x{i}" for i in range(3000)) + " password: hunter2hunter2"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").select("text").first().text
+    texts = [(1, None), (2, ""), (3, " \n"), (None, long), (None, long), (4, long + " more"), (5, item), (6, "token = abcdefgh12"), (6, "another text here"), (None, "a b")]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "x", len(t or ""), *HOSTILE) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in HOSTILE)
+    )
+    kept = {name: stage(spark, docs, sf) for name, stage in corpus_pipeline.STAGES}
+    found = {name: df.collect() for name, df in kept.items()}
+    for name, rows in list(found.items())[:-1]:
+        assert kept[name].columns == docs.columns
+        assert all(r[n] == n for r in rows for n in HOSTILE)
+    assert len(found["toxicity"]) == len(texts)
+    assert Counter((r.doc_id, r.text) for r in found["near_duplicates"]) == Counter({(1, None): 1, (4, long + " more"): 1, (5, item): 1, (6, "token = abcdefgh12"): 1, (6, "another text here"): 1, (None, "a b"): 1})
+    assert Counter((r.doc_id, r.text) for r in found["decontamination"]) == Counter(x for x in texts if x[1] != item)
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in found["secrets"]) == Counter((i, t if t is None else redacted(t), len(redacted(t or ""))) for i, t in texts)
+    assert len(found["tokens"]) == len(texts)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
