@@ -396,6 +396,17 @@ ORACLES = {
     "review_queue": f"""WITH {_SCORED}
         SELECT CAST(rank AS INT) AS rank, obs_id, episode, station, label, score, array_to_string(reasons, ',') AS reasons, conflict FROM ranked WHERE rank <= {BUDGET}""",
     "queue_ranking": f"WITH {_SCORED} SELECT obs_id, score, conflict, rank FROM ranked",
+    "queue_caps": f"""WITH RECURSIVE {_SCORED}, rk AS MATERIALIZED (SELECT rank, obs_id, station, transmitter FROM ranked),
+        step AS (
+            SELECT CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS st, CAST([] AS BIGINT[]) AS tr, 0 AS n, false AS admitted, false AS by_station, false AS by_transmitter
+            UNION ALL
+            SELECT rank, CASE WHEN ok AND station IS NOT NULL THEN list_append(st, station) ELSE st END, CASE WHEN ok AND transmitter IS NOT NULL THEN list_append(tr, transmitter) ELSE tr END,
+                   n + CAST(ok AS INT), ok, full_st, full_tr
+            FROM (SELECT rk.rank, station, transmitter, st, tr, n,
+                         len(list_filter(st, lambda x: x = station)) >= 5 AS full_st, len(list_filter(tr, lambda x: x = transmitter)) >= 10 AS full_tr, NOT full_st AND NOT full_tr AS ok
+                  FROM step JOIN rk ON rk.rank = step.rank + 1 WHERE n < {BUDGET}))
+        SELECT rk.obs_id, rk.rank, station, transmitter, coalesce(admitted, false) AS admitted, coalesce(by_station, false) AS by_station, coalesce(by_transmitter, false) AS by_transmitter
+        FROM rk LEFT JOIN step ON step.rank = rk.rank""",
     "queue_lift": f"""WITH {_SCORED}, o AS ({_LIFT}),
         w AS (SELECT count(*) AS n, count(*) FILTER (WHERE conflict) AS conflicts FROM scored)
         SELECT ordering, found, n, conflicts, CASE WHEN conflicts > 0 THEN round(found / (least({BUDGET}, n) * conflicts::DOUBLE / n), 9) END AS lift FROM o, w""",
