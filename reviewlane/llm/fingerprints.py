@@ -28,6 +28,8 @@ Limit: rows of equal doc_id and equal text stay in one range.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,8 +146,7 @@ def _bounds(documents: DataFrame, doc: str, ranges: int) -> list[tuple[int, int]
     ids = documents.select(F.coalesce(F.col(doc), F.lit(_LAST)).alias("d"))
     shares = [i / ranges for i in range(1, ranges)]
     found = ids.agg(F.percentile_approx("d", shares, 10 * ranges).alias("q")).first()["q"] or []  # as many as ranges
-    times = {d: found.count(d) for d in set(found)}
-    return [(d, -(1 << 63) + (1 << 64) * i // n - 1) for d, n in sorted(times.items()) for i in range(1, n + 1)]
+    return [(d, -(1 << 63) + (1 << 64) * i // n - 1) for d, n in sorted(Counter(found).items()) for i in range(1, n + 1)]
 
 
 def _successors(documents: DataFrame, doc: str, text: str) -> DataFrame:

@@ -420,7 +420,7 @@ def remove_repeats(
     compared = _extended_seeds(texts, seeds, window).repartition(parts, "key")
     again = _extended_seeds(texts, _window_seeds(compared), window)
     found = _repeats(compared).unionByName(_repeats(again))  # seeds of windows ask for no more windows
-    repeats = found.groupBy("d", _mark("at").alias("s")).agg(F.collect_list(F.struct("th", "lo", "hi")).alias("repeats"))
+    repeats = found.groupBy("d", _mark("at").alias("s")).agg(F.collect_set(F.struct("th", "lo", "hi")).alias("repeats"))
     judged = texts.join(repeats, ["d", "s"], "left")
 
     kept = [*own, *added[:2], text if keep_text else added[2]]
