@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlane.llm import bpe, chat, decontaminate, fingerprints, licenses, secrets, sharding, simhash, substring_dedup, toxicity
+from reviewlane.llm import bpe, chat, decontaminate, divergence, exact_dedup, fingerprints, licenses, negatives, secrets, sharding, simhash, substring_dedup, toxicity
 from reviewlane.llm.common import table, text_or_empty
 
 
@@ -109,6 +109,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    moved = vectors.select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
+    return negatives.mine(moved, F.col("vec_id") % 100 == 0)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_licenses": op2_licenses,
@@ -120,4 +135,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_negatives": op11_negatives,
+    "op12_divergence": op12_divergence,
+    "op13_exact_dedup": op13_exact_dedup,
 }
