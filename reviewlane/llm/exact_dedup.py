@@ -33,8 +33,11 @@ from reviewlane.llm.common import text_or_empty
 
 FILES = 10_000  # files of one micro-batch at most
 BROADCAST_HITS = 100_000  # so many digests with locators, some 20 MB, are broadcast to the rows
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; a partition's store is closed once its task has committed, so local disks hold no idle stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 SLIM = "digest binary, id {id}, n_chars int, file string, row long"
 
 
@@ -55,12 +58,14 @@ def _rows(table: DataFrame, doc: str, text: str) -> DataFrame:
 @contextmanager
 def _state_on_disk(spark: SparkSession):
     """A stream that is started in this block keeps its state in RocksDB; the session stays as it was."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def digest_stream(spark: SparkSession, path: str, folder: str, doc: str = "doc_id", text: str = "text") -> None:
