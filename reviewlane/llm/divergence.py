@@ -101,13 +101,17 @@ def group_sizes(documents: DataFrame, kept: DataFrame) -> DataFrame:
 def largest(rows: DataFrame, by: list[str], value: str, item: str, k: int) -> DataFrame:
     """The k rows of each group with the largest value (0 to 2^32 - 1), ties by smaller UTF-8 bytes of item (unique in its group).
 
-    A row's key is its value's complement, high bytes first, and then the item's bytes; a round
-    counts the first `width` bytes of the keys that are still open and leaves open only the bin
-    that the k-th row falls into, if not all of it is taken.
+    A row's key is the number of its value's bits, then these bits from the first one on, both
+    complemented, and then the item's bytes: bins are as fine for small values as for large
+    ones. A round counts the first `width` bytes of the keys that are still open and leaves open
+    only the bin that the k-th row falls into, if not all of it is taken.
     """
     names = rows.columns
-    high = F.unhex(F.lpad(F.hex(F.lit(2**32 - 1) - F.col(value)), 8, "0"))
-    still = checkpoint(rows.select(*names, F.concat(high, F.col(item).cast("binary")).alias("key"), F.lit(k).cast("long").alias("need")))
+    bits = F.length(F.bin(F.col(value)))
+    digits = F.call_function("shiftleft", F.col(value).cast("long"), F.lit(32) - bits)
+    low_first = lambda x, most, width: F.unhex(F.lpad(F.hex(F.lit(most) - x), width, "0"))
+    key = F.concat(low_first(bits, 255, 2), low_first(digits, 2**32 - 1, 8), F.col(item).cast("binary"))
+    still = checkpoint(rows.select(*names, key.alias("key"), F.lit(k).cast("long").alias("need")))
     taken, width = None, 2
     while True:
         head = F.substring("key", 1, width)
@@ -123,7 +127,7 @@ def largest(rows: DataFrame, by: list[str], value: str, item: str, k: int) -> Da
         still = placed.where("not sure").drop("sure")
         if still.isEmpty():
             return taken
-        width = width + 2 if width < 8 else 2 * width
+        width = width + 2 if width < 10 else 2 * width
 
 
 def _distances(members: DataFrame, groups: DataFrame) -> DataFrame:
