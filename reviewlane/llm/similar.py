@@ -12,16 +12,23 @@ similarity of both sets.
 
 Equal sets are one node from the start, and so are equal prints in their buckets. A bucket of
 up to RUN prints gives all its pairs; a longer one a minimum spanning forest by bits that
-differ. A pair of similar sets is joined in it by a path of pairs that are at least as near, so
-a large group costs pairs in proportion to its sets. The likeliest pair of each set is verified
-first, the others only where they would connect two components.
+differ, so a large group costs pairs in proportion to its sets. The likeliest pair of each set
+is verified first, the others only where they would connect two components.
+
+A forest's edge that is no link may hide links behind it. So families, the sets that candidate
+pairs connect, are searched once more if they fell into several components (`within_families`):
+what lies outside a family's largest component is compared with the whole family, block by
+block in tasks that hold two blocks of sets. Pairs of up to FAR bits are verified by the exact
+similarity there and then, unless links found before connect them, and a task gives only links
+that connect two components.
 
 Defined results: null text has no words; texts without words are alike; fewer words than a
 shingle are one shingle; sets are told apart by 64-bit hashes; a very long text is read whole
 by one task; an empty table gives no rows.
 
-Limits: pairs that meet in no bucket, and pairs of a long bucket whose path holds a pair below
-`least`, are not found (measured recall: README); a bucket is one task's.
+Limits: pairs that meet in no bucket and belong to no family are not found (measured recall:
+README); a bucket is one task's; a family whose sets are near but not linked costs comparisons
+of prints, but no rows, with the square of what lies outside its largest component.
 """
 
 from __future__ import annotations
@@ -32,6 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlane.functions.materialize import attach
 from reviewlane.llm.common import checkpoint
 from reviewlane.llm.simhash import bucket_keys, components
 
@@ -39,6 +47,7 @@ PRINTS = 4
 NEAR = 12  # bits of one print
 FAR = 58  # bits of all four: at 0.8 some 39 differ, with a standard deviation of 6
 RUN = 4  # longer buckets give a spanning forest
+BLOCK_BYTES = 2 * 2**20  # of sets in a block of a family
 BROADCAST_DIGESTS = 10 * 2**20 // 8  # up to so many digests, 10 MB, the sets are broadcast to the pairs
 #: Odd multipliers that mix the digests anew for each print.
 TIMES = np.random.default_rng(20).integers(0, 1 << 64, PRINTS, dtype=np.uint64, endpoint=False) | np.uint64(1)
@@ -188,6 +197,55 @@ def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
+def block_links(i: np.ndarray, root: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], cell: tuple[int, int], least: float) -> list[tuple[int, int]]:
+    """(a, b): links between the rows of two blocks (i: each row's block, or all of one block) that connect two roots."""
+    label = np.unique(root, return_inverse=True)[1]
+    size = np.array([len(s) for s in sets])
+    left, right = np.flatnonzero(i == cell[0]), np.flatnonzero(i == cell[1])
+    found = []
+    for a in left.tolist():
+        bits = np.bitwise_count(fps[right] ^ fps[a]).sum(axis=1)
+        fits = np.minimum(size[right], size[a]) >= least * np.maximum(size[right], size[a])
+        near = np.flatnonzero((bits <= FAR) & fits & (label[right] != label[a]))
+        for b in right[near[np.argsort(bits[near], kind="stable")]].tolist():
+            if label[a] != label[b]:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both >= least * (size[a] + size[b] - both):
+                    found.append((a, b))
+                    label[label == label[b]] = label[a]
+    return found
+
+
+def within_families(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that connect different components (roots: node, root) of a family, the nodes that pairs connect."""
+    family = components(pairs.select("a", "b")).select("node", F.col("root").alias("family"))
+    member = checkpoint(family.join(roots, "node", "left").select("node", "family", F.coalesce("root", "node").alias("root")))
+    parts = member.groupBy("family", "root").agg(F.count("*").alias("n"))
+    apart = parts.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots"), F.sum("n").alias("n"))
+    searched = attach(member, apart.where("roots > 1 and n > 2").select("family", "largest"), ["family"])
+    whole = searched.withColumn("rest", F.col("root") != F.col("largest")).join(nodes.select("node", "fps"), "node").join(sets, "node")
+    whole = checkpoint(whole.select("family", "node", "root", "rest", "fps", "digests"))
+    blocks = lambda which: F.ceil(F.coalesce(F.sum(F.when(which, 8 * F.size("digests") + 64)), F.lit(0)) / BLOCK_BYTES).cast("int")
+    counted = whole.groupBy("family").agg(blocks(F.col("rest")).alias("m"), blocks(~F.col("rest")).alias("n"))
+    # Blocks 0 to m - 1 hold the rest, the n after them the largest component. A cell is two blocks of which the first is of the rest.
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("m")).otherwise(F.col("n"))).cast("int") + F.when(F.col("rest"), 0).otherwise(F.col("m"))
+    dealt = attach(whole, counted, ["family"]).withColumn("at", at)
+    others = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("m") + F.col("n") - 1)).otherwise(F.sequence(F.lit(0), F.col("m") - 1))
+    cells = dealt.withColumn("other", F.explode(others)).withColumns({"low": F.least("at", "other"), "high": F.greatest("at", "other")})
+
+    def linked(cell):
+        column = lambda c: cell.column(c).combine_chunks()
+        ids = column("node").to_numpy()
+        fps = column("fps").flatten().to_numpy().view(np.uint64).reshape(-1, PRINTS)
+        digests = [np.asarray(d.values).view(np.uint64) for d in column("digests")]
+        low, high = cell.column("low")[0].as_py(), cell.column("high")[0].as_py()
+        found = block_links(column("at").to_numpy(), column("root").to_numpy(), fps, digests, (low, high), least)
+        a, b = (pa.array([ids[x[k]] for x in found], pa.int64()) for k in (0, 1))
+        return pa.Table.from_arrays([a, b], ["a", "b"])
+
+    return cells.drop("rest", "m", "n", "other").groupBy("family", "low", "high").applyInArrow(linked, "a long, b long")
+
+
 def row_id(doc: Column, text: Column) -> Column:
     """A row by id and text; orders by id, null ids last."""
     return F.struct(doc.isNull().alias("none"), doc.alias("id"), F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"))
@@ -210,7 +268,7 @@ def groups(documents: DataFrame, least: float = 0.8, words: int = 5, doc: str =
     same = lambda x: rows["row"][x].eqNullSafe(met["row"][x])
     texts = rows.join(met, same("none") & same("id") & same("h") & same("c")).select("node", "text")
     sets = texts.mapInArrow(digested, "node long, digests array<long>").groupBy("node").agg(F.first("digests").alias("digests"))
-    sets = checkpoint(sets)
+    sets = held = checkpoint(sets)
     if (sets.agg(F.sum(F.size("digests")).alias("n")).first()["n"] or 0) <= BROADCAST_DIGESTS:
         sets = F.broadcast(sets)  # else the pairs carry their sets through an exchange
     likeliest = pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
@@ -218,4 +276,6 @@ def groups(documents: DataFrame, least: float = 0.8, words: int = 5, doc: str =
     roots = components(links)
     more = checkpoint(alike(between(pairs, roots), sets, least))
     roots = components(links.union(more))
+    hidden = checkpoint(within_families(pairs, roots, nodes, held, least))
+    roots = components(links.union(more).union(hidden))
     return every.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
