@@ -5,7 +5,8 @@ each an AND of trigrams that any match must hold. The index has a posting (text
 trigram) for each trigram of the rules that a text holds; a clause's postings are
 intersected by OR-ing one bit per trigram over the text key, and a text whose mask is full
 is a candidate. Only candidates are searched with the regex. Rules without mandatory
-trigrams scan every text.
+trigrams scan every text. Candidates are counted; up to a million (a key and a mask of rules
+each, 16 bytes) are broadcast to the texts, more are joined by an exchange.
 
 The index is keyed by the text's hash, not by the row: copies share postings, a hash
 collision only adds a candidate, and ids may repeat or be null.
@@ -14,8 +15,6 @@ Defined results: null text is empty and has no secrets; positions are code point
 exclusive; matches are leftmost and do not overlap within a kind; a match whose measured
 group is too short is dropped; a very long text is searched whole, by one task; an empty
 table gives no rows; other columns pass, whatever their names (one named as `out` is replaced).
-
-Limit: rows that repeat a text and agree in all whole-number columns share one salt.
 """
 
 from __future__ import annotations
@@ -27,6 +26,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlane.functions.materialize import attach
 from reviewlane.llm.common import aside, own, restored, text_or_empty
 
 
@@ -56,10 +56,9 @@ RULES = [
     Rule("maps_key", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("payment", r"(?:sk|rk)_live_[0-9A-Za-z]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z][a-z0-9+]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@"),
+    Rule("url_login", r"[a-z][a-z0-9+]{0,30}://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@"),
 ]
 BASE = ["assign", "access", "hex"]
-SALTS = 16
 
 _MANY = 64  # strings that a node may spell out before only its trigrams are kept
 
@@ -161,7 +160,7 @@ def build_index(documents: DataFrame, rules: list[Rule] = RULES, text: str = "te
 
 
 def candidates(postings: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """(key, kinds): the rules that a text may match, by intersecting postings."""
+    """(key, may): the rules that a text may match, a bit for each in their order, by intersecting postings."""
     clauses = postings.sparkSession.createDataFrame(_clause_table(rules), "kind string, clause int, gram string, bit long, full long")
     met = (
         postings.join(F.broadcast(clauses), "gram")  # one row per rule, clause and trigram
@@ -169,7 +168,8 @@ def candidates(postings: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         .agg(F.bit_or("bit").alias("mask"))
         .where("mask = full")
     )
-    return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
+    bit = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.kind, 1 << i)))
+    return met.groupBy("key").agg(F.bit_or(F.element_at(bit, F.col("kind"))).alias("may"))
 
 
 def _found(text: Column, rule: Rule) -> Column:
@@ -202,18 +202,14 @@ def scan(documents: DataFrame, rules: list[Rule] = RULES, text: str = "text", ou
     """documents with `out`: array of (start, order, end, kind), sorted by start and then by the rules' order (a column of that name is replaced)."""
     held = aside(documents)
     body = own(documents, text)
-    # A text that many rows repeat has one key, so candidates are given to SALTS shares of its rows.
-    numbers = [F.col(c) for c, kind in held.dtypes if kind in ("bigint", "int", "smallint", "tinyint")]
-    salt = F.pmod(F.xxhash64(F.lit(0), *numbers), F.lit(SALTS))
-    keyed = held.withColumns({"key": F.xxhash64(text_or_empty(F.col(body))), "salt": salt})
-    kinds = candidates(build_index(held, rules, body), rules)
-    dealt = kinds.select("key", "kinds", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    joined = keyed.join(dealt, ["key", "salt"], "left")
+    keyed = held.withColumn("key", F.xxhash64(text_or_empty(F.col(body))))
+    joined = attach(keyed, candidates(build_index(held, rules, body), rules), ["key"], "left")
     whole = text_or_empty(F.col(body))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     parts = []
-    for rule in rules:
-        may = F.array_contains("kinds", rule.kind) if trigram_query(rule.pattern) else F.lit(True)
+    for i, rule in enumerate(rules):
+        # Not null for texts without any candidate: a null would let the regex run on them.
+        may = F.coalesce(F.col("may"), F.lit(0)).bitwiseAND(1 << i) > 0 if trigram_query(rule.pattern) else F.lit(True)
         parts.append(F.when(may & F.rlike(whole, F.lit(rule.pattern)), _found(whole, rule)).otherwise(none))
     return joined.select(*restored(joined, documents, (out,)), F.sort_array(F.flatten(F.array(*parts))).alias(out))
 

@@ -185,3 +185,25 @@ def test_inversion_has_the_law_of_numpy(monkeypatch):
     assert abs(got.mean() - want.mean()) < 0.6 and abs(got.std() / want.std() - 1) < 0.06
     assert sharding.hypergeometric(5, 0, 3, rng) == 3 and sharding.hypergeometric(0, 5, 3, rng) == 0
     assert sharding.hypergeometric(5, 7, 12, rng) == 5 and sharding.hypergeometric(5, 7, 0, rng) == 0
+
+
+def test_the_index_keeps_regexes_from_other_texts(spark):
+    """A rule whose pattern fails on a long text in time: only candidates may meet it."""
+    slow = secrets.Rule("slow", r"needle(?:[a-z]+)+!", 0, 0)  # exponential on letters after the word
+    rows = [(i, f"haystack {'x' * 50_000} {i}") for i in range(8)] + [(9, "needle" + "ab" * 3 + "!"), (10, None)]
+    began = time.monotonic()
+    out = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), [slow, *secrets.RULES])
+    assert {r.doc_id for r in out.collect() if r.secrets} == {9}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert time.monotonic() - began < 60
+
+
+def test_long_runs_of_letters_are_searched_in_time(spark):
+    rng = random.Random(1)
+    run = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    rows = [(1, run(100_000) + " http://u:pw@h"), (2, run(50_000) + "://" + run(50_000)), (3, "://" + run(100_000))]
+    began = time.monotonic()
+    found = {r.doc_id: [s.kind for s in r.secrets] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: ["url_login"], 2: [], 3: []}
+    assert time.monotonic() - began < 20
