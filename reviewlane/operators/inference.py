@@ -2,24 +2,37 @@
 
 Captures of one pass share a receiver and a geometry, so groups are drawn and not rows. A
 draw gives each group a Poisson(1) weight from a digest of seed, draw and group, which any
-engine can repeat and which needs no list of groups. Rows are summed up by group first; what
-a draw then costs is one weight and a few additions for each group, combined where the
-groups are, so a draw is one row of the exchange for each task.
+engine can repeat and which needs no list of groups; a digest serves four draws. Rows are
+summed up by group first; what a draw then costs is one weight and a few additions for each
+group, combined where the groups are, so a draw is one row of the exchange for each task.
+
+An end of an interval is resolved if at least DRAWS_PER_TAIL draws lie beyond it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlane.functions.materialize import checkpoint
-from reviewlane.operators.metrics import verdict
+from reviewlane.functions.ranking import PART, in_order
+from reviewlane.operators.metrics import bin_edges, intraclass, verdict
 
 # The bar for lift, the level of intervals and how many comparisons share it.
 LIFT_BAR, ALPHA, COMPARISONS = 1.5, 0.05, 5
+DRAWS_PER_TAIL = 20  # fixed value
+AT_ONCE = 4  # draws that one digest serves, each by 8 of its hexadecimal digits
+
+
+def draws_needed(alpha: float = ALPHA, comparisons: int = COMPARISONS) -> int:
+    """How many draws resolve the ends of an interval at the level of one of several comparisons (O11.9)."""
+    return math.ceil(round(2 * DRAWS_PER_TAIL * comparisons / alpha, 6))
 
 
 def poisson_bars(n: int = 10) -> list[int]:
@@ -31,28 +44,77 @@ def poisson_bars(n: int = 10) -> list[int]:
     return bars
 
 
+def _digest(group: Column, block: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), block.cast("string"), F.coalesce(group.cast("string"), F.lit(""))))
+
+
+def _copies(digits: Column) -> Column:
+    """Digits of one length in lower case have the order of their numbers."""
+    return reduce(lambda a, b: a + b, (F.when(digits >= f"{bar:08x}", 1).otherwise(0) for bar in poisson_bars()))
+
+
 def weight(group: Column, draw: Column, seed: int) -> Column:
     """How often the draw holds the group."""
-    text = F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), F.coalesce(group.cast("string"), F.lit("")))
-    number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-    return reduce(lambda a, b: a + b, (F.when(number >= bar, 1).otherwise(0) for bar in poisson_bars()))
+    digest = _digest(group, F.floor(draw / AT_ONCE).cast("int"), seed)
+    return _copies(F.substring(digest, (F.pmod(draw, F.lit(AT_ONCE)) * 8 + 1).cast("int"), F.lit(8)))
+
 
+def draw_weights(group: str, draws: int, seed: int) -> np.ndarray:
+    """weight() of one group, as text, in all draws."""
+    digests = b"".join(hashlib.md5(f"{seed}:{i}:{group}".encode()).digest() for i in range(-(-draws // AT_ONCE)))
+    return np.searchsorted(poisson_bars(), np.frombuffer(digests, ">u4")[:draws].astype(np.int64), side="right")
 
-def resampled(rows: DataFrame, group: str, sums: dict[str, Column], draws: int, seed: int) -> DataFrame:
-    """draw and the weighted sum of each column; draws that hold no group are left out. Sums should be whole numbers."""
-    groups = rows.groupBy(group).agg(*(F.sum(c).alias(name) for name, c in sums.items()))
-    drawn = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    weighted = drawn.withColumn("copies", weight(F.col(group), F.col("draw"), seed)).where("copies > 0")
-    return weighted.groupBy("draw").agg(*(F.sum(F.col(name) * F.col("copies")).alias(name) for name in sums))
+
+def drawn(groups: DataFrame, group: str, draws: int, seed: int) -> DataFrame:
+    """groups with `draw` and `copies`, a row for each draw that holds the group."""
+    blocks = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // AT_ONCE))).alias("block"))
+    hashed = blocks.withColumn("digest", _digest(F.col(group), F.col("block"), seed))
+    each = (F.struct((F.col("block") * AT_ONCE + i).alias("draw"), _copies(F.substring("digest", 8 * i + 1, 8)).alias("copies")) for i in range(AT_ONCE))
+    return hashed.select(*groups.columns, F.explode(F.array(*each)).alias("d")).select(*groups.columns, "d.*").where(f"copies > 0 and draw < {draws}")
+
+
+def resampled(rows: DataFrame, group: str, sums: dict[str, Column], draws: int, seed: int, by: list[str] = ()) -> DataFrame:
+    """draw, by and the weighted sum of each column, whole numbers; draws that hold no group are left out.
+
+    A task adds up its groups for all draws at once and gives a row for each draw and value of
+    `by`, of which there should be few.
+    """
+    by, names = list(by), list(sums)
+    groups = rows.groupBy(group, *by).agg(*(F.sum(c).cast("long").alias(name) for name, c in sums.items()))
+    named = groups.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("name of group"), *by, *names)
+    schema = named.select(F.lit(0).alias("draw"), *by, *names).schema
+
+    def run(batches):
+        totals, kinds = {}, []
+        for batch in batches:
+            kinds = [batch.column(c).type for c in by]
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by))) if by else [()] * batch.num_rows
+            values = np.stack([batch.column(c).fill_null(0).to_numpy() for c in names] + [np.ones(batch.num_rows, np.int64)], axis=1)
+            texts = batch.column("name of group").to_pylist()
+            for at in range(0, len(texts), 512):
+                weights = np.stack([draw_weights(t, draws, seed) for t in texts[at : at + 512]])
+                here = {}
+                for i, key in enumerate(keys[at : at + 512]):
+                    here.setdefault(key, []).append(i)
+                for key, places in here.items():
+                    found = weights[places].T @ values[at : at + 512][places]
+                    totals[key] = totals[key] + found if key in totals else found
+        for key, total in totals.items():
+            held = np.flatnonzero(total[:, -1])
+            columns = [pa.array(held.astype(np.int32)), *(pa.array([k] * len(held), kind) for k, kind in zip(key, kinds)), *(pa.array(total[held, i]) for i in range(len(names)))]
+            yield pa.RecordBatch.from_arrays(columns, ["draw", *by, *names])
+
+    return named.mapInArrow(run, schema).groupBy("draw", *by).agg(*(F.sum(name).alias(name) for name in names))
 
 
 def interval(values: DataFrame, value: str, by: list[str] = (), alpha: float = ALPHA) -> DataFrame:
-    """by, draws, low, middle, high, and low and high again for one of COMPARISONS; values has one row a draw."""
+    """by, draws, low, middle, high, low and high again for one of COMPARISONS, and whether their ends are resolved; values has one row a draw."""
     part = alpha / COMPARISONS
     at = {"low": alpha / 2, "middle": 0.5, "high": 1 - alpha / 2, "low_adjusted": part / 2, "high_adjusted": 1 - part / 2}
     shares = F.array(*map(F.lit, at.values()))
     found = values.groupBy(*by).agg(F.count(value).cast("long").alias("draws"), F.percentile(value, shares).alias("q"))
-    return found.select(*by, "draws", *(F.get("q", F.lit(i)).alias(name) for i, name in enumerate(at)))
+    resolved = [(F.col("draws") * level >= 2 * DRAWS_PER_TAIL - 1e-9).alias(name) for name, level in (("resolved", alpha), ("resolved_adjusted", part))]
+    return found.select(*by, "draws", *(F.get("q", F.lit(i)).alias(name) for i, name in enumerate(at)), *resolved)
 
 
 def direction(low: Column, high: Column) -> Column:
@@ -62,8 +124,9 @@ def direction(low: Column, high: Column) -> Column:
 
 def united(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
     """rows (grouping, low, high, ...) with one more, `union`, for each key: the least low and the largest high govern (O11.8, O9.5)."""
-    least, most = [F.min(c).alias(c) for c in ("low", "low_adjusted")], [F.max(c).alias(c) for c in ("high", "high_adjusted")]
-    rest = [F.max(c).alias(c) for c in rows.columns if c not in ("grouping", "low", "low_adjusted", "high", "high_adjusted", *keys)]
+    lower, upper = ("low", "low_adjusted", "resolved", "resolved_adjusted"), ("high", "high_adjusted")
+    least, most = [F.min(c).alias(c) for c in lower], [F.max(c).alias(c) for c in upper]
+    rest = [F.max(c).alias(c) for c in rows.columns if c not in ("grouping", *lower, *upper, *keys)]
     return rows.unionByName(rows.groupBy(*keys).agg(*least, *most, *rest).withColumn("grouping", F.lit("union")))
 
 
@@ -118,8 +181,7 @@ def found_in_draws(placed: DataFrame, place: str, budgets: DataFrame, grouping:
     head = 2 * most + 64
     while True:
         first = placed.where(F.col(place) < head).select(place, grouping, "conflict")
-        each = first.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-        weighted = each.withColumn("copies", weight(F.col(grouping), F.col("draw"), seed)).where("copies > 0")
+        weighted = drawn(first, grouping, draws, seed)
         before = F.sum("copies").over(Window.partitionBy("draw").orderBy(place)) - F.col("copies")  # some `head` rows a draw
         run = weighted.withColumn("before", before).join(F.broadcast(budgets.select("draw", "budget")), "draw")  # one row a draw
         taken = F.greatest(F.lit(0), F.least(F.col("copies"), F.col("budget") - F.col("before")))
@@ -134,8 +196,8 @@ def lift_interval(placed: DataFrame, place: str, groupings: list[str], budget: i
     """grouping, found, lift, its interval and verdict, with the union of all groupings last (O11.1, O11.2, O11.4, O11.5).
 
     placed: conflict, place (from 0) and the grouping columns. Draws without a conflict have
-    no lift; with fewer than a tenth (or 20) of the draws left, or a point outside its own
-    interval, nothing can be said.
+    no lift; with fewer than a tenth (or 20) of the draws left, ends that are not resolved, or a
+    point outside its own interval, nothing can be said.
     """
     placed = checkpoint(placed.select(place, "conflict", *groupings))
     whole = placed.agg(
@@ -151,7 +213,7 @@ def lift_interval(placed: DataFrame, place: str, groupings: list[str], budget: i
         one = interval(lifts.withColumn("lift", F.col("found") * F.col("n") / (F.col("conflicts") * F.col("budget"))), "lift")
         out = one.withColumn("grouping", F.lit(grouping)) if out is None else out.unionByName(one.withColumn("grouping", F.lit(grouping)))
     slack = 1e-9 + 0.05 * (F.col("high") - F.col("low"))
-    inside = (F.col("draws") >= max(20, draws // 10)) & point.between(F.col("low") - slack, F.col("high") + slack)
+    inside = (F.col("draws") >= max(20, draws // 10)) & F.col("resolved") & point.between(F.col("low") - slack, F.col("high") + slack)
     said = verdict(F.col("low"), F.col("high"), LIFT_BAR, F.coalesce(inside, F.lit(False)))
     return united(out).select("*", F.lit(found).cast("long").alias("found"), point.alias("lift"), said.alias("verdict"))
 
@@ -194,3 +256,100 @@ def permutation_tail(found: Column, n: Column, conflicts: Column, budget: Column
         return F.when(possible, F.exp(log_choose(conflicts, k) + log_choose(n - conflicts, budget - k) - log_choose(n, budget))).otherwise(0.0)
 
     return F.aggregate(F.sequence(found.cast("int"), budget.cast("int")), F.lit(0.0), lambda s, k: s + term(k))
+
+
+SAMPLE = -1  # the number of the draw that is the sample itself
+HELD_GROUPS = 4096  # weights of so many groups are kept in a task
+
+
+def auc_in_draws(rows: DataFrame, p: str, y: str, group: str, draws: int, seed: int) -> DataFrame:
+    """draw, value: the area under the ROC curve in every draw and in the sample; null where a draw lacks a class (O11.7).
+
+    Rows are counted by prediction and group and dealt into partitions in order of prediction.
+    A task keeps, for all draws at once, the weights of ones and zeros and the weight of pairs
+    in the right order (ties count half) among its own rows; what a partition's ones owe to the
+    zeros of the partitions before is added afterwards from one row a partition and draw.
+    """
+    named = rows.select(F.col(p).alias("p"), F.col(y).cast("long").alias("y"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("group"))
+    counts = named.groupBy("p", "group").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+    dealt = in_order(counts, ["p"]).select(F.col(PART).cast("int").alias("part"), "p", "group", "n1", "n0")
+
+    def run(batches):
+        weights, at, part = {}, None, 0
+        ones, zeros, pairs, here1, here0 = (np.zeros(draws + 1, np.int64) for _ in range(5))
+        for batch in batches:
+            for part, value, name, n1, n0 in zip(*(batch.column(c).to_pylist() for c in ("part", "p", "group", "n1", "n0"))):
+                if name not in weights:
+                    if len(weights) >= HELD_GROUPS:
+                        weights.clear()
+                    weights[name] = np.append(draw_weights(name, draws, seed), 1)
+                if value != at:
+                    pairs += here1 * (2 * zeros + here0)
+                    ones, zeros = ones + here1, zeros + here0
+                    here1, here0, at = np.zeros(draws + 1, np.int64), np.zeros(draws + 1, np.int64), value
+                here1 += n1 * weights[name]
+                here0 += n0 * weights[name]
+        pairs += here1 * (2 * zeros + here0)
+        columns = [pa.array(np.append(np.arange(draws), SAMPLE).astype(np.int32)), pa.array(np.full(draws + 1, part, np.int32)), *map(pa.array, (ones + here1, zeros + here0, pairs))]
+        yield pa.RecordBatch.from_arrays(columns, ["draw", "part", "ones", "zeros", "pairs"])
+
+    parts = dealt.sortWithinPartitions("p").mapInArrow(run, "draw int, part int, ones long, zeros long, pairs long")
+    before = F.sum("zeros").over(Window.partitionBy("draw").orderBy("part")) - F.col("zeros")  # a row for each partition
+    whole = parts.withColumn("pairs", F.col("pairs") + 2 * F.col("ones") * before).groupBy("draw")
+    sums = whole.agg(*(F.sum(c).alias(c) for c in ("ones", "zeros", "pairs")))
+    defined = (F.col("ones") > 0) & (F.col("zeros") > 0)
+    return sums.select("draw", F.when(defined, F.col("pairs") / (2.0 * F.col("ones") * F.col("zeros"))).alias("value"))
+
+
+def calibration_error_in_draws(rows: DataFrame, p: str, y: str, group: str, draws: int, seed: int, bins: int = 10) -> DataFrame:
+    """draw, value: the expected calibration error in every draw and in the sample (O11.7); predictions count in billionths."""
+    place = sum((F.when(F.col(p) >= e, 1).otherwise(0) for e in bin_edges(bins)[1:-1]), F.lit(0))
+    binned = rows.select(F.col(group).alias("group"), place.alias("bin"), F.round(F.col(p) * 1e9).cast("long").alias("p"), F.col(y).cast("long").alias("y"))
+    sums = {"p": F.col("p"), "y": F.col("y"), "n": F.lit(1)}
+    sample = binned.groupBy("bin").agg(*(F.sum(c).alias(name) for name, c in sums.items())).withColumn("draw", F.lit(SAMPLE))
+    every = resampled(binned, "group", sums, draws, seed, ["bin"]).unionByName(sample)
+    gap = F.abs(F.col("p") - F.col("y") * 1_000_000_000)
+    return every.groupBy("draw").agg((F.sum(gap) / F.sum("n") / 1e9).alias("value"))
+
+
+#: By name: the statistic in draws, and whether less is better.
+STATISTICS = {"auc": (auc_in_draws, False), "calibration_error": (calibration_error_in_draws, True)}
+
+
+def statistic_difference(
+    rows: DataFrame, statistic: str, challenger: str, reference: str, y: str, groupings: list[str], draws: int | None = None, seed: int = 42
+) -> DataFrame:
+    """grouping, margin, its interval, draws, undefined and directions: how much better the challenger's statistic is (O11.7).
+
+    A positive margin speaks for the challenger, whichever way the statistic runs. Draws in
+    which a statistic is not defined are counted and left out; with fewer than a tenth (or 20)
+    left nothing can be measured. The last row is the union of the groupings and governs.
+    """
+    measure, less = STATISTICS[statistic]
+    draws, sign = draws or draws_needed(), 1 if less else -1
+    rows, out = checkpoint(rows.select(challenger, reference, y, *groupings)), None
+    for grouping in groupings:
+        mine, its = (measure(rows, p, y, grouping, draws, seed) for p in (challenger, reference))
+        both = checkpoint(mine.join(its.withColumnRenamed("value", "other"), "draw").withColumn("margin", sign * (F.col("other") - F.col("value"))))
+        point = both.where(F.col("draw") == SAMPLE).select(F.col("margin").alias("margin of sample"))
+        values = both.where(F.col("draw") != SAMPLE)
+        one = interval(values, "margin").join(F.broadcast(point))  # one row each
+        one = one.select(F.lit(grouping).alias("grouping"), F.col("margin of sample").alias("margin"), *(c for c in one.columns if c != "margin of sample"))
+        out = one if out is None else out.unionByName(one)
+    usable = F.col("draws") >= max(20, draws // 10)
+    said = lambda low, high: F.when(usable, direction(F.col(low), F.col(high))).otherwise("unmeasurable")
+    return united(out.withColumn("undefined", draws - F.col("draws"))).withColumns({"direction": said("low", "high"), "direction_adjusted": said("low_adjusted", "high_adjusted")})
+
+
+def clustering(rows: DataFrame, value: str, groupings: list[str]) -> DataFrame:
+    """grouping, label, k, n, n0, icc and design_effect of each grouping; the label says what resampling it amounts to (O6.6).
+
+    A grouping with one row in each group is resampling by observation, whatever its name.
+    """
+    out = None
+    for grouping in groupings:
+        one = intraclass(rows.where(F.col(value).isNotNull()), grouping, value)
+        label = F.when(F.col("icc").isNotNull(), grouping).when(F.col("n") == F.col("k"), "observation_level").otherwise(f"{grouping}_unmeasurable")
+        one = one.select(F.lit(grouping).alias("grouping"), label.alias("label"), *one.columns)
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -10,7 +10,8 @@ from reviewlane.functions.ranking import positions
 from reviewlane.operators import inference, novelty, provenance, queue, samples, splits
 from reviewlane.sources.tables import candidates, observations, table
 
-BUDGET, DRAWS, SEED = 50, 200, 42
+BUDGET, SEED = 50, 42
+DRAWS = inference.draws_needed()
 ENDS = ["low", "high", "low_adjusted", "high_adjusted"]
 
 
@@ -21,12 +22,12 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paired_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = inference.paired_difference(_judged(spark, sf_dir), ["episode", "station"], DRAWS, SEED)
-    return out.select("grouping", "n", "draws", "direction", "direction_adjusted", *(F.round(c, 6).alias(c) for c in ("margin", *ENDS)))
+    return out.select("grouping", "n", "draws", "direction", "direction_adjusted", "resolved_adjusted", *(F.round(c, 6).alias(c) for c in ("margin", *ENDS)))
 
 
 def risk_held(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = inference.risk_ceiling(_judged(spark, sf_dir), "station", 0.75, 0.5, DRAWS, SEED)
-    return out.select("kept", "errors", "held", *(F.round(c, 6).alias(c) for c in ("risk", "low", "high")))
+    return out.select("kept", "errors", "held", "resolved", *(F.round(c, 6).alias(c) for c in ("risk", "low", "high")))
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queue_lift_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = inference.lift_interval(_placed(spark, sf_dir), "place", ["episode", "station"], BUDGET, DRAWS, SEED)
-    return out.select("grouping", "found", "draws", "verdict", *(F.round(c, 6).alias(c) for c in ("lift", "low", "middle", "high")))
+    return out.select("grouping", "found", "draws", "verdict", "resolved", *(F.round(c, 6).alias(c) for c in ("lift", "low", "middle", "high")))
 
 
 def _all_places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
@@ -50,7 +51,33 @@ def _all_places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str,
 def queue_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, places = _all_places(spark, sf_dir)
     out = inference.ordering_differences(rows, places, "episode", "queue", BUDGET, DRAWS, SEED)
-    return out.select("ordering", "more_found", "draws", "direction", *(F.round(c, 6).alias(c) for c in (*ENDS, "ratio_low", "ratio_high")))
+    return out.select("ordering", "more_found", "draws", "direction", "resolved_adjusted", *(F.round(c, 6).alias(c) for c in (*ENDS, "ratio_low", "ratio_high")))
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged rows with a second prediction, the spread of the measurements."""
+    c = candidates(spark, sf_dir).where("prob is not null and label <> 'unknown'")
+    return c.select("station", "episode", F.col("prob").alias("p"), F.col("spread").alias("r"), (F.col("label") == "with-signal").cast("int").alias("y"))
+
+
+def _difference(spark: SparkSession, sf_dir: str, statistic: str) -> DataFrame:
+    out = inference.statistic_difference(_compared(spark, sf_dir), statistic, "p", "r", "y", ["episode", "station"], DRAWS, SEED)
+    names = ["grouping", "draws", "undefined", "direction", "direction_adjusted", "resolved_adjusted"]
+    return out.select(*(F.col(c).cast("long").alias(c) if c in ("draws", "undefined") else c for c in names), *(F.round(c, 6).alias(c) for c in ("margin", *ENDS)))
+
+
+def auc_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _difference(spark, sf_dir, "auc")
+
+
+def calibration_error_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _difference(spark, sf_dir, "calibration_error")
+
+
+def clustering_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How alike the two predictions' Brier differences are within episodes and stations."""
+    gain = F.pow(F.col("r") - F.col("y"), 2) - F.pow(F.col("p") - F.col("y"), 2)
+    return inference.clustering(_compared(spark, sf_dir).withColumn("gain", gain), "gain", ["episode", "station"])
 
 
 def permutation_control(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +189,7 @@ def sample_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        paired_brier, risk_held, queue_lift_interval, queue_differences, permutation_control, label_provenance, label_invariants, label_receipts, field_census,
+        paired_brier, risk_held, queue_lift_interval, queue_differences, auc_difference, calibration_error_difference, clustering_diagnostics, permutation_control, label_provenance, label_invariants, label_receipts, field_census,
         field_check, inadmissible_fields, unseen_entities, risk_by_novelty, feature_novelty, event_interpolation, sample_random, sample_balanced, sample_episodes, sample_diverse,
     )
 }
@@ -172,8 +199,9 @@ def oracles(obs: str, cand: str, scored: str, chrono: str) -> dict[str, str]:
     """SQL by query name; the arguments are the common table expressions of the registry."""
     judged = cand + ", judged AS (SELECT obs_id, station, transmitter, episode, prob AS p, CAST(label = 'with-signal' AS INT) AS y FROM cand WHERE prob IS NOT NULL AND label <> 'unknown')"
     number = lambda text, digits: f"CAST('0x' || substr(md5({text}), 1, {digits}) AS BIGINT)"
-    copies = " + ".join(f"(v >= {bar})::INT" for bar in inference.poisson_bars())
-    drawn = lambda groups: f"SELECT *, {copies} AS w FROM (SELECT *, {number(f"'{SEED}:' || d || ':' || coalesce(CAST(grp AS VARCHAR), '')", 8)} AS v FROM {groups}, range(0, {DRAWS}) r(d))"
+    copies = " + ".join(f"(v >= '{bar:08x}')::INT" for bar in inference.poisson_bars())
+    drawn = lambda groups: f"""SELECT *, {copies} AS w FROM (SELECT *, 4 * b + i AS d, substr(h, 1 + 8 * i, 8) AS v
+        FROM (SELECT *, md5('{SEED}:' || b || ':' || coalesce(CAST(grp AS VARCHAR), '')) AS h FROM {groups}, range(0, {DRAWS // 4}) r(b)), range(0::INT, 4::INT) q(i))"""
     quantile = lambda v: ", ".join(f"quantile_cont({v}, {q!r}::DOUBLE) AS {name}" for name, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975), ("low_adjusted", 0.05 / 5 / 2), ("high_adjusted", 1 - 0.05 / 5 / 2)))
     side = lambda a, b: f"CASE WHEN {a} > 0 THEN 'challenger_better' WHEN {b} < 0 THEN 'reference_better' ELSE 'indistinguishable' END"
     rounded = lambda *names: ", ".join(f"round({c}, 6) AS {c}" for c in names)
@@ -193,7 +221,7 @@ def oracles(obs: str, cand: str, scored: str, chrono: str) -> dict[str, str]:
     def found(grouping, place, out):
         return f"""{out} AS (SELECT d, sum(CASE WHEN conflict THEN greatest(0, least(w, b - before)) ELSE 0 END) AS found FROM (
                 SELECT x.d, p.conflict, x.w, k.b, sum(x.w) OVER (PARTITION BY x.d ORDER BY p.{place}) - x.w AS before
-                FROM placed p JOIN d_{grouping} x ON x.grp IS NOT DISTINCT FROM p.{grouping} JOIN b_{grouping} k ON k.d = x.d WHERE x.w > 0) GROUP BY d)"""
+                FROM (SELECT * FROM placed WHERE {place} < 2000) p JOIN d_{grouping} x ON x.grp IS NOT DISTINCT FROM p.{grouping} JOIN b_{grouping} k ON k.d = x.d WHERE x.w > 0) GROUP BY d)"""
 
     def lifts(grouping):
         return f"""{budgets(grouping)}, {found(grouping, "place", f"f_{grouping}")},
@@ -234,24 +262,57 @@ def oracles(obs: str, cand: str, scored: str, chrono: str) -> dict[str, str]:
             round(sum(e) FILTER (WHERE NOT {a}) / nullif(count(*) FILTER (WHERE NOT {a}), 0)::DOUBLE, 9) AS unflagged_risk FROM nov"""
         for a in ("unseen_station", "unseen_transmitter")
     )
+    compared = cand + ", both_ AS (SELECT station, episode, prob AS p, spread AS r, CAST(label = 'with-signal' AS INT) AS y FROM cand WHERE prob IS NOT NULL AND label <> 'unknown')"
+
+    def areas(grouping, p):
+        return f"""x_{grouping}_{p} AS (SELECT d, {p}, sum(w * n1) AS n1, sum(w * n0) AS n0 FROM (SELECT {grouping} AS grp, {p}, sum(y) AS n1, sum(1 - y) AS n0 FROM both_ GROUP BY 1, 2) c JOIN e_{grouping} e ON c.grp IS NOT DISTINCT FROM e.grp GROUP BY d, {p}),
+            s_{grouping}_{p} AS (SELECT d, sum(n1 * (2 * before + n0))::DOUBLE / nullif(2::DOUBLE * sum(n1) * sum(n0), 0) AS v FROM (SELECT *, sum(n0) OVER (PARTITION BY d ORDER BY {p}) - n0 AS before FROM x_{grouping}_{p}) GROUP BY d)"""
+
+    def gaps(grouping, p):
+        return f"""s_{grouping}_{p} AS (SELECT d, sum(abs(sp - sy * 1000000000))::DOUBLE / sum(n) / 1e9::DOUBLE AS v FROM (
+            SELECT d, bin, sum(w * sp) AS sp, sum(w * sy) AS sy, sum(w * n) AS n FROM (
+                SELECT {grouping} AS grp, {" + ".join(f"({p} >= {i} * 0.1::DOUBLE)::INT" for i in range(1, 10))} AS bin, sum(CAST(round({p} * 1e9::DOUBLE) AS BIGINT)) AS sp, sum(y) AS sy, count(*) AS n FROM both_ GROUP BY 1, 2) c
+            JOIN e_{grouping} e ON c.grp IS NOT DISTINCT FROM e.grp GROUP BY d, bin) GROUP BY d)"""
+
+    def margins(made, sign):
+        parts, union_ = [], []
+        for grouping in ("episode", "station"):
+            parts += [f"g_{grouping} AS (SELECT DISTINCT {grouping} AS grp FROM both_), e_{grouping} AS (SELECT grp, d, w FROM ({drawn(f'g_{grouping}')}) WHERE w > 0 UNION ALL SELECT grp, -1, 1 FROM g_{grouping})", made(grouping, "p"), made(grouping, "r")]
+            parts.append(f"m_{grouping} AS (SELECT d, {sign} * (s_{grouping}_r.v - s_{grouping}_p.v) AS m FROM s_{grouping}_p JOIN s_{grouping}_r USING (d))")
+            union_.append(f"SELECT '{grouping}' AS grouping, (SELECT m FROM m_{grouping} WHERE d = -1) AS margin, count(m) AS draws, {quantile('m')} FROM m_{grouping} WHERE d >= 0")
+        return f"""WITH {compared}, {", ".join(parts)}, u AS ({" UNION ALL ".join(union_)}), a AS (SELECT * FROM u UNION ALL SELECT 'union', max(margin), max(draws), {union} FROM u)
+            SELECT grouping, draws, {DRAWS} - draws AS undefined, {side("low", "high")} AS direction, {side("low_adjusted", "high_adjusted")} AS direction_adjusted, draws >= 4000 AS resolved_adjusted, {rounded("margin", *ENDS)} FROM a"""
+
+    layout = " UNION ALL ".join(
+        f"""SELECT '{g}' AS grouping, CASE WHEN k >= 2 AND n > k THEN '{g}' WHEN n = k THEN 'observation_level' ELSE '{g}_unmeasurable' END AS label, k, n, CASE WHEN k >= 2 AND n > k THEN round(n0, 6) END AS n0,
+            CASE WHEN k >= 2 AND n > k THEN round(icc, 6) END AS icc, CASE WHEN k >= 2 AND n > k THEN round(1 + (n / k::DOUBLE - 1) * icc, 6) END AS design_effect
+            FROM (SELECT *, CASE WHEN msb + (n0 - 1) * msw = 0 THEN 0 ELSE (msb - msw) / (msb + (n0 - 1) * msw) END AS icc FROM (
+                SELECT k, n, (bt - s * s / n) / nullif(k - 1, 0) AS msb, (ss - bt) / nullif(n - k, 0) AS msw, (n - g2::DOUBLE / n) / nullif(k - 1, 0) AS n0 FROM (
+                    SELECT count(*) AS k, CAST(sum(g) AS BIGINT) AS n, sum(g * g) AS g2, sum(s) AS s, sum(ss) AS ss, sum(s * s / g) AS bt FROM (
+                        SELECT count(*) AS g, sum(x) AS s, sum(x * x) AS ss FROM (SELECT {g} AS grp, (r - y) * (r - y) - (p - y) * (p - y) AS x FROM both_) GROUP BY grp))))"""
+        for g in ("episode", "station")
+    )
     lot = lambda key: number(f"'{SEED}:' || {key}", 12)
     return {
         "paired_brier": f"""WITH {judged}, prior AS (SELECT avg(y) AS r FROM judged),
             gains AS (SELECT episode, station, CAST(round(((r - y) * (r - y) - (p - y) * (p - y)) * 1e9::DOUBLE) AS BIGINT) AS gain FROM judged, prior), {gains("episode")}, {gains("station")},
             u AS (SELECT * FROM i_episode UNION ALL SELECT * FROM i_station), a AS (SELECT * FROM u UNION ALL SELECT 'union', max(draws), {union} FROM u),
             w AS (SELECT sum(gain)::DOUBLE / count(*) / 1e9::DOUBLE AS margin, count(*) AS n FROM gains)
-            SELECT grouping, n, draws, {side("low", "high")} AS direction, {side("low_adjusted", "high_adjusted")} AS direction_adjusted, {rounded("margin", *ENDS)} FROM a, w""",
+            SELECT grouping, n, draws, {side("low", "high")} AS direction, {side("low_adjusted", "high_adjusted")} AS direction_adjusted, draws >= 4000 AS resolved_adjusted, {rounded("margin", *ENDS)} FROM a, w""",
         "risk_held": f"""WITH {judged}, sure AS (SELECT station, CAST((p >= 0.5) <> (y = 1) AS INT) AS e FROM judged WHERE greatest(p, 1 - p) >= 0.75),
             g AS (SELECT station AS grp, sum(e) AS e, count(*) AS n FROM sure GROUP BY 1), dr AS ({drawn("g")}),
-            i AS (SELECT {quantile("m")} FROM (SELECT sum(e * w)::DOUBLE / sum(n * w) AS m FROM dr WHERE w > 0 GROUP BY d)),
+            i AS (SELECT count(*) AS draws, {quantile("m")} FROM (SELECT sum(e * w)::DOUBLE / sum(n * w) AS m FROM dr WHERE w > 0 GROUP BY d)),
             t AS (SELECT count(*) AS kept, CAST(sum(e) AS BIGINT) AS errors, sum(e)::DOUBLE / count(*) AS risk FROM sure)
-            SELECT kept, errors, high <= 0.5 AS held, {rounded("risk", "low", "high")} FROM t, i""",
+            SELECT kept, errors, high <= 0.5 AS held, draws >= 800 AS resolved, {rounded("risk", "low", "high")} FROM t, i""",
         "queue_lift_interval": f"""WITH {placed}, {lifts("episode")}, {lifts("station")}, u AS (SELECT * FROM i_episode UNION ALL SELECT * FROM i_station),
             a AS (SELECT * FROM u UNION ALL SELECT 'union', max(draws), {union} FROM u),
             t AS (SELECT count(*) FILTER (WHERE conflict AND place < {BUDGET}) AS found, count(*) FILTER (WHERE conflict AND place < {BUDGET}) / (least({BUDGET}, count(*)) * count(*) FILTER (WHERE conflict)::DOUBLE / count(*)) AS lift FROM placed)
-            SELECT grouping, found, draws, CASE WHEN draws < 20 OR lift NOT BETWEEN low - 1e-9 - 0.05 * (high - low) AND high + 1e-9 + 0.05 * (high - low) THEN 'NOT_MEASURABLE'
-                WHEN low > 1.5 THEN 'PASSED' WHEN high < 1.5 THEN 'FAILED' ELSE 'NOT_ESTABLISHED' END AS verdict, {rounded("lift", "low", "middle", "high")} FROM a, t""",
-        "queue_differences": f"WITH {many}, o AS ({differences}) SELECT ordering, more_found, draws, {side('low_adjusted', 'high_adjusted')} AS direction, {rounded(*ENDS, 'ratio_low', 'ratio_high')} FROM o",
+            SELECT grouping, found, draws, CASE WHEN draws < 800 OR lift NOT BETWEEN low - 1e-9 - 0.05 * (high - low) AND high + 1e-9 + 0.05 * (high - low) THEN 'NOT_MEASURABLE'
+                WHEN low > 1.5 THEN 'PASSED' WHEN high < 1.5 THEN 'FAILED' ELSE 'NOT_ESTABLISHED' END AS verdict, draws >= 800 AS resolved, {rounded("lift", "low", "middle", "high")} FROM a, t""",
+        "queue_differences": f"WITH {many}, o AS ({differences}) SELECT ordering, more_found, draws, {side('low_adjusted', 'high_adjusted')} AS direction, draws >= 4000 AS resolved_adjusted, {rounded(*ENDS, 'ratio_low', 'ratio_high')} FROM o",
+        "auc_difference": margins(areas, -1),
+        "calibration_error_difference": margins(gaps, 1),
+        "clustering_diagnostics": f"WITH {compared} {layout}",
         "permutation_control": f"""WITH {scored}, o AS ({lift_orders}), w AS (SELECT count(*) AS n, count(*) FILTER (WHERE conflict) AS c, least({BUDGET}, count(*)) AS b FROM scored)
             SELECT ordering, found, round(b * c::DOUBLE / n, 6) AS expected, round((SELECT coalesce(sum(exp({choose("c", "k")} + {choose("(n - c)", "(b - k)")} - {choose("n", "b")})), 0)
                 FROM range(0, {BUDGET} + 1) r(k) WHERE k >= found AND k <= b AND k <= c AND b - k <= n - c), 6) AS p FROM o, w""",

@@ -39,7 +39,63 @@ def test_intervals_say_what_they_can(spark):
     assert {r.verdict for r in out} == {"NOT_MEASURABLE"} and {r.lift for r in out} == {None}
     all_ = spark.createDataFrame([(i, f"g{i}", i < 20) for i in range(200)], "place long, grp string, conflict boolean")
     out = {r.grouping: r for r in inference.lift_interval(all_, "place", ["grp"], 20, 100).collect()}
-    assert out["grp"].verdict == out["union"].verdict == "PASSED" and out["grp"].lift == 10.0
+    assert {r.verdict for r in out.values()} == {"NOT_MEASURABLE"} and not any(r.resolved for r in out.values())  # 100 draws have 2.5 in a tail
+    out = {r.grouping: r for r in inference.lift_interval(all_, "place", ["grp"], 20, 800).collect()}
+    assert out["grp"].verdict == out["union"].verdict == "PASSED" and out["grp"].lift == 10.0 and out["grp"].resolved and not out["grp"].resolved_adjusted
+
+
+def test_draws_and_weights_of_all_kinds_agree(spark):
+    assert inference.draws_needed() == 4000 and inference.draws_needed(comparisons=1) == 800
+    groups = spark.createDataFrame([("a",), ("ü b",), (None,)], "g string")
+    by_draw = groups.select("g", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("draw")).select("g", "draw", inference.weight(F.col("g"), F.col("draw"), 7).alias("w")).collect()
+    drawn = {(r.g, r.draw): r.copies for r in inference.drawn(groups, "g", 10, 7).collect()}
+    for r in by_draw:
+        assert drawn.get((r.g, r.draw), 0) == r.w == inference.draw_weights(r.g or "", 10, 7)[r.draw]
+
+
+def rank_area(p, y, w):
+    """AUC of weighted rows by comparing all pairs; nan without a class."""
+    pairs = [(a, b, u * v) for a, i, u in zip(p, y, w) if i for b, j, v in zip(p, y, w) if not j]
+    total = sum(u for *_, u in pairs)
+    return sum(u * ((a > b) + (a == b) / 2) for a, b, u in pairs) / total if total else math.nan
+
+
+def gap_of_bins(p, y, w):
+    total = 0.0
+    for k in range(10):
+        at = [(a, b, u) for a, b, u in zip(p, y, w) if (a >= k / 10 if k else True) and (a < (k + 1) / 10 if k < 9 else True)]
+        total += abs(sum(u * (a - b) for a, b, u in at))
+    return total / sum(w) if sum(w) else math.nan
+
+
+@pytest.mark.parametrize("statistic, of, sign", [("auc", rank_area, -1), ("calibration_error", gap_of_bins, 1)])
+def test_statistics_in_draws(spark, statistic, of, sign):
+    rng = np.random.default_rng(4)
+    rows = [(float(rng.integers(0, 12)) / 12, float(rng.random()), int(rng.random() < 0.3), f"g{rng.integers(0, 9)}" if i % 2 else "hot", f"s{i % 3}") for i in range(60)]
+    frame = spark.createDataFrame(rows, "p double, r double, y int, grp string, site string").repartition(5)
+    out = {r.grouping: r for r in inference.statistic_difference(frame, statistic, "p", "r", "y", ["grp", "site"], 60, 3).collect()}
+    p, r, y = ([x[i] for x in rows] for i in range(3))
+    values = {}
+    for k, name in ((3, "grp"), (4, "site")):
+        weights = {g: inference.draw_weights(g, 60, 3) for g in {x[k] for x in rows}}
+        margins = []
+        for d in range(60):
+            w = [int(weights[x[k]][d]) for x in rows]
+            margins.append(sign * (of(r, y, w) - of(p, y, w)))
+        values[name] = [m for m in margins if not math.isnan(m)]
+        got = out[name]
+        assert (got.draws, got.undefined) == (len(values[name]), 60 - len(values[name]))
+        assert got.margin == pytest.approx(sign * (of(r, y, [1] * 60) - of(p, y, [1] * 60)), abs=1e-8)
+        assert (got.low, got.high) == (pytest.approx(np.percentile(values[name], 2.5), abs=1e-8), pytest.approx(np.percentile(values[name], 97.5), abs=1e-8))
+    assert out["union"].low == min(out["grp"].low, out["site"].low) and out["union"].high == max(out["grp"].high, out["site"].high)
+    one = inference.statistic_difference(frame.where("y = 1"), "auc", "p", "r", "y", ["grp"], 60, 3).collect()
+    assert {(x.direction, x.undefined, x.margin) for x in one} == {("unmeasurable", 60, None)}
+
+
+def test_clustering_says_what_a_grouping_is(spark):
+    rows = spark.createDataFrame([(i, i // 4, 0, float(i % 7 + i // 4)) for i in range(40)], "one int, four int, all int, v double")
+    out = {r.grouping: r.label for r in inference.clustering(rows, "v", ["one", "four", "all"]).collect()}
+    assert out == {"one": "observation_level", "four": "four", "all": "all_unmeasurable"}
 
 
 @pytest.mark.parametrize("found, n, conflicts, budget", [(3, 20, 5, 6), (0, 20, 5, 6), (6, 20, 6, 6), (7, 20, 5, 6)])
