@@ -3,16 +3,21 @@
 A text is the set of its word shingles (five words, XXH64, lower-cased in A-Z). Texts whose
 sets have a Jaccard similarity of `least` (0.8) or more are linked; groups are the connected
 components. At 0.8 two 64-bit SimHashes differ in about 10 bits, more than the pigeonhole of
-`simhash.links` covers, so PRINTS SimHashes of differently mixed digests are keyed by the same
-pairs of Golay codeword indices, and meetings of over NEAR bits are dropped. By simulation of
-independent bits, one print brings a pair at exactly 0.8 together with probability 0.66, at
-0.85 with 0.80, at 0.9 with 0.91, and at least one of the four with 0.987, 0.998 and 0.9999.
-Pairs of over FAR bits in all prints are dropped too. No link is taken without the exact
+`simhash.links` covers, so PRINTS SimHashes of differently mixed digests are made. KEYED of them
+are keyed by the same pairs of Golay codeword indices, and a key carries all prints, so that
+those who meet under it are compared in all 256 bits at once: at 0.8 some 39 differ, with a
+standard deviation of 6, and pairs of over FAR bits are dropped. By simulation of independent
+bits a pair meets and passes with probability 0.978 at exactly 0.8, 0.985 at 0.82, 0.995 at 0.85 and 0.9997 at 0.9. No link is taken without the exact
 similarity of both sets.
 
+Only sets that can have a partner are keyed. At a similarity of `least` a set shares that part
+of its shingles with the other, so of its marks, one digest in MARKED, some `least` must occur in
+other sets too. Sets whose marks do so by 4 standard deviations and a half less have no partner
+(chance of an error below 1 in 10,000); sets of few marks are kept.
+
 Equal sets are one node from the start, and so are equal prints in their buckets. A bucket of
-up to RUN prints gives all its pairs; a longer one a minimum spanning forest by bits that
-differ, so a large group costs pairs in proportion to its sets. The likeliest pair of each set
+up to RUN prints gives all its pairs; a longer one a spanning forest of those within FAR bits, its edges gathered on few hubs that many
+buckets choose alike, so a large group costs pairs in proportion to its sets. The likeliest pair of each set
 is verified first, the others only where they would connect two components.
 
 A forest's edge that is no link may hide links behind it. So families, the sets that candidate
@@ -44,9 +49,10 @@ from reviewlane.llm.common import checkpoint
 from reviewlane.llm.simhash import bucket_keys, components
 
 PRINTS = 4
-NEAR = 12  # bits of one print
+KEYED = 3  # of them give keys; all are compared
 FAR = 58  # bits of all four: at 0.8 some 39 differ, with a standard deviation of 6
 RUN = 4  # longer buckets give a spanning forest
+MARKED = 12  # one in so many digests is a mark
 BLOCK_BYTES = 2 * 2**20  # of sets in a block of a family
 BROADCAST_DIGESTS = 10 * 2**20 // 8  # up to so many digests, 10 MB, the sets are broadcast to the pairs
 #: Odd multipliers that mix the digests anew for each print.
@@ -78,38 +84,51 @@ def prints(digests: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > len(digests), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
+def marks(digests: np.ndarray) -> np.ndarray:
+    return digests[(digests * TIMES[0] >> np.uint64(32)) % np.uint64(MARKED) == 0]
+
+
 def printed(rows: DataFrame, text: str = "text", words: int = 5) -> DataFrame:
-    """rows without the text, with node (the set's hash) and fps."""
+    """rows without the text, with node (the set's hash), fps and marks."""
     kept = [c for c in rows.columns if c != text]
-    schema = rows.select(*kept, F.lit(0).cast("long").alias("node"), F.array(F.lit(0).cast("long")).alias("fps")).schema
+    schema = rows.select(*kept, F.lit(0).cast("long").alias("node"), *(F.array(F.lit(0).cast("long")).alias(c) for c in ("fps", "marks"))).schema
 
     def run(batches):
         for batch in batches:
             sets = [shingles(x.as_py(), words) for x in batch.column(text)]
             nodes = pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64))
             fps = pa.array([prints(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), nodes, fps], [*kept, "node", "fps"])
+            marked = pa.array([marks(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), nodes, fps, marked], [*kept, "node", "fps", "marks"])
 
     return rows.mapInArrow(run, schema)
 
 
-def spanning_forest(group: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): a minimum spanning forest of fingerprints by differing bits, edges of up to `near` bits."""
-    n = len(group)
-    parent, bits, left = np.zeros(n, np.int64), np.full(n, 65, np.int64), np.ones(n, bool)
-    i = 0
-    for _ in range(n - 1):
-        left[i] = False
-        away = np.bitwise_count(group ^ group[i]).astype(np.int64)
-        closer = left & (away < bits)
-        bits[closer], parent[closer] = away[closer], i
-        i = int(np.where(left, bits, 66).argmin())
-    at = np.flatnonzero(bits <= near)
-    return parent[at], at
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits all prints of two rows, or of rows and one row, differ."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
 
+def spanning_forest(nodes: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): a spanning forest of the pairs of up to FAR bits; the least nodes are its hubs, so buckets choose the same ones."""
+    label, heads, tails = np.arange(len(nodes)), [], []
+    for i in np.argsort(nodes).tolist():
+        bits = bits_apart(fps, fps[i])
+        close = np.flatnonzero((bits <= FAR) & (label != label[i]))
+        if len(close):
+            close = close[np.argsort(bits[close], kind="stable")]
+            other, first = np.unique(label[close], return_index=True)
+            heads.append(np.full(len(other), i))
+            tails.append(close[first])
+            label[np.isin(label, other)] = label[i]
+            if (label == label[i]).all():
+                break
+    empty = [np.zeros(0, np.int64)]
+    return np.concatenate(heads or empty), np.concatenate(tails or empty)
 
-def bucket_pairs(keys: np.ndarray, fps: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, ...]:
-    """(a, b, number of the print) of sorted runs of equal keys: pairs of up to `near` differing bits; of a long run a spanning forest."""
+
+def bucket_pairs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """Rows (a, b, bits) of sorted runs of equal keys: pairs of up to FAR bits; of a long run a spanning forest."""
     bounds = np.flatnonzero(np.diff(keys)) + 1
     starts, ends = np.concatenate(([0], bounds)), np.concatenate((bounds, [len(keys)]))
     sizes = ends - starts
@@ -117,64 +136,65 @@ def bucket_pairs(keys: np.ndarray, fps: np.ndarray, near: int = NEAR) -> tuple[n
     found = []
     for d in range(1, RUN):
         at = np.flatnonzero((keys[:-d] == keys[d:]) & short[:-d])
-        if not len(at):
-            break
-        at = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= near]
+        at = at[bits_apart(fps[at], fps[at + d]) <= FAR]
         found.append((at, at + d))
     for start, end in zip(starts[sizes > RUN].tolist(), ends[sizes > RUN].tolist()):
-        i, j = spanning_forest(fps[start:end], near)
+        i, j = spanning_forest(nodes[start:end], fps[start:end])
         found.append((start + i, start + j))
-    a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    number = keys[a].astype(np.uint64) >> np.uint64(26)
-    found = np.unique(np.stack([np.minimum(fps[a], fps[b]), np.maximum(fps[a], fps[b]), number], axis=1), axis=0)
-    return tuple(np.ascontiguousarray(found[:, k]) for k in range(3))
+    a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+    return np.unique(np.stack([np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b]), bits_apart(fps[a], fps[b])], axis=1), axis=0)
 
 
-def meetings(each: DataFrame, near: int = NEAR) -> DataFrame:
-    """(i, a, b): pairs of distinct prints (columns i, fp) that share a key and differ in `near` bits or fewer."""
+def meetings(nodes: DataFrame) -> DataFrame:
+    """(a, b, bits): pairs of nodes (node, fps) that share a key and differ in FAR bits or fewer."""
+    names = ["key", "node", *(f"fp{i}" for i in range(PRINTS))]
 
     def keyed(batches):
         for batch in batches:
-            number, values = batch.column("i").to_numpy().astype(np.int64), batch.column("fp").to_numpy()
-            for at in range(0, len(values), 4096):
-                part = values[at : at + 4096]
-                row, key = bucket_keys(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key | number[at : at + 4096][row] << 26), pa.array(part[row])], ["key", "fp"])
+            ids = batch.column("node").to_numpy()
+            fps = batch.column("fps").flatten().to_numpy().reshape(-1, PRINTS)
+            for at in range(0, len(ids), 4096):
+                part, own = fps[at : at + 4096], ids[at : at + 4096]
+                for i in range(KEYED):
+                    row, key = bucket_keys(np.ascontiguousarray(part[:, i]).view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(key | i << 26), pa.array(own[row]), *(pa.array(part[row, j]) for j in range(PRINTS))], names)
 
     def met(batches):
-        keys, values = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, rest = np.zeros(0, np.int64), np.zeros((0, 1 + PRINTS), np.int64)
         for batch in batches:
             keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            values = np.concatenate([values, batch.column(1).to_numpy()])
+            rest = np.concatenate([rest, np.stack([batch.column(i).to_numpy() for i in range(1, len(names))], axis=1)])
             last = np.searchsorted(keys, keys[-1]) if len(keys) else 0  # the last run may go on
             if last > 65536:
-                yield pairs(keys[:last], values[:last])
-                keys, values = keys[last:], values[last:]
+                yield pairs(keys[:last], rest[:last])
+                keys, rest = keys[last:], rest[last:]
         if len(keys):
-            yield pairs(keys, values)
+            yield pairs(keys, rest)
+
+    def pairs(keys, rest):
+        found = bucket_pairs(keys, rest[:, 0], rest[:, 1:].view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2].astype(np.int32))], ["a", "b", "bits"])
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = nodes.select("node", "fps").repartition(parts, "node").mapInArrow(keyed, ", ".join(f"{n} long" for n in names))
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(met, "a long, b long, bits int").distinct()
 
-    def pairs(keys, values):
-        found = bucket_pairs(keys, values.view(np.uint64), near)
-        return pa.RecordBatch.from_arrays([pa.array(found[2].astype(np.int32)), pa.array(found[0].view(np.int64)), pa.array(found[1].view(np.int64))], ["i", "a", "b"])
 
-    parts = int(each.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = each.select("i", "fp").repartition(parts, "fp").mapInArrow(keyed, "key long, fp long")
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(met, "i int, a long, b long").distinct()
+def with_partners(nodes: DataFrame, least: float) -> DataFrame:
+    """The nodes (node, marks) so many of whose marks other nodes have too that they may have a partner."""
+    each = nodes.select("node", F.explode("marks").alias("mark"))
+    shared = each.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    held = each.join(shared, "mark").groupBy("node").agg(F.count("*").alias("held"))
+    n = F.size("marks")
+    enough = least * n - 4 * F.sqrt(least * (1 - least) * n) - 0.5
+    return nodes.join(held, "node", "left").where(F.coalesce("held", F.lit(0)) >= enough).drop("held", "marks")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, bits): pairs of nodes (node, fps) that met, and how many bits of all their prints differ."""
-    each = nodes.select("node", F.posexplode("fps").alias("i", "fp"))
-    first = checkpoint(each.groupBy("i", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
-    same = each.join(first.where("n > 1"), ["i", "fp"]).select(F.col("first").alias("a"), F.col("node").alias("b"))
-    named = lambda c: first.select("i", F.col("fp").alias(c), F.col("first").alias(f"node_{c}"))
-    met = meetings(first).join(named("a"), ["i", "a"]).join(named("b"), ["i", "b"])
-    both = same.unionByName(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).where("a <> b")
-    pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    fps = lambda c: nodes.select(F.col("node").alias(c), F.col("fps").alias(f"fps_{c}"))
-    apart = F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    bits = F.aggregate(apart, F.lit(0), lambda s, x: s + x)
-    return pairs.join(fps("a"), "a").join(fps("b"), "b").select("a", "b", bits.alias("bits")).where(F.col("bits") <= FAR)
+    """(a, b, bits): pairs of nodes (node, fps) that met. Of nodes with equal prints one meets others and the rest are paired with it."""
+    first = nodes.groupBy("fps").agg(F.min("node").alias("first"), F.count("*").alias("n"))
+    same = nodes.join(first.where("n > 1"), "fps").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.lit(0).alias("bits"))
+    return same.unionByName(meetings(first.select(F.col("first").alias("node"), "fps")))
 
 
 def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -204,7 +224,7 @@ def block_links(i: np.ndarray, root: np.ndarray, fps: np.ndarray, sets: list[np.
     left, right = np.flatnonzero(i == cell[0]), np.flatnonzero(i == cell[1])
     found = []
     for a in left.tolist():
-        bits = np.bitwise_count(fps[right] ^ fps[a]).sum(axis=1)
+        bits = bits_apart(fps[right], fps[a])
         fits = np.minimum(size[right], size[a]) >= least * np.maximum(size[right], size[a])
         near = np.flatnonzero((bits <= FAR) & fits & (label[right] != label[a]))
         for b in right[near[np.argsort(bits[near], kind="stable")]].tolist():
@@ -255,7 +275,8 @@ def groups(documents: DataFrame, least: float = 0.8, words: int = 5, doc: str =
     """One row per document: row (as row_id) and root, a name of its group."""
     rows = documents.select(row_id(F.col(doc), F.col(text)).alias("row"), F.col(text).alias("text"))
     every = checkpoint(printed(rows, words=words))
-    nodes = checkpoint(every.groupBy("node").agg(F.min("row").alias("row"), F.first("fps").alias("fps")))
+    found = checkpoint(every.groupBy("node").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("fps", "marks"))))
+    nodes = checkpoint(with_partners(found, least))
     pairs = checkpoint(candidates(nodes))
     # Digests are made only for sets that were met.
     met = nodes.select("node", "row").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
