@@ -23,10 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlane.llm.common import sums_before
+
 # Strings with which chat templates mark turns.
 CONTROL = ["<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 
 NEXT, END = "<|next|>", "<|end|>"
+_HEADER = r"^<\|role:((?s:.*?))\|>"
 
 
 def escape(text: Column) -> Column:
@@ -95,28 +98,24 @@ def format_conversations(
 def loss_spans(formatted: Column, role: str = "assistant") -> Column:
     """(start, length, text) of each text of the role's blocks: code points, from 1, text unescaped.
 
-    One pass over the string's pieces, so long conversations cost in proportion to their length.
+    Blocks and texts are cut once and placed by sums of their lengths (`sums_before`).
     """
-    pieces = F.split(formatted, r"\|>|<\|")  # "", name, text, name, text, ...
-    state = F.struct(
-        F.lit(1).alias("at"),
-        F.lit(False).alias("named"),
-        F.lit(False).alias("on"),
-        F.array().cast("array<struct<start:int,length:int,text:string>>").alias("spans"),
-    )
-
-    def step(s, x):
-        named = s["named"]
-        opened = F.when(x.startswith("role:"), _read_role(F.substring(x, 6, 1 << 30)) == role).otherwise(s["on"] & (x != "end"))
-        span = F.struct(s["at"].alias("start"), F.length(x).alias("length"), unescape(x).alias("text"))
-        return F.struct(
-            (s["at"] + F.length(x) + 2).alias("at"),  # each piece is followed by a mark of two characters
-            (~named).alias("named"),
-            F.when(named, opened).otherwise(s["on"]).alias("on"),
-            F.when(~named & s["on"], F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"),
+    none = F.array().cast("array<struct<start:bigint,length:int,text:string>>")
+
+    def texts(block: Column, at: Column) -> Column:
+        name = F.regexp_extract(block, _HEADER, 1)
+        head = F.length(name) + len("<|role:|>")
+        parts = F.split(F.substring(block, head + 1, F.length(block)), r"<\|next\|>")
+        spans = lambda held: F.zip_with(
+            held,
+            sums_before(F.transform(held, lambda t: F.length(t) + len(NEXT))),
+            lambda t, before: F.struct((at + head + before + 1).alias("start"), F.length(t).alias("length"), unescape(t).alias("text")),
         )
+        return F.when((block != "") & (_read_role(name) == role), F.transform(F.array(parts), spans)[0]).otherwise(none)
 
-    return F.aggregate(pieces, state, step, lambda s: s["spans"])
+    blocks = F.split(formatted, r"<\|end\|>")
+    placed = lambda held: F.zip_with(held, sums_before(F.transform(held, lambda b: F.length(b) + len(END))), texts)
+    return F.flatten(F.transform(F.array(blocks), placed)[0])
 
 
 def loss_text(spans: Column) -> Column:
@@ -127,14 +126,13 @@ def loss_text(spans: Column) -> Column:
 def read_turns(formatted: Column) -> Column:
     """The turns (role, text) of a formatted conversation, in order."""
     blocks = F.filter(F.split(formatted, r"<\|end\|>"), lambda b: b != "")
-    header = r"^<\|role:((?s:.*?))\|>"
     return F.flatten(
         F.transform(
             blocks,
             lambda b: F.transform(
-                F.split(F.regexp_replace(b, header, ""), r"<\|next\|>"),
+                F.split(F.regexp_replace(b, _HEADER, ""), r"<\|next\|>"),
                 lambda t: F.struct(
-                    _read_role(F.regexp_extract(b, header, 1)).alias("role"), unescape(t).alias("text")
+                    _read_role(F.regexp_extract(b, _HEADER, 1)).alias("role"), unescape(t).alias("text")
                 ),
             ),
         )

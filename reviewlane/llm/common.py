@@ -57,6 +57,30 @@ def restored(df: DataFrame, like: DataFrame, replaced: tuple[str, ...] = ()) ->
     return [df[f"_own{i}"].alias(c) for i, c in enumerate(like.columns) if c not in replaced]
 
 
+def sums_before(lengths: Column) -> Column:
+    """For each number of an array the sum of those before it.
+
+    An array grows by copies, so the sums are made for parts of the square root of its size and
+    then put together: the work grows with the size to the power 1.5.
+    """
+
+    def grown(part: Column, first: Column) -> Column:
+        state = F.struct(first.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(part, state, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
+
+    def summed(x: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(x))), F.lit(1)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / width).cast("int")), lambda i: F.slice(x, i * width + 1, width))
+        return F.transform(F.array(parts), lambda held: _joined(held))[0]
+
+    def _joined(held: Column) -> Column:
+        totals = F.transform(held, lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, n: s + n))
+        return F.flatten(F.zip_with(held, grown(totals, F.lit(0)), grown))
+
+    empty = F.array().cast("array<bigint>")
+    return F.transform(F.array(lengths), lambda x: F.when(F.size(x) > 0, summed(x)).otherwise(empty))[0]  # each value is bound once
+
+
 def worker_cache(key: str, build):
     """build()'s value, once for each Python worker process."""
     import sys

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlane.functions.materialize import attach
-from reviewlane.llm.common import aside, own, restored, text_or_empty
+from reviewlane.llm.common import aside, own, restored, sums_before, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -178,24 +178,24 @@ def _found(text: Column, rule: Rule) -> Column:
     matches = F.regexp_extract_all(text, F.lit(whole), F.lit(1))
     measured = F.regexp_extract_all(text, F.lit(whole), F.lit(rule.group + 1)) if rule.group else matches
     between = F.split(text, rule.pattern)
-    steps = F.arrays_zip(
-        F.transform(between, F.length).alias("gap"),
-        F.transform(matches, F.length).alias("size"),
-        F.transform(measured, F.length).alias("measure"),
-    )
-    empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     order = [r.kind for r in RULES].index(rule.kind) if rule in RULES else len(RULES)
+    sizes = F.zip_with(
+        F.slice(F.transform(between, F.length), 1, F.size(matches)),
+        F.zip_with(matches, measured, lambda m, v: F.struct(F.length(m).alias("size"), F.length(v).alias("measure"))),
+        lambda gap, m: F.struct(gap.alias("gap"), m["size"].alias("size"), m["measure"].alias("measure")),
+    )
 
-    def step(s, x):
-        start = s["at"] + x["gap"]
-        end = start + x["size"]
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        keep = x["size"].isNotNull() & (x["measure"] >= rule.least)
-        return F.struct(
-            F.coalesce(end, start).alias("at"), F.when(keep, F.array_append(s["out"], span)).otherwise(s["out"]).alias("out")
-        )
+    def spans(steps: Column) -> Column:
+        before = sums_before(F.transform(steps, lambda x: x["gap"] + x["size"]))
+
+        def span(x: Column, at: Column) -> Column:
+            start = (at + x["gap"]).cast("int")
+            return F.struct(start.alias("start"), F.lit(order).alias("order"), (start + x["size"]).alias("end"), F.lit(rule.kind).alias("kind"), x["measure"].alias("measure"))
+
+        kept = F.filter(F.zip_with(steps, before, span), lambda s: s["measure"] >= rule.least)
+        return F.transform(kept, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "order", "end", "kind"))))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    return F.transform(F.array(sizes), spans)[0]
 
 
 def scan(documents: DataFrame, rules: list[Rule] = RULES, text: str = "text", out: str = "secrets") -> DataFrame:

@@ -188,3 +188,33 @@ def test_chat_of_many_turns(spark):
     turns = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") % 5 < 2, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
     row = chat.format_conversations(turns).select(chat.read_turns(F.col("formatted")).alias("turns")).first()
     assert [t.text for t in row.turns] == [f"t{i}" for i in range(20_000)]
+
+
+def test_sums_before(spark):
+    from pyspark.sql import functions as F
+
+    from reviewlane.llm.common import sums_before
+
+    rows = [[], [5], [1, 2], list(range(10)), [3] * 1000, None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x array<int>").select("i", sums_before(F.col("x")).alias("s")).collect()
+    for r in got:
+        assert (r.s or []) == [sum(rows[r.i][:k]) for k in range(len(rows[r.i] or []))]
+
+
+def test_loss_spans_of_a_long_conversation(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    turns = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") % 5 < 2, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<|t"), "id").alias("text"))
+    began = time.monotonic()
+    row = chat.format_conversations(turns).select("formatted", chat.loss_spans(F.col("formatted")).alias("spans")).first()
+    assert time.monotonic() - began < 20
+    assert [s.text for s in row.spans] == [f"<|t{i}" for i in range(20_000) if i % 5 >= 2]
+    assert all(row.formatted[s.start - 1 : s.start - 1 + s.length] == s.text.replace("<|", "<\\|") for s in row.spans[:50] + row.spans[-50:])
+
+
+def test_a_text_of_many_secrets(spark):
+    text = "token = abcdefgh12 é" * 5000
+    (row,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(s.start, s.end) for s in row.secrets] == [(20 * i, 20 * i + 18) for i in range(5000)]
