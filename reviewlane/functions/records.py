@@ -16,6 +16,8 @@ BANDS = [
     ("s_band", 2.2e9, 2.5e9),
 ]
 
+COMMIT_DIGITS = 6  # fixed value
+
 
 def client_version(v: Column) -> Column:
     """Trimmed text, null if nothing is left (O1.15)."""
@@ -23,20 +25,13 @@ def client_version(v: Column) -> Column:
 
 
 def release_family(v: Column) -> Column:
-    """The version without its build mark; null stays null (O3.1).
+    """The trimmed version without what `git describe` adds to a release; null if nothing is left (O3.1).
 
-    A build mark is, at the end, a commit count and a commit (`g` and six or more lower-case
-    hexadecimal digits), joined by points and set off by a plus or a point, and may be followed
-    by a part `dirty`, which also goes when it stands alone.
+    That is a count of commits and a commit of COMMIT_DIGITS hexadecimal digits or more, set
+    off by a plus or a point, and a mark for a dirty tree.
     """
-    clean = F.when(F.endswith(v, F.lit(".dirty")), F.left(v, F.length(v) - 6)).otherwise(v)
-    commit, before = F.substring_index(clean, ".", -1), F.length(clean) - F.length(F.substring_index(clean, ".", -1)) - 1
-    head = F.left(clean, before)
-    count = F.element_at(F.split(head, "[+.]"), -1)
-    is_commit = F.startswith(commit, F.lit("g")) & (F.length(commit) >= 7) & (F.translate(F.substring(commit, 2, 1 << 20), "0123456789abcdef", "") == "")
-    is_count = (F.length(count) > 0) & (F.translate(count, "0123456789", "") == "") & (F.length(head) > F.length(count))
-    marked = (before > 0) & is_commit & is_count
-    return F.when(marked, F.left(head, F.length(head) - F.length(count) - 1)).otherwise(clean)
+    described = rf"^(.*?)([+.]\d+[.]g[0-9a-f]{{{COMMIT_DIGITS},}})?([.]dirty)?$"
+    return F.nullif(F.regexp_extract(F.trim(v), described, 1), F.lit(""))
 
 
 def family_or_unknown(v: Column) -> Column:
@@ -107,25 +102,9 @@ def next_cursor(link: Column) -> Column:
 
 
 def url_time(url: Column) -> Column:
-    """yyyy-mm-ddThh:mm:ss read from a capture's address, where dashes part the time too (O3.8).
-
-    Of the pieces between dashes the third that begins with two digits and a T has the date's
-    two pieces before it and the time's two behind it.
-    """
-    pieces = F.split(url, "-")
-    at = F.filter(F.sequence(F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(2))), lambda i: _digits(F.substring(F.get(pieces, i), 1, 2), 2) & (F.substring(F.get(pieces, i), 3, 1) == "T"))
-
-    def read(i: Column) -> Column:
-        year, month, middle, minute, second = F.right(F.get(pieces, i - 2), F.lit(4)), F.get(pieces, i - 1), F.get(pieces, i), F.get(pieces, i + 1), F.left(F.get(pieces, i + 2), F.lit(2))
-        hour = F.substring(middle, 4, 1 << 20)
-        whole = _digits(year, 4) & _digits(month, 2) & _digits(hour, 2) & _digits(minute, 2) & _digits(second, 2)
-        return F.when(whole, F.concat(year, F.lit("-"), month, F.lit("-"), F.left(middle, F.lit(3)), hour, F.lit(":"), minute, F.lit(":"), second))
-
-    return F.get(F.array_compact(F.transform(at, read)), F.lit(0))
-
-
-def _digits(text: Column, n: int) -> Column:
-    return (F.length(text) == n) & (F.translate(text, "0123456789", "") == "")
+    """yyyy-mm-ddThh:mm:ss of the first timestamp in a capture's address, where dashes part the time too (O3.8)."""
+    found = F.regexp_extract(url, r"\d{4}(-\d\d){2}T\d\d(-\d\d){2}", 0)
+    return F.when(found != "", F.concat(F.left(found, F.lit(11)), F.translate(F.right(found, F.lit(8)), "-", ":")))
 
 
 def confidence(p: Column) -> Column:

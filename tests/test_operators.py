@@ -16,7 +16,7 @@ def test_exact_bounds():
 
 @pytest.mark.parametrize("version, family", [
     ("2.1.2+1.gcded8f6.dirty", "2.1.2"), ("2.1.2+1.gcded8f6", "2.1.2"), ("1.8.1.12.g0123abcdef", "1.8.1"), ("1.8.dirty", "1.8"), ("1.8", "1.8"),
-    ("1.8+5.gXYZ123", "1.8+5.gXYZ123"), ("1.8+5.g12345", "1.8+5.g12345"), ("g123456", "g123456"), ("5.g123456", "5.g123456"), ("", ""), ("a+.g123456", "a+.g123456"), (None, None),
+    ("1.8+5.gXYZ123", "1.8+5.gXYZ123"), ("1.8+5.g12345", "1.8+5.g12345"), ("g123456", "g123456"), ("5.g123456", "5.g123456"), ("", None), ("  ", None), (" 1.8+5.gabcdef0 ", "1.8"), (".dirty", None), ("1.8.dirty.dirty", "1.8.dirty"), ("a+.g123456", "a+.g123456"), (None, None),
 ])
 def test_release_family(spark, version, family):
     df = spark.createDataFrame([(version,)], "v string")
