@@ -11,6 +11,7 @@ from reviewlane.functions.materialize import shared_folder
 from reviewlane.operators import census
 from reviewlane.sources import snapshot
 from reviewlane.sources.tables import table
+from reviewlane.streaming import ingest
 
 RECORD = "obs_id long, station long, status string"
 PAGE_ROWS = 5000
@@ -58,6 +59,35 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.agg(F.count("*").alias("n"), F.count_if(~good).alias("refused"), F.sum("record.event_id").alias("ids"))
 
 
+ENTRY = "obs_id long, sha string, reason string, seen long"
+
+
+def _fetched(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The folder of a stream that took in two waves of fetches, started anew for the second; and the requests.
+
+    The first wave asks for the orders whose number is not divisible by four. Every third fetch
+    fails: for good if the number is divisible by five, else until the second wave, which
+    fetches all that is to be requested by then.
+    """
+    requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id"))
+    folder = f"{shared_folder(spark)}/fetched/{uuid.uuid4().hex}"
+    sha = F.sha2(F.col("obs_id").cast("string"), 256)
+    failed = F.col("obs_id") % 3 == 0
+    gone = F.when(failed & (F.col("obs_id") % 5 == 0), "NOT_FOUND")
+    for wave in (0, 1):
+        asked = requests.where("obs_id % 4 <> 0") if wave == 0 else ingest.to_request(requests, ingest.current(spark, folder, ENTRY, "obs_id"), "obs_id")
+        reason = F.coalesce(gone, F.when(failed, "TIMEOUT")) if wave == 0 else gone
+        entries = asked.withColumn("reason", reason).select("obs_id", F.when(F.col("reason").isNull(), sha).alias("sha"), "reason", F.lit(wave).cast("long").alias("seen"))
+        entries.write.mode("append").parquet(f"{folder}/in")
+        ingest.ingest(spark, f"{folder}/in", folder, ENTRY)
+    return folder, requests
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, _ = _fetched(spark, sf_dir)
+    return ingest.current(spark, folder, ENTRY, "obs_id")
+
+
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders by nation (site), customer (station) and priority (satellite; the lowest is unknown)."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("station"), F.col("c_nationkey").alias("site"))
@@ -71,12 +101,14 @@ def pair_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return census.shared_sites(rows, "site", "station").join(F.broadcast(census.pairs_only_excluded_by(rows, "site", ["station", "satellite"])))  # one row each
 
 
-QUERIES = {f.__name__: f for f in (snapshot_records, snapshot_orphans, log_lines, pair_census)}
+QUERIES = {f.__name__: f for f in (snapshot_records, snapshot_orphans, log_lines, ingested, pair_census)}
 
 ORACLES = {
     "snapshot_records": "SELECT o_orderkey AS obs_id, o_custkey AS station, CASE WHEN o_orderkey % 5 = 0 THEN 'seen again' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 7 <> 0",
     "snapshot_orphans": "SELECT count(*) AS records, count(*) FILTER (WHERE o_orderkey % 7 <> 0) AS named, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS orphans FROM orders",
     "log_lines": "SELECT count(*) AS n, count(*) FILTER (WHERE event_id % 10 = 0) AS refused, CAST(sum(event_id) FILTER (WHERE event_id % 10 <> 0) AS BIGINT) AS ids FROM events",
+    "ingested": """SELECT o_orderkey AS obs_id, CASE WHEN reason IS NULL THEN sha256(CAST(o_orderkey AS VARCHAR)) END AS sha, reason, CAST(CASE WHEN o_orderkey % 4 = 0 OR (o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0) THEN 1 ELSE 0 END AS BIGINT) AS seen
+        FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 15 = 0 THEN 'NOT_FOUND' END AS reason FROM orders)""",
     "pair_census": """WITH s AS (SELECT o_orderkey AS id, c_nationkey AS site, o_custkey AS station, nullif(o_orderpriority, '5-LOW') AS satellite FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
         t AS (SELECT site, count(DISTINCT station) AS stations, count(*) AS n FROM s WHERE site IS NOT NULL GROUP BY 1)
         SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_sites, count(*) FILTER (WHERE stations > 1) AS n_shared, CAST(coalesce(sum(stations) FILTER (WHERE stations > 1), 0) AS BIGINT) AS stations_there,
