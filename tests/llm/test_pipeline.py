@@ -76,6 +76,18 @@ def test_near_duplicates(spark, documents):
     assert corpus_pipeline.drop_near_duplicates(spark, documents(rows).limit(0), "").count() == 0
 
 
+def test_near_duplicates_of_a_dense_group(spark, documents):
+    """Copies with 2 to 5 edits in 120 words: their similarities lie around 0.8, so links are few and hidden among near pairs."""
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(i, " ".join(edited(words, rng.randrange(2, 6), rng))) for i in range(300)]
+    groups = list(survivors(rows))
+    assert 200 < len(groups) < 290
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, documents(rows), "").collect()}
+    linked = [min(m)[0] for m in groups if len(m) > 1]
+    assert set(linked) <= kept and len(kept) - len(groups) <= 0.05 * sum(len(m) - 1 for m in groups)
+
+
 def test_near_duplicates_of_null_and_repeated_ids(spark, documents):
     rng = random.Random(6)
     texts = [" ".join(f"u{i}w{j}" for j in range(60)) for i in range(12)]
