@@ -238,11 +238,16 @@ def block_links(i: np.ndarray, root: np.ndarray, fps: np.ndarray, sets: list[np.
 
 def within_families(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(a, b): links that connect different components (roots: node, root) of a family, the nodes that pairs connect."""
-    family = components(pairs.select("a", "b")).select("node", F.col("root").alias("family"))
-    member = checkpoint(family.join(roots, "node", "left").select("node", "family", F.coalesce("root", "node").alias("root")))
+    # Families are found between components, so that a large one costs its few pairs with others and not its own.
+    root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    rooted = pairs.select("a", "b").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    rooted = rooted.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b").distinct()
+    family = components(rooted).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left")
+    member = checkpoint(met.select("node", F.coalesce("root", "node").alias("root")).join(family, "root"))
     parts = member.groupBy("family", "root").agg(F.count("*").alias("n"))
-    apart = parts.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots"), F.sum("n").alias("n"))
-    searched = attach(member, apart.where("roots > 1 and n > 2").select("family", "largest"), ["family"])
+    apart = parts.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("n"))
+    searched = attach(member, apart.where("n > 2").select("family", "largest"), ["family"])
     whole = searched.withColumn("rest", F.col("root") != F.col("largest")).join(nodes.select("node", "fps"), "node").join(sets, "node")
     whole = checkpoint(whole.select("family", "node", "root", "rest", "fps", "digests"))
     blocks = lambda which: F.ceil(F.coalesce(F.sum(F.when(which, 8 * F.size("digests") + 64)), F.lit(0)) / BLOCK_BYTES).cast("int")
