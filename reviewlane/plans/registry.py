@@ -9,7 +9,7 @@ from reviewlane.functions import records
 from reviewlane.functions.materialize import checkpoint
 from reviewlane.functions.ranking import average_rank, percentiles
 from reviewlane.operators import metrics, precedent, queue, splits
-from reviewlane.plans import inference, models, rates, sources
+from reviewlane.plans import grounding, inference, models, rates, sources
 from reviewlane.sources.tables import candidates, observations, table
 from reviewlane.streaming import sessions
 
@@ -268,7 +268,7 @@ QUERIES = {
         station_history,
         sessions.event_sessions,
     )
-} | inference.QUERIES | models.QUERIES | rates.QUERIES | sources.QUERIES
+} | inference.QUERIES | models.QUERIES | rates.QUERIES | sources.QUERIES | grounding.QUERIES
 
 _OBS = """
 obs AS (
@@ -486,4 +486,4 @@ ORACLES = {
         SELECT q.obs_id AS query_id, p.obs_id AS id, CAST(q.i - p.i AS INT) AS rank FROM n q JOIN n p ON p.station = q.station AND p.i BETWEEN q.i - 5 AND q.i - 1""",
     "event_sessions": sessions.SESSIONS_SQL,
 }
-ORACLES |= inference.oracles(_OBS, _CAND, _SCORED, _CHRONO) | models.oracles(_CAND) | rates.oracles(_CAND) | sources.ORACLES
+ORACLES |= inference.oracles(_OBS, _CAND, _SCORED, _CHRONO) | models.oracles(_CAND) | rates.oracles(_CAND) | sources.ORACLES | grounding.oracles(_CAND)
