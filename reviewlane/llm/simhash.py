@@ -38,6 +38,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (first bit, width)
 #: Fixed value: a generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
 RUN = 32  # runs of more rows are linked by a spanning forest
+SHARE = 20_000  # edges in a partition while components are sought
 
 
 def simhash64(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -187,21 +188,35 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each component, for nodes that have edges (columns a, b)."""
+    """(node, root): the least node of each component, for nodes that have edges (columns a, b).
+
+    Rounds end when the edges' count and the exclusive or of their digests stay as they are. Few
+    edges are held in few partitions (SHARE in each), as a round has several exchanges.
+    """
+    parts, width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), None
+
+    def narrow(df: DataFrame) -> DataFrame:
+        return df.coalesce(width) if width is not None and width < parts else df
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first())
+
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    held = state(edges)
     while True:
+        width = 1 + held[0] // SHARE
+        edges = narrow(edges)
         # Large star: neighbours above a node join its least neighbour.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = narrow(narrow(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
         # Small star: a node and its neighbours below it join the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = narrow(large.join(least, "a"))
         joined = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        following = checkpoint(joined.where("a > b").distinct())
-        same = following.join(edges, ["a", "b"], "left_anti").isEmpty() and following.count() == edges.count()
-        edges = following
-        if same:
+        edges = checkpoint(narrow(joined.where("a > b").distinct()))
+        before, held = held, state(edges)
+        if held == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )

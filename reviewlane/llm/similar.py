@@ -211,10 +211,15 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) that no component (node, root) holds both of."""
+    """(a, b, root_a, root_b): the pairs (a, b) that no component (node, root) holds both of.
+
+    A node is b of a bounded number of pairs (a forest gives it one for each of its keys, a short
+    bucket RUN - 1), so these are one row while b's component is looked up.
+    """
     a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    rooted = pairs.join(a, "a", "left").join(b, "b", "left")
-    return rooted.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    met = pairs.groupBy("b").agg(F.collect_list("a").alias("met")).join(b, "b", "left")
+    rooted = met.select("b", F.coalesce("root_b", "b").alias("root_b"), F.explode("met").alias("a")).join(a, "a", "left")
+    return rooted.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), "root_b").where("root_a <> root_b")
 
 
 def block_links(i: np.ndarray, root: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], cell: tuple[int, int], least: float) -> list[tuple[int, int]]:
@@ -236,12 +241,17 @@ def block_links(i: np.ndarray, root: np.ndarray, fps: np.ndarray, sets: list[np.
     return found
 
 
-def within_families(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b): links that connect different components (roots: node, root) of a family, the nodes that pairs connect."""
+def within_families(pairs: DataFrame, apart: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that connect different components (roots: node, root) of a family, the nodes that pairs connect.
+
+    apart: the pairs between components as they were before the last links, by their roots.
+    """
     # Families are found between components, so that a large one costs its few pairs with others and not its own.
-    root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    rooted = pairs.select("a", "b").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-    rooted = rooted.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b").distinct()
+    rooted = apart.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    for x in "ab":
+        newer = roots.select(F.col("node").alias(x), "root")
+        rooted = rooted.distinct().join(newer, x, "left").withColumn(x, F.coalesce("root", x)).drop("root")
+    rooted = rooted.where("a <> b")
     family = components(rooted).select(F.col("node").alias("root"), F.col("root").alias("family"))
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left")
     member = checkpoint(met.select("node", F.coalesce("root", "node").alias("root")).join(family, "root"))
@@ -300,8 +310,9 @@ def groups(documents: DataFrame, least: float = 0.8, words: int = 5, doc: str =
     likeliest = pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
     links = checkpoint(alike(likeliest, sets, least))
     roots = components(links)
-    more = checkpoint(alike(between(pairs, roots), sets, least))
+    apart = checkpoint(between(pairs, roots))
+    more = checkpoint(alike(apart, sets, least))
     roots = components(links.union(more))
-    hidden = checkpoint(within_families(pairs, roots, nodes, held, least))
+    hidden = checkpoint(within_families(pairs, apart, roots, nodes, held, least))
     roots = components(links.union(more).union(hidden))
     return every.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
