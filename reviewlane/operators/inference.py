@@ -4,7 +4,7 @@ Captures of one pass share a receiver and a geometry, so groups are drawn and no
 draw gives each group a Poisson(1) weight from a digest of seed, draw and group, which any
 engine can repeat and which needs no list of groups; a digest serves four draws. Rows are
 summed up by group first; what a draw then costs is one weight and a few additions for each
-group, combined where the groups are, so a draw is one row of the exchange for each task.
+group, combined where the groups are, so a draw is one row of the exchange for each task. Digests are made for many groups at once (functions/digests.py).
 
 An end of an interval is resolved if at least DRAWS_PER_TAIL draws lie beyond it.
 """
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewlane.functions.digests import MOST_BYTES, md5_words
 from reviewlane.functions.materialize import checkpoint
 from reviewlane.functions.ranking import PART, in_order
 from reviewlane.operators.metrics import bin_edges, intraclass, verdict
@@ -28,6 +29,8 @@ from reviewlane.operators.metrics import bin_edges, intraclass, verdict
 LIFT_BAR, ALPHA, COMPARISONS = 1.5, 0.05, 5
 DRAWS_PER_TAIL = 20  # fixed value
 AT_ONCE = 4  # draws that one digest serves, each by 8 of its hexadecimal digits
+HELD_GROUPS = 4096  # groups whose weights in all draws a task holds
+DIGESTS = 32768  # made at once
 
 
 def draws_needed(alpha: float = ALPHA, comparisons: int = COMPARISONS) -> int:
@@ -65,6 +68,30 @@ def draw_weights(group: str, draws: int, seed: int) -> np.ndarray:
     return np.searchsorted(poisson_bars(), np.frombuffer(digests, ">u4")[:draws].astype(np.int64), side="right")
 
 
+def weights_of(groups: list[str], draws: int, seed: int) -> np.ndarray:
+    """draw_weights() of each group, a row of bytes each; groups too long for one block of MD5 are digested one by one."""
+    out = np.zeros((len(groups), draws), np.uint8)
+    texts, prefixes = [g.encode() for g in groups], [f"{seed}:{i}:".encode() for i in range(-(-draws // AT_ONCE))]
+    fits = np.array([len(prefixes[-1]) + len(t) <= MOST_BYTES for t in texts], bool)
+    for i in np.flatnonzero(~fits).tolist():
+        out[i] = draw_weights(groups[i], draws, seed)
+    short = [t for t, f in zip(texts, fits) if f]
+    if not short:
+        return out
+    held, bars, at = np.zeros((len(short), len(prefixes) * AT_ONCE), np.uint8), poisson_bars(), 0
+    while at < len(prefixes):
+        end = min(len(prefixes), at + max(1, DIGESTS // len(short)))
+        end = next((i for i in range(at, end) if len(prefixes[i]) != len(prefixes[at])), end)
+        for i, word in enumerate(md5_words(prefixes[at:end], short)):
+            number, copies = word.byteswap(), np.zeros(word.shape, np.uint8)
+            for bar in bars:
+                copies += number >= np.uint32(bar)
+            held[:, at * AT_ONCE + i : end * AT_ONCE : AT_ONCE] = copies.T
+        at = end
+    out[fits] = held[:, :draws]
+    return out
+
+
 def drawn(groups: DataFrame, group: str, draws: int, seed: int) -> DataFrame:
     """groups with `draw` and `copies`, a row for each draw that holds the group."""
     blocks = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // AT_ONCE))).alias("block"))
@@ -73,38 +100,58 @@ def drawn(groups: DataFrame, group: str, draws: int, seed: int) -> DataFrame:
     return hashed.select(*groups.columns, F.explode(F.array(*each)).alias("d")).select(*groups.columns, "d.*").where(f"copies > 0 and draw < {draws}")
 
 
+def _totals(weights: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """weights.T @ values in whole numbers: doubles hold what 256 rows add up to, for values in two parts of 32 bits."""
+    parts = [(values & 0xFFFFFFFF, 0)] + [(values >> 32, 32)] * bool((values >> 32).any())
+    out = np.zeros((weights.shape[1], values.shape[1]), np.int64)
+    for at in range(0, len(values), 256):
+        few = weights[at : at + 256].T.astype(float)
+        for part, shift in parts:
+            out += (few @ part[at : at + 256].astype(float)).astype(np.int64) << shift
+    return out
+
+
 def resampled(rows: DataFrame, group: str, sums: dict[str, Column], draws: int, seed: int, by: list[str] = ()) -> DataFrame:
     """draw, by and the weighted sum of each column, whole numbers; draws that hold no group are left out.
 
-    A task adds up its groups for all draws at once and gives a row for each draw and value of
+    A group is one row, with a cell for each value of `by`, so its weights are made once. A
+    task adds up its groups for all draws at once and gives a row for each draw and value of
     `by`, of which there should be few.
     """
     by, names = list(by), list(sums)
-    groups = rows.groupBy(group, *by).agg(*(F.sum(c).cast("long").alias(name) for name, c in sums.items()))
-    named = groups.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("name of group"), *by, *names)
-    schema = named.select(F.lit(0).alias("draw"), *by, *names).schema
+    named = rows.withColumn("name of group", F.coalesce(F.col(group).cast("string"), F.lit("")))
+    cells = named.groupBy("name of group", *by).agg(*(F.sum(c).cast("long").alias(name) for name, c in sums.items()))
+    groups = cells.groupBy("name of group").agg(F.collect_list(F.struct(*by, *names)).alias("cells"))
+    schema = cells.select(F.lit(0).alias("draw"), *by, *names).schema
 
     def run(batches):
         totals, kinds = {}, []
         for batch in batches:
-            kinds = [batch.column(c).type for c in by]
-            keys = list(zip(*(batch.column(c).to_pylist() for c in by))) if by else [()] * batch.num_rows
-            values = np.stack([batch.column(c).fill_null(0).to_numpy() for c in names] + [np.ones(batch.num_rows, np.int64)], axis=1)
+            kinds = [batch.column("cells").type.value_type.field(c).type for c in by]
             texts = batch.column("name of group").to_pylist()
-            for at in range(0, len(texts), 512):
-                weights = np.stack([draw_weights(t, draws, seed) for t in texts[at : at + 512]])
-                here = {}
-                for i, key in enumerate(keys[at : at + 512]):
-                    here.setdefault(key, []).append(i)
-                for key, places in here.items():
-                    found = weights[places].T @ values[at : at + 512][places]
+            size = -(-len(texts) // max(1, -(-len(texts) // HELD_GROUPS)))
+            for at in range(0, len(texts), max(1, size)):
+                lists = batch.column("cells").slice(at, size)
+                weights = weights_of(texts[at : at + size], draws, seed)
+                owner, flat = lists.value_parent_indices().to_numpy(), lists.flatten()
+                values = np.stack([flat.field(c).fill_null(0).to_numpy() for c in names] + [np.ones(len(flat), np.int64)], axis=1)
+                places = np.zeros(len(flat), np.int64)
+                for c in by:
+                    codes = flat.field(c).dictionary_encode("encode").indices.to_numpy()
+                    places = np.unique(places * (int(codes.max()) + 1) + codes, return_inverse=True)[1]
+                order = np.argsort(places, kind="stable")
+                for mine in np.split(order, np.flatnonzero(np.diff(places[order])) + 1):
+                    key = tuple(flat.field(c)[int(mine[0])].as_py() for c in by)
+                    found = _totals(weights[owner[mine]], values[mine])
                     totals[key] = totals[key] + found if key in totals else found
         for key, total in totals.items():
             held = np.flatnonzero(total[:, -1])
             columns = [pa.array(held.astype(np.int32)), *(pa.array([k] * len(held), kind) for k, kind in zip(key, kinds)), *(pa.array(total[held, i]) for i in range(len(names)))]
             yield pa.RecordBatch.from_arrays(columns, ["draw", *by, *names])
 
-    return named.mapInArrow(run, schema).groupBy("draw", *by).agg(*(F.sum(name).alias(name) for name in names))
+    # A few bytes of a group are much work, so Spark must not put them into few partitions; each partition gives a row for each draw.
+    parts = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    return groups.repartition(parts, "name of group").mapInArrow(run, schema).groupBy("draw", *by).agg(*(F.sum(name).alias(name) for name in names))
 
 
 def interval(values: DataFrame, value: str, by: list[str] = (), alpha: float = ALPHA) -> DataFrame:
@@ -259,57 +306,82 @@ def permutation_tail(found: Column, n: Column, conflicts: Column, budget: Column
 
 
 SAMPLE = -1  # the number of the draw that is the sample itself
-HELD_GROUPS = 4096  # weights of so many groups are kept in a task
+FEW_VALUES = 1024  # up to so many distinct predictions, a task holds the sums of each in all draws
+
+
+def _stacked(rows: DataFrame, predictions: list[str], y: str, group: str) -> DataFrame:
+    """of (which prediction), p, y, group: a row for each prediction of a row."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("of"), F.col(p).alias("p")) for i, p in enumerate(predictions)))).alias("s")
+    return rows.select(each, F.col(y).cast("long").alias("y"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("group")).select("s.*", "y", "group")
 
 
-def auc_in_draws(rows: DataFrame, p: str, y: str, group: str, draws: int, seed: int) -> DataFrame:
-    """draw, value: the area under the ROC curve in every draw and in the sample; null where a draw lacks a class (O11.7).
+def auc_in_draws(rows: DataFrame, predictions: list[str], y: str, group: str, draws: int, seed: int) -> DataFrame:
+    """draw, of, value: the area under the ROC curve in every draw and in the sample; null where a draw lacks a class (O11.7).
+
+    Where predictions have up to FEW_VALUES values, the weights of ones and zeros are summed up
+    by value and draw, and pairs in the right order (ties count half) are counted from these
+    sums. More values are dealt into partitions that follow one another.
+    """
+    stacked = checkpoint(_stacked(rows, predictions, y, group))
+    if stacked.select("of", "p").distinct().limit(FEW_VALUES + 1).count() > FEW_VALUES:
+        pieces = (_auc_of_many(stacked.where(F.col("of") == i), draws, seed).withColumn("of", F.lit(i)) for i in range(len(predictions)))
+        return reduce(DataFrame.unionByName, pieces)
+    sums = {"ones": F.col("y"), "zeros": 1 - F.col("y")}
+    sample = stacked.groupBy("of", "p").agg(*(F.sum(c).alias(name) for name, c in sums.items())).withColumn("draw", F.lit(SAMPLE))
+    every = resampled(stacked, "group", sums, draws, seed, ["of", "p"]).unionByName(sample)
+    before = F.sum("zeros").over(Window.partitionBy("draw", "of").orderBy("p")) - F.col("zeros")  # a row for each value
+    return _areas(every.withColumn("pairs", F.col("ones") * (2 * before + F.col("zeros"))), "draw", "of")
+
+
+def _areas(sums: DataFrame, *by: str) -> DataFrame:
+    whole = sums.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("ones", "zeros", "pairs")))
+    defined = (F.col("ones") > 0) & (F.col("zeros") > 0)
+    return whole.select(*by, F.when(defined, F.col("pairs") / (2.0 * F.col("ones") * F.col("zeros"))).alias("value"))
+
+
+def _auc_of_many(rows: DataFrame, draws: int, seed: int) -> DataFrame:
+    """draw, value for rows (p, y, group) with any number of values of p.
 
     Rows are counted by prediction and group and dealt into partitions in order of prediction.
     A task keeps, for all draws at once, the weights of ones and zeros and the weight of pairs
-    in the right order (ties count half) among its own rows; what a partition's ones owe to the
-    zeros of the partitions before is added afterwards from one row a partition and draw.
+    in the right order among its own rows; what a partition's ones owe to the zeros of the
+    partitions before is added afterwards from one row a partition and draw. A group's weights
+    are made for each of its predictions, and rows of one prediction are one task's.
     """
-    named = rows.select(F.col(p).alias("p"), F.col(y).cast("long").alias("y"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("group"))
-    counts = named.groupBy("p", "group").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+    counts = rows.groupBy("p", "group").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
     dealt = in_order(counts, ["p"]).select(F.col(PART).cast("int").alias("part"), "p", "group", "n1", "n0")
 
     def run(batches):
-        weights, at, part = {}, None, 0
+        at, part = None, 0
         ones, zeros, pairs, here1, here0 = (np.zeros(draws + 1, np.int64) for _ in range(5))
-        for batch in batches:
-            for part, value, name, n1, n0 in zip(*(batch.column(c).to_pylist() for c in ("part", "p", "group", "n1", "n0"))):
-                if name not in weights:
-                    if len(weights) >= HELD_GROUPS:
-                        weights.clear()
-                    weights[name] = np.append(draw_weights(name, draws, seed), 1)
+        for batch in (b.slice(i, HELD_GROUPS) for b in batches for i in range(0, b.num_rows, HELD_GROUPS)):
+            weights = np.c_[weights_of(batch.column("group").to_pylist(), draws, seed), np.ones(batch.num_rows, np.uint8)]
+            for i, (part, value, n1, n0) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "p", "n1", "n0")))):
                 if value != at:
                     pairs += here1 * (2 * zeros + here0)
                     ones, zeros = ones + here1, zeros + here0
                     here1, here0, at = np.zeros(draws + 1, np.int64), np.zeros(draws + 1, np.int64), value
-                here1 += n1 * weights[name]
-                here0 += n0 * weights[name]
+                for here, n in ((here1, n1), (here0, n0)):
+                    if n:
+                        here += np.int64(n) * weights[i]
         pairs += here1 * (2 * zeros + here0)
         columns = [pa.array(np.append(np.arange(draws), SAMPLE).astype(np.int32)), pa.array(np.full(draws + 1, part, np.int32)), *map(pa.array, (ones + here1, zeros + here0, pairs))]
         yield pa.RecordBatch.from_arrays(columns, ["draw", "part", "ones", "zeros", "pairs"])
 
     parts = dealt.sortWithinPartitions("p").mapInArrow(run, "draw int, part int, ones long, zeros long, pairs long")
     before = F.sum("zeros").over(Window.partitionBy("draw").orderBy("part")) - F.col("zeros")  # a row for each partition
-    whole = parts.withColumn("pairs", F.col("pairs") + 2 * F.col("ones") * before).groupBy("draw")
-    sums = whole.agg(*(F.sum(c).alias(c) for c in ("ones", "zeros", "pairs")))
-    defined = (F.col("ones") > 0) & (F.col("zeros") > 0)
-    return sums.select("draw", F.when(defined, F.col("pairs") / (2.0 * F.col("ones") * F.col("zeros"))).alias("value"))
+    return _areas(parts.withColumn("pairs", F.col("pairs") + 2 * F.col("ones") * before), "draw")
 
 
-def calibration_error_in_draws(rows: DataFrame, p: str, y: str, group: str, draws: int, seed: int, bins: int = 10) -> DataFrame:
-    """draw, value: the expected calibration error in every draw and in the sample (O11.7); predictions count in billionths."""
-    place = sum((F.when(F.col(p) >= e, 1).otherwise(0) for e in bin_edges(bins)[1:-1]), F.lit(0))
-    binned = rows.select(F.col(group).alias("group"), place.alias("bin"), F.round(F.col(p) * 1e9).cast("long").alias("p"), F.col(y).cast("long").alias("y"))
+def calibration_error_in_draws(rows: DataFrame, predictions: list[str], y: str, group: str, draws: int, seed: int, bins: int = 10) -> DataFrame:
+    """draw, of, value: the expected calibration error in every draw and in the sample (O11.7); predictions count in billionths."""
+    place = sum((F.when(F.col("p") >= e, 1).otherwise(0) for e in bin_edges(bins)[1:-1]), F.lit(0))
+    binned = _stacked(rows, predictions, y, group).select("group", "of", place.alias("bin"), F.round(F.col("p") * 1e9).cast("long").alias("p"), "y")
     sums = {"p": F.col("p"), "y": F.col("y"), "n": F.lit(1)}
-    sample = binned.groupBy("bin").agg(*(F.sum(c).alias(name) for name, c in sums.items())).withColumn("draw", F.lit(SAMPLE))
-    every = resampled(binned, "group", sums, draws, seed, ["bin"]).unionByName(sample)
+    sample = binned.groupBy("of", "bin").agg(*(F.sum(c).alias(name) for name, c in sums.items())).withColumn("draw", F.lit(SAMPLE))
+    every = resampled(binned, "group", sums, draws, seed, ["of", "bin"]).unionByName(sample)
     gap = F.abs(F.col("p") - F.col("y") * 1_000_000_000)
-    return every.groupBy("draw").agg((F.sum(gap) / F.sum("n") / 1e9).alias("value"))
+    return every.groupBy("draw", "of").agg((F.sum(gap) / F.sum("n") / 1e9).alias("value"))
 
 
 #: By name: the statistic in draws, and whether less is better.
@@ -329,8 +401,9 @@ def statistic_difference(
     draws, sign = draws or draws_needed(), 1 if less else -1
     rows, out = checkpoint(rows.select(challenger, reference, y, *groupings)), None
     for grouping in groupings:
-        mine, its = (measure(rows, p, y, grouping, draws, seed) for p in (challenger, reference))
-        both = checkpoint(mine.join(its.withColumnRenamed("value", "other"), "draw").withColumn("margin", sign * (F.col("other") - F.col("value"))))
+        each = measure(rows, [challenger, reference], y, grouping, draws, seed)
+        mine, its = (F.max(F.when(F.col("of") == i, F.col("value"))) for i in (0, 1))
+        both = checkpoint(each.groupBy("draw").agg((sign * (its - mine)).alias("margin")))
         point = both.where(F.col("draw") == SAMPLE).select(F.col("margin").alias("margin of sample"))
         values = both.where(F.col("draw") != SAMPLE)
         one = interval(values, "margin").join(F.broadcast(point))  # one row each

@@ -269,3 +269,22 @@ def test_late_events_end_sessions_of_a_stream(spark, tmp_path):
     done.awaitTermination()
     ended = {(r.user_id, r.n, r.first) for r in spark.sql("SELECT * FROM ended").collect()}
     assert ended == {x for x in whole if x[0] != 3}
+
+
+def test_weights_made_at_once(spark):
+    """Groups of all lengths, also beyond one block of MD5, have the weights of single digests."""
+    groups = ["", "a", "ü b", "x" * 46, "x" * 47, "x" * 48, "x" * 200, *(f"{i}:24:1998" for i in range(30))]
+    for draws, seed in ((1, 7), (4000, 42), (437, 123456789)):
+        made = inference.weights_of(groups, draws, seed)
+        assert (made == np.stack([inference.draw_weights(g, draws, seed) for g in groups])).all()
+    assert inference.weights_of([], 5, 1).shape == (0, 5)
+
+
+def test_resampled_sums_are_exact_by_value(spark):
+    """A group's weights are made once for all its values; sums are whole numbers of any size and sign."""
+    rng = np.random.default_rng(5)
+    rows = [(f"g{rng.integers(0, 9000)}", int(rng.integers(0, 3)) or None, int(rng.integers(-(1 << 46), 1 << 46))) for _ in range(20_000)]
+    frame = spark.createDataFrame(rows, "grp string, bin int, v long")
+    found = {(r.draw, r.bin): r.v for r in inference.resampled(frame.coalesce(1), "grp", {"v": F.col("v")}, 6, 9, ["bin"]).collect()}
+    weights = {g: inference.draw_weights(g, 6, 9) for g, *_ in rows}
+    assert found == {(d, b): sum(int(weights[g][d]) * v for g, x, v in rows if x == b) for d in range(6) for b in (None, 1, 2)}
