@@ -288,3 +288,17 @@ def test_resampled_sums_are_exact_by_value(spark):
     found = {(r.draw, r.bin): r.v for r in inference.resampled(frame.coalesce(1), "grp", {"v": F.col("v")}, 6, 9, ["bin"]).collect()}
     weights = {g: inference.draw_weights(g, 6, 9) for g, *_ in rows}
     assert found == {(d, b): sum(int(weights[g][d]) * v for g, x, v in rows if x == b) for d in range(6) for b in (None, 1, 2)}
+
+
+def test_areas_of_few_and_many_values_agree(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(float(rng.integers(0, 40)) / 40, float(rng.integers(0, 5)), int(rng.random() < 0.4), f"g{rng.integers(0, 70)}") for _ in range(400)]
+    frame = spark.createDataFrame(rows, "p double, r double, y int, grp string")
+    areas = lambda: {(r.of, r.draw): r.value for r in inference.auc_in_draws(frame, ["p", "r"], "y", "grp", 9, 3).collect()}
+    few = areas()
+    monkeypatch.setattr(inference, "FEW_VALUES", 20)
+    assert areas() == few and len(few) == 20
+    p, r, y = ([x[i] for x in rows] for i in range(3))
+    for d in range(9):
+        w = [int(inference.draw_weights(x[3], 9, 3)[d]) for x in rows]
+        assert few[0, d] == pytest.approx(rank_area(p, y, w), abs=1e-12) and few[1, d] == pytest.approx(rank_area(r, y, w), abs=1e-12)
