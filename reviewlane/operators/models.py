@@ -5,6 +5,8 @@ place of what is missing and a mark that it was, each category of the training r
 frequent enough, and one column for all others. A fit minimises the log loss with an L2 penalty
 on standardised columns by Newton's method. What one step needs - loss, gradient and Hessian -
 are sums over rows; each task adds up its own, and the driver gets one number for each entry.
+Members share the products of a row's columns: these are made once a row, in columns centred
+and scaled alike for all, and each member's sums are turned to its own means and scales after.
 
 Several members (folds, resampled ensembles) are fitted by the same passes: a row has a weight
 for each member. Designs are fitted on all training rows, means and scales for each member.
@@ -28,6 +30,7 @@ from reviewlane.operators.inference import weight
 LEAST_ROWS, LEAST_OF_CATEGORY, RARE = 20, 5, "__rare__"
 MOST_LEVELS = 1000  # columns of one category; a design is meant to be narrow
 STEPS, EXACT = 50, 1e-10
+SHARED_ROWS = 1024  # whose products of columns are held at once
 
 
 @dataclass(frozen=True)
@@ -143,23 +146,31 @@ def fit(rows: DataFrame, width: int, members: int = 1, penalty: float = 1.0, lea
     e, ridge = d + 1, np.diag([penalty] * d + [0.0])
     beta, step = np.zeros((m, e)), np.zeros((m, e))
     best, open_ = np.full(m, np.inf), list(usable)
+    # turn[k] takes the shared columns, with an intercept, to the member's own.
+    centre, spread = mean[usable].mean(0), scale[usable].mean(0)
+    turn = np.zeros((m, e, e))
+    turn[:, range(d), range(d)], turn[:, :d, d], turn[:, d, d] = spread / scale, (centre - mean) / scale, 1.0
+    upper = np.triu_indices(e)
     for _ in range(STEPS):
-        at = {k: beta[k].copy() for k in open_}
-
-        def newton(batch, at=at):
-            x, y, w = _matrix(batch.column("x"), d), batch.column("y").to_numpy(), _matrix(batch.column("w"), m)
-            parts = []
-            for k, b in at.items():
-                z = np.c_[(x - mean[k]) / scale[k], np.ones(len(x))]
-                eta = z @ b
-                p = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
-                loss = np.logaddexp(0.0, eta) - y * eta
-                parts += [[w[:, k] @ loss], z.T @ (w[:, k] * (p - y)), ((z * (w[:, k] * p * (1 - p))[:, None]).T @ z).ravel()]
-            return np.concatenate(parts)
-
-        sums = summed(rows, len(at) * (1 + e + e * e), newton).reshape(len(at), -1)
+        slopes = np.stack([beta[k] @ turn[k] for k in open_], axis=1)
+
+        def newton(batch, open_=tuple(open_), slopes=slopes):
+            every = _matrix(batch.column("x"), d), batch.column("y").to_numpy(), _matrix(batch.column("w"), m)[:, open_]
+            total = np.zeros((1 + e + len(upper[0]), len(open_)))
+            for at in range(0, batch.num_rows, SHARED_ROWS):
+                x, y, w = (part[at : at + SHARED_ROWS] for part in every)
+                u = np.vstack([((x - centre) / spread).T, np.ones(len(x))])
+                eta = u.T @ slopes
+                small = np.exp(-np.abs(eta))
+                p = np.where(eta >= 0, 1.0, small) / (1.0 + small)
+                total[0] += (w * (np.maximum(eta, 0.0) + np.log1p(small) - y[:, None] * eta)).sum(0)
+                total[1 : 1 + e] += u @ (w * (p - y[:, None]))
+                total[1 + e :] += np.concatenate([u[i:] * u[i] for i in range(e)]) @ (w * p * (1 - p))
+            return total.T.ravel()
+
+        sums = summed(rows, len(open_) * (1 + e + len(upper[0])), newton).reshape(len(open_), -1)
         still = []
-        for k, s in zip(at, sums):
+        for k, s in zip(open_, sums):
             out[k].steps += 1
             loss = s[0] + 0.5 * beta[k] @ ridge @ beta[k]
             if loss > best[k] + 1e-9 * abs(best[k]):
@@ -168,8 +179,10 @@ def fit(rows: DataFrame, width: int, members: int = 1, penalty: float = 1.0, lea
                 still.append(k)
                 continue
             best[k] = loss
-            hessian = s[1 + e :].reshape(e, e) + ridge
-            step[k] = -np.linalg.lstsq(hessian, s[1 : 1 + e] + ridge @ beta[k], rcond=None)[0]
+            shared = np.zeros((e, e))
+            shared[upper] = shared.T[upper] = s[1 + e :]
+            hessian = turn[k] @ shared @ turn[k].T + ridge
+            step[k] = -np.linalg.lstsq(hessian, turn[k] @ s[1 : 1 + e] + ridge @ beta[k], rcond=None)[0]
             beta[k] += step[k]
             if np.abs(step[k]).max() > EXACT * max(1.0, np.abs(beta[k]).max()):
                 still.append(k)
@@ -283,7 +296,14 @@ def ensemble(rows: DataFrame, scored: DataFrame, x: str, y: str, group: str, key
     if not valid:
         nothing = F.lit(None).cast("double")
         return each.select(key, F.lit(0).alias("members"), nothing.alias("mean"), nothing.alias("spread"))
-    stacked = each.select(key, F.array(*(predicted(m) for m in valid)).alias("p"))
-    total = lambda f: F.aggregate("p", F.lit(0.0), lambda s, v: s + f(v)) / len(valid)
-    meant = stacked.withColumn("mean", total(lambda v: v))
-    return meant.select(key, F.lit(len(valid)).alias("members"), "mean", F.sqrt(total(lambda v: F.pow(v - F.col("mean"), 2))).alias("spread"))
+    slopes, intercepts = np.stack([m.weights for m in valid], axis=1), np.array([m.intercept for m in valid])
+
+    def meant(batches):
+        for batch in batches:
+            odds = _matrix(batch.column("x"), width) @ slopes + intercepts
+            p = 1.0 / (1.0 + np.exp(-np.clip(odds, -700, 700)))
+            columns = [batch.column(key), pa.array(np.full(len(p), len(valid), np.int32)), pa.array(p.mean(1)), pa.array(p.std(1))]
+            yield pa.RecordBatch.from_arrays(columns, [key, "members", "mean", "spread"])
+
+    nothing = F.lit(0.0)
+    return each.mapInArrow(meant, each.select(key, F.lit(0).alias("members"), nothing.alias("mean"), nothing.alias("spread")).schema)

@@ -1,5 +1,6 @@
 """Fits, folds, ensembles and calibrators against NumPy on one machine."""
 
+import math
 import random
 
 import numpy as np
@@ -167,3 +168,18 @@ def test_temperature(spark):
     row = found.apply(frame.limit(1), "p", "q").first()
     assert row.q == pytest.approx(1 / (1 + np.exp(-(np.log(row.p / (1 - row.p)) / found.temperature + found.bias))))
     assert calibration.fit(frame.limit(0)).temperature == 1.0
+
+
+def test_members_fitted_together_equal_members_alone(spark):
+    """Members share the products of columns, also where a column is constant or far away in one of them."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(2500):
+        a, b = rng.normal() + 1e4 * (i % 2), float(i % 2) * rng.normal()
+        rows.append(([a, b, 3.0], int(rng.random() < 1 / (1 + math.exp(-(a - 1e4 * (i % 2)) - b))), [float(i % 2 == 0), float(i % 2), float(rng.poisson(1.0))]))
+    frame = spark.createDataFrame(rows, "x array<double>, y int, w array<double>").coalesce(1)
+    together = models.fit(frame, 3, 3)
+    for k, model in enumerate(together):
+        alone = models.fit(frame.select("x", "y", F.array(F.col("w")[k]).alias("w")), 3)[0]
+        assert np.allclose(model.weights, alone.weights, rtol=1e-6, atol=1e-8) and math.isclose(model.intercept, alone.intercept, rel_tol=1e-6, abs_tol=1e-6)
+        assert model.degraded is None and abs(model.weights[2]) < 1e-8
