@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlane.llm.common import worker_cache
+from reviewlane.llm.common import sliced, worker_cache
 
 _NONE = -1
 
@@ -50,7 +50,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """A word-end BPE vocabulary with its merge trees as arrays by token id."""
 
-    def __init__(self, spec: dict, words_kept: int = 500_000):
+    def __init__(self, spec: dict, words_kept: int = 100_000):
         model = spec["model"]
         if model["type"] != "BPE" or model["unk_token"] or model["byte_fallback"] or model["ignore_merges"]:
             raise ValueError("only plain BPE vocabularies are read")
@@ -192,7 +192,7 @@ class WordBpe:
         known, table = self.known, self.letters
         fresh, known.missed = known.missed, {}
         if len(known) + len(fresh) > self.words_kept:
-            known.clear()
+            known.age()
         words = list(fresh)
         coded = ["".join([table[b] for b in w.encode()]) for w in words]
         for word, ids in zip(words, self.encode_words(coded)):
@@ -220,15 +220,27 @@ class WordBpe:
 
 
 class _Known(dict):
-    """Word -> ids; a word that is missing gives a list that its ids will be put into."""
+    """Word -> ids; a word that is missing gives a list that its ids will be put into.
+
+    Most distinct words of a corpus come once, so what has not been asked for between two calls
+    of `age` is forgotten: common words stay, and a worker, which outlives its tasks, holds little.
+    """
 
     def __init__(self):
         super().__init__()
         self.missed: dict[str, list[str]] = {}
+        self.aged: dict[str, str] = {}
 
-    def __missing__(self, word: str) -> list[str]:
+    def __missing__(self, word: str) -> str | list[str]:
+        if word in self.aged:
+            self[word] = text = self.aged.pop(word)
+            return text
         return self.missed.setdefault(word, [])
 
+    def age(self) -> None:
+        self.aged = dict(self)
+        self.clear()
+
 
 def _latin_pattern(pattern: str) -> str:
     r"""The pattern with \p{L}, \p{N} and \s written out for Latin-1, for the faster standard module."""
@@ -267,16 +279,14 @@ def encode_decode(documents: DataFrame, path: str, text: str = "text") -> DataFr
 
     def run(batches):
         coder = worker_cache(f"bpe {path}", lambda: WordBpe(json.loads(held.value)))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                ids = coder.encode_batch([x or "" for x in part.column(text).to_pylist()])
-                columns = [
-                    pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()),
-                    pa.array([digest(x) for x in ids]),
-                    pa.array([digest(coder.decode(x)) for x in ids]),
-                ]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], [*kept, *added])
+        for part in sliced(batches, 64):
+            ids = coder.encode_batch([x or "" for x in part.column(text).to_pylist()])
+            columns = [
+                pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()),
+                pa.array([digest(x) for x in ids]),
+                pa.array([digest(coder.decode(x)) for x in ids]),
+            ]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], [*kept, *added])
 
     return documents.select(*kept, text).mapInArrow(run, schema)
 
@@ -290,7 +300,7 @@ def encode(documents: DataFrame, path: str, text: str = "text", out: str = "ids"
 
     def run(batches):
         coder = worker_cache(f"bpe {path}", lambda: WordBpe(json.loads(held.value)))
-        for batch in batches:
+        for batch in sliced(batches, 64):
             ids = coder.encode_batch([x or "" for x in batch.column(text).to_pylist()])
             values = pa.array([[int(i) for i in x.split()] for x in ids], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), values], [*kept, out])

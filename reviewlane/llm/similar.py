@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlane.functions.materialize import attach
-from reviewlane.llm.common import checkpoint
+from reviewlane.llm.common import checkpoint, sliced
 from reviewlane.llm.simhash import bucket_keys, components
 
 PRINTS = 4
@@ -94,7 +94,7 @@ def printed(rows: DataFrame, text: str = "text", words: int = 5) -> DataFrame:
     schema = rows.select(*kept, F.lit(0).cast("long").alias("node"), *(F.array(F.lit(0).cast("long")).alias(c) for c in ("fps", "marks"))).schema
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(x.as_py(), words) for x in batch.column(text)]
             nodes = pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64))
             fps = pa.array([prints(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
@@ -297,7 +297,7 @@ def groups(documents: DataFrame, least: float = 0.8, words: int = 5, doc: str =
     met = nodes.select("node", "row").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
 
     def digested(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             values = [shingles(x.as_py(), words).view(np.int64) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(values, pa.list_(pa.int64()))], ["node", "digests"])
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlane.llm.common import aside, own, restored
+from reviewlane.llm.common import aside, own, restored, sliced
 
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
@@ -246,7 +246,7 @@ def score(documents: DataFrame, model: Model, text: str = "text", out: str = "sc
 
     def run(batches):
         scorer = model.scorer()
-        for batch in batches:
+        for batch in sliced(batches):
             values = pa.array([scorer(x.as_py()) for x in batch.column(text)], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), values], [*kept, out])
 
