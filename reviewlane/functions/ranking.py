@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from reviewlane.functions.materialize import attach, checkpoint
 
-PART, START = "part of the order", "start of the part"
+PART, START, PLACE = "part of the order", "start of the part", "place in the order"
+MOST_FIRST = 100_000  # rows that a task may keep of an order
 
 
 def in_order(df: DataFrame, order: list[str], written: bool = False) -> DataFrame:
@@ -62,6 +63,17 @@ def positions(df: DataFrame, value: str, key: str, out: str) -> DataFrame:
     return checkpoint(placed.drop(PART, START))
 
 
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows by one or two columns ascending; the last is unique.
+
+    Each task keeps n of its rows and one task n of those, so nothing is dealt or written down.
+    More than MOST_FIRST rows are found by their positions.
+    """
+    if n <= MOST_FIRST:
+        return df.orderBy(*order).limit(n)
+    return positions(df, order[0], order[-1], PLACE).where(F.col(PLACE) < n).drop(PLACE)
+
+
 def running_max(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """df with `out`: the largest value up to the row in the order of a unique column."""
     dealt = in_order(df, [order])

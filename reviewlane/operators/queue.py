@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlane.functions.materialize import attach, checkpoint
+from reviewlane.functions.materialize import attach, checkpoint, written
 from reviewlane.functions.ranking import positions, running_total
 from reviewlane.functions.records import ceil_share, confidence
 
@@ -67,7 +67,7 @@ def scored(candidates: DataFrame) -> DataFrame:
         "uncertainty": F.coalesce("spread", F.lit(0.0)),
     }
     # Written down once: four signals are ranked and joined back, and callers order the result several ways.
-    rows = checkpoint(candidates.withColumns(signals))
+    rows = written(candidates.withColumns(signals))
     rows = finite_signals(rows, list(signals))
     ranks = checkpoint(normalised_ranks(rows, list(signals)))
     for name in signals:

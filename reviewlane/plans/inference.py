@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlane.functions.materialize import checkpoint
-from reviewlane.functions.ranking import positions
 from reviewlane.operators import inference, novelty, provenance, queue, samples, splits
 from reviewlane.sources.tables import candidates, observations, table
 
@@ -30,27 +29,23 @@ def risk_held(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("kept", "errors", "held", "resolved", *(F.round(c, 6).alias(c) for c in ("risk", "low", "high")))
 
 
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = queue.scored(candidates(spark, sf_dir))
-    return queue.ranked(rows.select("obs_id", "episode", "station", "conflict", "score", "prob", "offset_ppm", "at_bound"), "place").withColumn("place", F.col("place") - 1)
+def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Scored rows and, for each ordering, the columns by which they go up."""
+    rows = queue.scored(candidates(spark, sf_dir).drop("transmitter", "start"))
+    values = {"queue": -F.col("score")} | {name: value() for name, value in queue.BASELINES.items() if value}
+    orders = {name: [f"value of {name}", "obs_id"] if name in values else ["obs_id"] for name in ("queue", *queue.BASELINES)}
+    return rows.withColumns({f"value of {name}": value for name, value in values.items()}), orders
 
 
 def queue_lift_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = inference.lift_interval(_placed(spark, sf_dir), "place", ["episode", "station"], BUDGET, DRAWS, SEED)
+    rows, orders = _orders(spark, sf_dir)
+    out = inference.lift_interval(rows, orders["queue"], ["episode", "station"], BUDGET, DRAWS, SEED)
     return out.select("grouping", "found", "draws", "verdict", "resolved", *(F.round(c, 6).alias(c) for c in ("lift", "low", "middle", "high")))
 
 
-def _all_places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
-    """Scored rows with their place in each ordering, from 0."""
-    rows = _placed(spark, sf_dir).withColumnRenamed("place", "queue")
-    for name, value in queue.BASELINES.items():
-        rows = positions(rows.withColumn("value of ordering", value() if value else F.lit(0.0)), "value of ordering", "obs_id", name).drop("value of ordering")
-    return rows, {name: name for name in ("queue", *queue.BASELINES)}
-
-
 def queue_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, places = _all_places(spark, sf_dir)
-    out = inference.ordering_differences(rows, places, "episode", "queue", BUDGET, DRAWS, SEED)
+    rows, orders = _orders(spark, sf_dir)
+    out = inference.ordering_differences(rows, orders, "episode", "queue", BUDGET, DRAWS, SEED)
     return out.select("ordering", "more_found", "draws", "direction", "resolved_adjusted", *(F.round(c, 6).alias(c) for c in (*ENDS, "ratio_low", "ratio_high")))
 
 

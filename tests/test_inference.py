@@ -2,13 +2,17 @@
 
 import hashlib
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlane.functions import ranking
+from reviewlane.functions.materialize import shared_folder
 from reviewlane.functions.ranking import average_rank, percentiles, positions, running_max, running_total
 from reviewlane.operators import inference, novelty, precedent, provenance, samples
+from reviewlane.plans import inference as queries
 
 
 def test_weights_are_poisson(spark):
@@ -302,3 +306,31 @@ def test_areas_of_few_and_many_values_agree(spark, monkeypatch):
     for d in range(9):
         w = [int(inference.draw_weights(x[3], 9, 3)[d]) for x in rows]
         assert few[0, d] == pytest.approx(rank_area(p, y, w), abs=1e-12) and few[1, d] == pytest.approx(rank_area(r, y, w), abs=1e-12)
+
+
+def test_orderings_take_only_their_heads(spark, sf, tmp_path, monkeypatch):
+    """A queue and the orderings beside it are not written down for each ordering; before, all rows were, three times each."""
+    for name, keys in (("orders", {"o_orderkey": 10_000, "o_custkey": 1000}), ("lineitem", {"l_orderkey": 10_000}), ("customer", {"c_custkey": 1000})):
+        copies = spark.read.parquet(f"{sf}/{name}.parquet").crossJoin(spark.range(16).select(F.col("id").alias("copy")))
+        copies.withColumns({k: F.col(k) + F.col("copy") * step for k, step in keys.items()}).drop("copy").write.parquet(str(tmp_path / f"{name}.parquet"))
+    n, shared = spark.read.parquet(str(tmp_path / "orders.parquet")).count(), Path(shared_folder(spark).removeprefix("file:"))
+    monkeypatch.setattr(queries, "DRAWS", 40)
+    for query in (queries.queue_differences, queries.queue_lift_interval):
+        held = sum(f.stat().st_size for f in shared.rglob("*") if f.is_file())
+        query(spark, str(tmp_path)).collect()
+        assert sum(f.stat().st_size for f in shared.rglob("*") if f.is_file()) - held < 150 * n
+
+
+def test_first_rows_with_and_without_positions(spark, monkeypatch):
+    """Heads of an order are the same however they are found, also where few groups hold most rows and the head must be doubled."""
+    rng = np.random.default_rng(8)
+    rows = [(i, float(rng.integers(0, 9)) or None, "hot" if rng.random() < 0.9 else f"g{i % 40}", bool(rng.random() < 0.3)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "id long, v double, grp string, conflict boolean").repartition(5)
+    budgets = inference.draw_budgets(frame, "grp", 10, 20, 4).localCheckpoint()
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    weights = {g: inference.draw_weights(g, 20, 4) for g in {r[2] for r in rows}}
+    want = {b.draw: sum([c for _, _, g, c in order for _ in range(weights[g][b.draw])][: b.budget]) for b in budgets.collect()}
+    for most in (100_000, 7):
+        monkeypatch.setattr(ranking, "MOST_FIRST", most)
+        assert [r.id for r in ranking.first_rows(frame, ["v", "id"], 50).orderBy("v", "id").collect()] == [r[0] for r in order[:50]]
+        assert {r.draw: r.found for r in inference.found_in_draws(frame, ["v", "id"], budgets, "grp", 20, 4).collect()} == want
